@@ -1,0 +1,34 @@
+"""Joins against small lookup tables with a checked size.
+
+A lookup side is broadcast only after its row count has been checked
+against a bound; beyond the bound the join stays a shuffle join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# rows; a per-source or per-bucket lookup stays far below this
+BROADCAST_ROW_LIMIT = 200_000
+
+
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Materialise a small table once and mark it for broadcast.
+
+    Counts at most ``limit + 1`` rows; if more, the table is returned as is
+    (shuffle join). Otherwise its rows are collected (bounded by ``limit``)
+    and re-created as a local relation, which also cuts its lineage: the
+    aggregate behind it runs once, not once per consumer.
+    """
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    spark = df.sparkSession
+    local = spark.createDataFrame(rows, schema=df.schema)
+    return F.broadcast(local)
+
+
+def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
+                limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    return big.join(bounded_broadcast(small, limit), on=on, how=how)
