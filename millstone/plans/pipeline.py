@@ -1,0 +1,48 @@
+"""The whole preparation pipeline as a chain of Spark jobs.
+
+prepare (clean + score, written once) -> thresholds (sampled, small) ->
+quality filter (map literal, no join) -> weighted interleave -> block
+shuffle. Each stage boundary is a written table or a tiny collected dict,
+so nothing is recomputed from raw text and a lost executor only reruns the
+stage it was in.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+
+from millstone import settings as S
+from millstone.operators.mixture import interleave
+from millstone.operators.quality import collect_thresholds, quality_filter, source_thresholds
+from millstone.operators.shuffle import block_shuffle
+from millstone.plans.prepare import prepare
+from millstone.session import materialize
+
+
+@dataclass
+class MixtureConfig:
+    probs: dict = field(default_factory=lambda: dict(S.MIX_RATIOS))
+    cut_ratios: dict = field(default_factory=lambda: dict(S.CUT_RATIOS))
+    default_cut_ratio: float = S.DEFAULT_CUT_RATIO
+    thresholded: tuple = ("wiki", "namu", "culturax")
+    synthetic: tuple = ("stories",)
+    sample_size: int = S.SAMPLE_SIZE
+    seed: int = S.SEED
+    shuffle_block: int = S.SHUFFLE_BUFFER
+    profile: str = "hangul"
+
+
+def build_mixture(docs: DataFrame, cfg: MixtureConfig | None = None, write: bool = True) -> DataFrame:
+    """``docs(doc_id, source, text)`` -> mixture
+    ``(position, slot, source, ordinal, doc_id, text, score)``; ``position``
+    is dense from 0 and is the training order."""
+    cfg = cfg or MixtureConfig()
+    prepared = prepare(docs, cfg.synthetic, cfg.profile, write=write)
+    th = source_thresholds(prepared, cfg.cut_ratios, cfg.default_cut_ratio, cfg.sample_size, cfg.seed,
+                           sources=list(cfg.thresholded))
+    kept = quality_filter(prepared, collect_thresholds(th))
+    mixed = interleave(kept, cfg.probs, cfg.seed)
+    out = block_shuffle(mixed, "slot", cfg.shuffle_block, cfg.seed)
+    return materialize(out, "mixture") if write else out
