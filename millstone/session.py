@@ -76,3 +76,27 @@ def materialize(df, name: str):
     path = scratch_path(spark, f"millstone/{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``millstone`` importable in Python workers (Arrow UDFs, grouped
+    state functions) by adding a zip of the package to the session."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="millstone-pkg-"), "millstone.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    p = os.path.join(d, f)
+                    z.write(p, os.path.relpath(p, os.path.dirname(root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
