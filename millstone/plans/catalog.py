@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millstone.plans import q_bpe, q_mix, q_order, q_text  # noqa: F401
+from millstone.plans import q_bpe, q_mix, q_order, q_stream, q_text  # noqa: F401
 from millstone.plans.registry import ORACLES, QUERIES
 
 
