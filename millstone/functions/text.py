@@ -63,8 +63,14 @@ def _sentence_pattern(p: LangProfile) -> str:
     return f"[{p.letters}]{S.WS_CLASS}*\\."
 
 
-def _count_class(c: Column, cls_body: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{cls_body}]", ""))
+def _count_chars(c: Column, chars: str) -> Column:
+    """Number of code points of ``c`` that are in ``chars``: length minus the
+    length after deleting them (``translate`` with an empty replacement is a
+    hash lookup per code point, about 3x faster than a negated regex class)."""
+    return F.length(c) - F.length(F.translate(c, chars, ""))
+
+
+DIGITS = "0123456789"
 
 
 def score_parts(c: Column | str, prof: LangProfile | str = S.HANGUL) -> dict[str, Column]:
@@ -73,8 +79,8 @@ def score_parts(c: Column | str, prof: LangProfile | str = S.HANGUL) -> dict[str
     c = _col(c)
     n = F.length(c)
     nd = n.cast("double")
-    lang = _count_class(c, p.letters + _punct_body())
-    nums = _count_class(c, "0-9")
+    lang = _count_chars(c, p.letter_chars + S.LANG_PUNCT)
+    nums = _count_chars(c, DIGITS)
     nl = n - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     sent = F.regexp_count(c, F.lit(_sentence_pattern(p)))
     zero = F.lit(0.0)
@@ -98,8 +104,8 @@ def quality_score(c: Column | str, prof: LangProfile | str = S.HANGUL) -> Column
     c = _col(c)
     n = F.length(c)
     nd = n.cast("double")
-    lang = _count_class(c, p.letters + _punct_body())
-    nums = _count_class(c, "0-9")
+    lang = _count_chars(c, p.letter_chars + S.LANG_PUNCT)
+    nums = _count_chars(c, DIGITS)
     nl = n - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     sent = F.regexp_count(c, F.lit(_sentence_pattern(p)))
     density = sent / (nd / S.SENTENCE_UNIT)

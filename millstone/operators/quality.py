@@ -14,6 +14,7 @@ from millstone.functions.draws import hash_key, hash_prefix
 from millstone.operators.lookup import bounded_broadcast
 
 HIST_BITS = 16  # histogram resolution of the sample cutoff
+CUT_ROW_LIMIT = 10_000  # sources whose cut is applied as a literal filter
 
 
 def literal_map(d: dict) -> Column:
@@ -43,12 +44,19 @@ def sample_per_source(df: DataFrame, k: int = S.SAMPLE_SIZE, seed: int = S.SEED,
            .withColumn("_prev", F.col("_cum") - F.col("_c"))
            .where(F.col("_prev") < k)            # bins needed to reach k rows
            .groupBy(source_col).agg(F.max("_bin").alias("_cut")))
-    kept = (x.join(bounded_broadcast(cut), on=source_col, how="inner")
-            .where(F.col("_bin") <= F.col("_cut")))
+    cut_rows = cut.limit(CUT_ROW_LIMIT + 1).collect()
+    if len(cut_rows) <= CUT_ROW_LIMIT:
+        # one row per source: a map literal keeps this a plain filter on key
+        # columns, which Catalyst pushes below any expensive projection of
+        # ``df`` (e.g. cleaning and scoring), so only sampled rows pay for it
+        cut_of = literal_map({r[source_col]: r["_cut"] for r in cut_rows})[F.col(source_col)]
+        kept = x.where(F.col("_bin") <= cut_of)
+    else:
+        kept = (x.join(cut, on=source_col, how="inner").where(F.col("_bin") <= F.col("_cut")).drop("_cut"))
     rw = Window.partitionBy(source_col).orderBy(hash_key(key, seed), F.col(key))
     return (kept.withColumn("sample_rank", F.row_number().over(rw))
             .where(F.col("sample_rank") <= k)
-            .drop("_hp", "_bin", "_cut"))
+            .drop("_hp", "_bin"))
 
 
 def quantile_per_group(df: DataFrame, value_col: str, q: Column, group_cols: list[str],

@@ -10,12 +10,36 @@ from millstone.functions.text import clean_text, quality_score
 from millstone.session import materialize
 
 
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than the cluster has cores.
+
+    Cleaning is CPU-bound per row; a small file with few row groups would
+    leave cores idle. A scan of a large corpus has far more splits than
+    cores and is returned unchanged (no shuffle of the raw text)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2)
+    return df
+
+
+def computed_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """Add/replace column ``name`` = ``expr`` behind a one-element explode.
+
+    A later filter on the column cannot be pushed below a Generate, so Catalyst
+    cannot substitute the (regex-heavy) expression into the predicate and
+    evaluate it once for the filter and again for the output; without this,
+    a filter on the score inlines the whole cleaning expression into the
+    predicate once per reference to the cleaned text."""
+    keep = [c for c in df.columns if c != name]
+    return df.select(*keep, F.explode(F.array(expr)).alias(name))
+
+
 def clean_and_score(docs: DataFrame, synthetic: bool | Column = False,
                     prof: S.LangProfile | str = S.HANGUL) -> DataFrame:
     """B2 + D7 + D5: replace ``text`` by its cleaned form and add ``score``
-    computed on the cleaned text."""
-    return (docs.withColumn("text", clean_text("text", synthetic, prof))
-            .withColumn("score", quality_score("text", prof)))
+    computed on the cleaned text; each evaluated once per row."""
+    cleaned = computed_once(docs, "text", clean_text("text", synthetic, prof))
+    return computed_once(cleaned, "score", quality_score("text", prof))
 
 
 def prepare(docs: DataFrame, synthetic_sources: list[str] | tuple = (),
@@ -24,5 +48,5 @@ def prepare(docs: DataFrame, synthetic_sources: list[str] | tuple = (),
     line filter. Written to the shared checkpoint folder so thresholds,
     filter and inspection read the result instead of re-running the regexes."""
     syn = F.col("source").isin(list(synthetic_sources)) if synthetic_sources else False
-    out = clean_and_score(docs, syn, prof)
+    out = clean_and_score(ensure_parallelism(docs), syn, prof)
     return materialize(out, "prepared") if write else out

@@ -10,21 +10,25 @@ from pyspark.sql import functions as F
 from millstone import settings as S
 from millstone.operators.packing import codepoint_tokens
 from millstone.operators.quality import collect_thresholds, min_length, source_thresholds
-from millstone.plans import q_order, q_text
+from millstone.plans import q_order
+from millstone.plans.prepare import prepare
 from millstone.plans.registry import ORACLES, register
 from millstone.session import scratch_path
+from millstone.sources.tables import read_table
 from millstone.streaming.stream import file_stream, group_stream, pack_stream, run_to_table, stream_filter
 
 END = "\u0000<end-of-input>"
 
 
 def _j1(spark, sf):
-    batch_docs = q_text._clean_docs(spark, sf)
-    th = collect_thresholds(source_thresholds(batch_docs, None, 0.3, S.SAMPLE_SIZE, S.SEED))
+    # thresholds need a full sample: a batch job, fixed before the stream runs
+    prepared = prepare(read_table(spark, sf, "documents").select("doc_id", "source", "text"), (), "latin")
+    th = collect_thresholds(source_thresholds(prepared, None, 0.3, S.SAMPLE_SIZE, S.SEED))
     src = f"{sf}/documents.parquet"
     schema = spark.read.parquet(src).schema
     stream = file_stream(spark, src, schema).select("doc_id", "source", "text")
-    out = run_to_table(stream_filter(stream, th, "latin"), f"j1-{uuid.uuid4().hex[:8]}")
+    spread = spark.sparkContext.defaultParallelism * 2
+    out = run_to_table(stream_filter(stream, th, "latin", partitions=spread), f"j1-{uuid.uuid4().hex[:8]}")
     return out.select("doc_id", "source", "text", "score")
 
 

@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 
 from millstone import settings as S
 from millstone.functions import text as T
-from millstone.operators.quality import sample_per_source, source_thresholds, quality_filter, min_length
+from millstone.operators.quality import (
+    collect_thresholds,
+    min_length,
+    quality_filter,
+    sample_per_source,
+    source_thresholds,
+)
 from millstone.operators.shuffle import shuffle_rank
 from millstone.plans import sqlfrag as Q
 from millstone.plans.fixtures import mapped_source, mapped_source_sql
-from millstone.plans.prepare import clean_and_score
+from millstone.plans.prepare import clean_and_score, prepare
 from millstone.plans.registry import register
 from millstone.sources.tables import SourceSpec, exclude_urls, read_source, read_table, union_sources
 
@@ -98,8 +104,9 @@ th AS (SELECT source, cut_ratio, n_sample,
 
 
 def _c2(spark, sf):
-    docs = _clean_docs(spark, sf)
-    th = source_thresholds(docs, None, 0.3, S.SAMPLE_SIZE, SEED)
+    # clean + score once into a written table; thresholds and filter read it
+    docs = prepare(_docs(spark, sf).select("doc_id", "source", "text"), (), "latin")
+    th = collect_thresholds(source_thresholds(docs, None, 0.3, S.SAMPLE_SIZE, SEED))
     return quality_filter(docs, th).select("doc_id", "source", "text", "score")
 
 

@@ -84,15 +84,21 @@ NON_WS_CLASS = f"[^{WS_CLASS_BODY}]"
 class LangProfile:
     """Letter class used by the quality score (language chars and sentences).
 
-    ``letters`` is a regex character-class body valid in Java and RE2.
+    ``letters`` is a regex character-class body valid in Java and RE2;
+    ``ranges`` lists the same letters as inclusive code-point ranges.
     """
 
     name: str
     letters: str
+    ranges: tuple = ()
 
+    @property
+    def letter_chars(self) -> str:
+        return "".join(chr(c) for lo, hi in self.ranges for c in range(lo, hi + 1))
 
-HANGUL = LangProfile("hangul", r"\x{ac00}-\x{d7a3}")
-LATIN = LangProfile("latin", r"A-Za-z\x{c0}-\x{ff}")
+
+HANGUL = LangProfile("hangul", r"\x{ac00}-\x{d7a3}", ((0xAC00, 0xD7A3),))
+LATIN = LangProfile("latin", r"A-Za-z\x{c0}-\x{ff}", ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xFF)))
 PROFILES = {p.name: p for p in (HANGUL, LATIN)}
 
 

@@ -24,9 +24,14 @@ from millstone.session import scratch_path, ship_package
 
 
 def stream_filter(stream: DataFrame, thresholds: dict[str, float], prof: S.LangProfile | str = S.HANGUL,
-                  synthetic_sources: list[str] | tuple = ()) -> DataFrame:
-    """Clean + score + keep score >= the source's (fixed) threshold."""
+                  synthetic_sources: list[str] | tuple = (), partitions: int | None = None) -> DataFrame:
+    """Clean + score + keep score >= the source's (fixed) threshold.
+
+    ``partitions`` spreads each micro-batch round-robin over that many tasks
+    before cleaning (CPU-bound) when batches arrive as a few large files."""
     syn = F.col("source").isin(list(synthetic_sources)) if synthetic_sources else False
+    if partitions:
+        stream = stream.repartition(partitions)
     return quality_filter(clean_and_score(stream, syn, prof), thresholds)
 
 
