@@ -14,11 +14,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from millstone import settings as S
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from millstone.operators.grouping import group_until_delimiter
 from millstone.operators.mixture import interleave
 from millstone.operators.quality import collect_thresholds, quality_filter, source_thresholds
 from millstone.operators.shuffle import block_shuffle
 from millstone.plans.prepare import prepare
 from millstone.session import materialize
+from millstone.sources.tables import SourceSpec, exclude_urls, read_source, union_sources
 
 
 @dataclass
@@ -46,3 +51,46 @@ def build_mixture(docs: DataFrame, cfg: MixtureConfig | None = None, write: bool
     mixed = interleave(kept, cfg.probs, cfg.seed)
     out = block_shuffle(mixed, "slot", cfg.shuffle_block, cfg.seed)
     return materialize(out, "mixture") if write else out
+
+
+@dataclass
+class CorpusSource:
+    """One corpus source of the mixture and how it is prepared."""
+
+    spec: SourceSpec
+    mix_prob: float
+    cut_ratio: float | None = None      # None: no quality threshold (passes)
+    url_exclude: tuple = ()             # C1 on the ``url`` column
+    group: bool = False                 # G1: merge rows until a delimiter row
+
+
+def load_corpus(spark: SparkSession, sources: list[CorpusSource]) -> DataFrame:
+    """A1 + C1 + G1 + A3: every source as ``(doc_id, source, text)``.
+
+    Grouped sources get the group's first row id as ``doc_id``; the group end
+    is the source's ``ends`` predicate, else "text contains the delimiter"."""
+    parts = []
+    for cs in sources:
+        df = read_source(spark, cs.spec)
+        if cs.url_exclude:
+            df = exclude_urls(df, list(cs.url_exclude))
+        if cs.group:
+            ends = F.col("_end") if "_end" in df.columns else None
+            df = group_until_delimiter(df, ["doc_id"], ends=ends).select(
+                F.col("first_doc_id").alias("doc_id"), F.lit(cs.spec.name).alias("source"), "text")
+        parts.append(df.select("doc_id", "source", "text"))
+    return union_sources(*parts)
+
+
+def corpus_mixture(spark: SparkSession, sources: list[CorpusSource], profile: str = "hangul",
+                   seed: int = S.SEED, sample_size: int = S.SAMPLE_SIZE,
+                   shuffle_block: int = S.SHUFFLE_BUFFER, write: bool = True) -> DataFrame:
+    """T2 from source definitions: load, group, clean, threshold, filter,
+    interleave, shuffle."""
+    cfg = MixtureConfig(
+        probs={cs.spec.name: cs.mix_prob for cs in sources},
+        cut_ratios={cs.spec.name: cs.cut_ratio for cs in sources if cs.cut_ratio is not None},
+        thresholded=tuple(cs.spec.name for cs in sources if cs.cut_ratio is not None),
+        synthetic=tuple(cs.spec.name for cs in sources if cs.spec.synthetic),
+        sample_size=sample_size, seed=seed, shuffle_block=shuffle_block, profile=profile)
+    return build_mixture(load_corpus(spark, sources), cfg, write=write)

@@ -137,3 +137,55 @@ register("l3_threshold_report", f"""WITH {_SQL_SCORED},
 cnt AS (SELECT source, count(*) AS n_docs, CAST(sum(CASE WHEN t.score >= th.threshold THEN 1 ELSE 0 END) AS BIGINT) AS n_kept
         FROM tsrc t JOIN th USING (source) GROUP BY source)
 SELECT source, cut_ratio, threshold, n_sample, n_docs, n_kept FROM th JOIN cnt USING (source)""")(_l3)
+
+
+# ------------------------------------------------------------------ T2 from source definitions
+TEST_URL_EXCLUDE = ("cheap-pills", "example.org")
+
+
+def test_sources(sf):
+    from millstone.plans.pipeline import CorpusSource
+    from millstone.sources.tables import SourceSpec
+
+    def docs(name, lo, hi):
+        where = "source IN (" + ", ".join(f"'src{i}'" for i in range(lo, hi)) + ")"
+        return SourceSpec(name, f"{sf}/documents.parquet", where=where)
+
+    return [
+        CorpusSource(docs("wiki", 0, 5), S.MIX_RATIOS["wiki"], S.CUT_RATIOS["wiki"]),
+        CorpusSource(docs("namu", 5, 10), S.MIX_RATIOS["namu"], S.CUT_RATIOS["namu"]),
+        CorpusSource(SourceSpec("culturax", f"{sf}/pages.parquet",
+                                columns={"doc_id": "page_id", "text": "html", "url": "url"}),
+                     S.MIX_RATIOS["culturax"], S.CUT_RATIOS["culturax"], url_exclude=TEST_URL_EXCLUDE),
+        CorpusSource(SourceSpec("stories", f"{sf}/conversations.parquet",
+                                columns={"doc_id": "conv_id * 1000000 + turn", "text": "text"},
+                                synthetic=True, ends="role = 'assistant'"),
+                     S.MIX_RATIOS["stories"], None, group=True),
+    ]
+
+
+def _t2_sources(spark, sf):
+    from millstone.plans.pipeline import corpus_mixture
+
+    return corpus_mixture(spark, test_sources(sf), "latin").select("position", "slot", "source", "doc_id", "text",
+                                                                   "score")
+
+
+_SQL_SOURCES = f"""
+conv AS (SELECT conv_id * 1000000 + turn AS doc_id, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS e FROM conversations),
+convg AS (SELECT *, coalesce(sum(e) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gid FROM conv),
+stories AS (SELECT min(doc_id) AS doc_id, 'stories' AS source, string_agg(text, ' ' ORDER BY doc_id) AS text FROM convg GROUP BY gid),
+m AS (SELECT doc_id, 'wiki' AS source, text FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4')
+      UNION ALL SELECT doc_id, 'namu' AS source, text FROM documents WHERE source IN ('src5', 'src6', 'src7', 'src8', 'src9')
+      UNION ALL SELECT page_id AS doc_id, 'culturax' AS source, html AS text FROM pages
+                WHERE NOT coalesce(contains(url, 'cheap-pills') OR contains(url, 'example.org'), false)
+      UNION ALL SELECT doc_id, source, text FROM stories),
+clean AS (SELECT doc_id, source, {Q.clean_text('text', "source = 'stories'", 'latin')} AS text FROM m),
+scored AS (SELECT doc_id, source, text, {Q.quality_score('text', 'latin')} AS score FROM clean),
+tsrc AS (SELECT * FROM scored WHERE source IN ('wiki', 'namu', 'culturax')),
+{sql_thresholds('tsrc', Q.d(0.3), S.SAMPLE_SIZE)},
+kept AS (SELECT s.* FROM scored s LEFT JOIN th USING (source) WHERE th.threshold IS NULL OR s.score >= th.threshold),
+{sql_mixture('kept')}, sh AS ({sql_block_shuffle('mix', S.SHUFFLE_BUFFER)})"""
+
+register("t2_sources_pipeline", f"""WITH {_SQL_SOURCES}
+SELECT position, slot, source, doc_id, text, score FROM sh""")(_t2_sources)

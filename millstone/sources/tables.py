@@ -28,7 +28,7 @@ class SourceSpec:
     """How to read one corpus source.
 
     ``columns`` maps output names (doc_id, text, optional url) to input column
-    names; ``where`` is an optional row predicate (SQL string) applied at the
+    names (``doc_id`` may be a SQL expression over the input); ``where`` is an optional row predicate (SQL string) applied at the
     scan so it reaches Parquet as a pushed filter where possible.
     """
 
@@ -39,6 +39,7 @@ class SourceSpec:
     where: str | None = None
     synthetic: bool = False
     options: dict = field(default_factory=dict)
+    ends: str | None = None  # SQL predicate marking rows that close a group (G1)
 
 
 def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
@@ -57,8 +58,8 @@ def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     if cols.get("text") not in df.columns:
         raise ValueError(f"source {spec.name}: text column {cols.get('text')!r} missing")
     out = []
-    if "doc_id" in cols and cols["doc_id"] in df.columns:
-        out.append(F.col(cols["doc_id"]).cast("bigint").alias("doc_id"))
+    if "doc_id" in cols and (cols["doc_id"] in df.columns or not cols["doc_id"].isidentifier()):
+        out.append(F.expr(cols["doc_id"]).cast("bigint").alias("doc_id"))
     else:
         # stable per-file id: hash of file path in the high bits + a monotonically
         # increasing id is not stable under re-partitioning, so use file + offset
@@ -70,6 +71,8 @@ def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     out.append(F.col(cols["text"]).cast("string").alias("text"))
     if "url" in cols:
         out.append(F.col(cols["url"]).cast("string").alias("url"))
+    if spec.ends:
+        out.append(F.coalesce(F.expr(spec.ends), F.lit(False)).alias("_end"))
     return df.select(*out)
 
 
