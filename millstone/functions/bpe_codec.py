@@ -83,3 +83,20 @@ class Codec:
         if buf:
             parts.append(buf.decode("utf-8", errors="replace"))
         return "".join(parts)
+
+
+_CODECS: dict = {}
+
+
+def shared_codec(key: str, payload) -> Codec:
+    """One codec per model per Python worker process, kept across tasks
+    (workers are reused), so the merge table is built once and the word
+    cache stays warm."""
+    c = _CODECS.get(key)
+    if c is None:
+        vocab, merges, specials, unk = payload() if callable(payload) else payload
+        c = Codec(vocab, [tuple(m) for m in merges], specials, unk)
+        if len(_CODECS) > 4:
+            _CODECS.clear()
+        _CODECS[key] = c
+    return c

@@ -220,14 +220,14 @@ def _codec_udfs(model: BpeModel):
         pass
     payload = (model.vocab, model.merges, model.specials, model.unk)
     bc = spark_ctx.broadcast(payload) if spark_ctx is not None else None
-    state = {}
+    import hashlib
+
+    key = hashlib.md5(repr((len(model.vocab), model.merges[-50:], model.vocab[-50:])).encode()).hexdigest()
 
     def codec() -> Codec:
-        c = state.get("c")
-        if c is None:
-            v, m, s, u = bc.value if bc is not None else payload
-            c = state["c"] = Codec(v, [tuple(x) for x in m], s, u)
-        return c
+        from millstone.functions.bpe_codec import shared_codec
+
+        return shared_codec(key, (lambda: bc.value) if bc is not None else payload)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType(), containsNull=False))
     def encode_udf(words: pd.Series) -> pd.Series:

@@ -79,7 +79,8 @@ def interleave(df: DataFrame, probs: dict[str, float] = S.MIX_RATIOS, seed: int
         if stop is not None:
             break
         n *= 2
-    picked = slot_plan(spark, stop + 1, probs, seed).withColumnRenamed("source", source_col)
+    # ordinals of slots <= stop do not depend on later slots: reuse the plan
+    picked = slots.where(F.col("slot") <= stop).withColumnRenamed("source", source_col)
     rows = df.where(F.col(source_col).isin(names))
     rows = running_sum(rows, list(order_cols), "ordinal", [source_col])
     return picked.join(rows, on=[source_col, "ordinal"], how="inner")
