@@ -79,15 +79,17 @@ def byte_pair_counts(words: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ K4
 
-def _seg_array(seg: Column) -> Column:
-    return F.split(F.trim(seg), " ").cast("array<int>")
-
-
 def _pair_top(w: DataFrame, k: int) -> list[tuple[int, int, int]]:
-    arr = _seg_array(F.col("seg"))
-    p = (w.select("freq", F.explode(_pairs(arr)).alias("p"))
-         .groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")).agg(F.sum("freq").alias("c")))
-    rows = p.orderBy(F.desc("c"), "l", "r").limit(k).collect()
+    """Top-k adjacent pairs by (count desc, left id, right id).
+
+    Overlapping pairs come straight from the segment string (a zero-width
+    lookahead match per position), ids are parsed only after aggregation,
+    on the small pair table, so the tie order is numeric."""
+    p = (w.select("freq", F.explode(F.regexp_extract_all("seg", F.lit(r"(?= (\d+ \d+) )"), 1)).alias("p"))
+         .groupBy("p").agg(F.sum("freq").alias("c")))
+    ids = F.split("p", " ")
+    rows = (p.select(ids[0].cast("int").alias("l"), ids[1].cast("int").alias("r"), "c")
+            .orderBy(F.desc("c"), "l", "r").limit(k).collect())
     return [(r["l"], r["r"], r["c"]) for r in rows]
 
 
