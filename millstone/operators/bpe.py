@@ -23,6 +23,7 @@ import time
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,10 +232,24 @@ def _codec_udfs(model: BpeModel):
 
         return shared_codec(key, (lambda: bc.value) if bc is not None else payload)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType(), containsNull=False))
-    def encode_udf(words: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.IntegerType(), containsNull=False))
+    def encode_udf(words: pa.Array) -> pa.Array:
+        """pre-tokens (list<string>) -> ids (list<int32>), Arrow in and out:
+        one flat list of words per batch, offsets rebuilt from lengths."""
         c = codec()
-        return pd.Series([c.encode(ws) if ws is not None else None for ws in words])
+        enc = c.encode_word
+        flat = words.flatten().to_pylist()
+        lens = words.value_lengths().fill_null(0).to_pylist()
+        vals: list[int] = []
+        offs = [0]
+        pos = 0
+        for n in lens:
+            for w in flat[pos:pos + n]:
+                vals.extend(enc(w))
+            pos += n
+            offs.append(len(vals))
+        mask = words.is_null() if words.null_count else None
+        return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(vals, pa.int32()), mask=mask)
 
     @F.pandas_udf(T.StringType())
     def decode_udf(ids: pd.Series) -> pd.Series:
