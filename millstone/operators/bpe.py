@@ -308,9 +308,16 @@ class Tokenizer:
         c = F.col(ids) if isinstance(ids, str) else ids
         return F.array_append(c, F.lit(self.model.eos_id))
 
+    def encode_docs(self, df: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
+        """K5 on a table: adds ``out``; a thin input is spread over the
+        cluster's cores first (encoding is CPU-bound Python)."""
+        from millstone.session import ensure_parallelism
+
+        return ensure_parallelism(df).withColumn(out, self.encode(text_col))
+
     def roundtrip(self, df: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
         """K8: ``(key, ids, subwords, decoded, ok)`` per input text."""
-        x = df.select(key, text_col, self.encode(text_col).alias("ids"))
+        x = self.encode_docs(df.select(key, text_col), text_col)
         return x.select(key, "ids", self.ids_to_tokens("ids").alias("subwords"),
                         self.decode("ids").alias("decoded"),
                         (self.decode("ids") == F.col(text_col)).alias("ok"))

@@ -7,19 +7,7 @@ from pyspark.sql import functions as F
 
 from millstone import settings as S
 from millstone.functions.text import clean_text, quality_score
-from millstone.session import materialize
-
-
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than the cluster has cores.
-
-    Cleaning is CPU-bound per row; a small file with few row groups would
-    leave cores idle. A scan of a large corpus has far more splits than
-    cores and is returned unchanged (no shuffle of the raw text)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * 2)
-    return df
+from millstone.session import ensure_parallelism, materialize
 
 
 def computed_once(df: DataFrame, name: str, expr: Column) -> DataFrame:

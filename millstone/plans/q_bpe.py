@@ -82,7 +82,7 @@ register("k4_vocab")(_k4_vocab)
 def _encoded(spark, sf):
     tok = Tokenizer(trained_model(spark, sf))
     mx = mixture(spark, sf).select("position", "doc_id", "text")
-    return tok, mx.withColumn("ids", tok.encode("text"))
+    return tok, tok.encode_docs(mx)
 
 
 def _ids_str(c):

@@ -100,3 +100,16 @@ def ship_package(spark) -> None:
                     z.write(p, os.path.relpath(p, os.path.dirname(root)))
     sc.addPyFile(out)
     _SHIPPED.add(key)
+
+
+def ensure_parallelism(df):
+    """Spread a thin input before CPU-bound per-row work (cleaning, encoding).
+
+    A small file with few row groups, or a small table that adaptive
+    execution coalesced into a couple of partitions, would leave cores idle.
+    Inputs with at least as many partitions as the cluster has cores (any
+    large corpus) are returned unchanged: no shuffle of the text."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2)
+    return df
