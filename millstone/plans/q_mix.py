@@ -189,3 +189,35 @@ kept AS (SELECT s.* FROM scored s LEFT JOIN th USING (source) WHERE th.threshold
 
 register("t2_sources_pipeline", f"""WITH {_SQL_SOURCES}
 SELECT position, slot, source, doc_id, text, score FROM sh""")(_t2_sources)
+
+
+# ------------------------------------------------------------------ G3, H4, C4 on their own
+from millstone.operators.order import first_n_per_group  # noqa: E402
+from millstone.operators.lookup import bounded_broadcast  # noqa: E402
+from millstone.operators.shuffle import first_rows  # noqa: E402
+
+G3_N = 3
+register("g3_first_n_per_source", f"""
+SELECT source, doc_id, n_chars, rk AS "rank" FROM (SELECT source, doc_id, n_chars,
+  row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rk FROM documents) WHERE rk <= {G3_N}""")(
+    lambda spark, sf: first_n_per_group(read_table(spark, sf, "documents").select("source", "doc_id", "n_chars"),
+                                        ["source"], [F.desc("n_chars"), F.col("doc_id")], G3_N))
+
+H4_N = 100
+register("h4_first_rows", f"""WITH kept AS ({_RAW_MAPPED}), {sql_mixture('kept')}
+SELECT slot, source, doc_id FROM mix WHERE slot < {H4_N}""")(
+    lambda spark, sf: first_rows(_i1(spark, sf), H4_N, "slot"))
+
+
+def _c4(spark, sf):
+    scored, th = _scored_and_thresholds(spark, sf)
+    t = th.select("source", "threshold")
+    tol = S.NEAR_THRESHOLD_TOLERANCE
+    return (scored.join(bounded_broadcast(t), "source")
+            .where(F.col("score").between(F.col("threshold") - tol, F.col("threshold") + tol))
+            .select("source", "doc_id", "score"))
+
+
+register("c4_threshold_band", f"""WITH {_SQL_SCORED}
+SELECT t.source, t.doc_id, t.score FROM tsrc t JOIN th USING (source)
+WHERE t.score >= th.threshold - {Q.d(0.05)} AND t.score <= th.threshold + {Q.d(0.05)}""")(_c4)

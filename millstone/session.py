@@ -109,6 +109,13 @@ def ensure_parallelism(df):
     execution coalesced into a couple of partitions, would leave cores idle.
     Inputs with at least as many partitions as the cluster has cores (any
     large corpus) are returned unchanged: no shuffle of the text."""
+    import re
+
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # only a plain scan -> filter -> project chain is inspected: for plans
+    # with exchanges, asking the partition count would run their stages
+    if re.search(r"\b(Aggregate|Join|Window|Repartition\w*|Sort|Expand|GlobalLimit|Generate|Union)\b", plan):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores * 2)
