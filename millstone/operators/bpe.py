@@ -199,7 +199,9 @@ def _merge_loop(cur, vocab, tok2id, vocab_size, top_k, checkpoint_every, max_rou
         rounds += 1
         if verbose:
             print(f"round {rounds}: +{len(batch)} merges, vocab {len(vocab)}, {time.time() - t0:.1f}s", flush=True)
-        nxt = cur.select("freq", expr.alias("seg"))
+        # words merged into a single token have no pair left: drop them, so
+        # the table every later round scans keeps shrinking
+        nxt = cur.select("freq", expr.alias("seg")).where(F.col("seg").rlike(r"^ \d+ \d+ "))
         nxt = nxt.checkpoint(eager=True) if rounds % checkpoint_every == 0 else nxt.cache()
         to_free, cur = cur, nxt
     return merges, rounds, to_free, cur
