@@ -60,8 +60,12 @@ class BpeModel:
 # ------------------------------------------------------------------ K1-K3
 
 def word_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """``(word, freq)`` over all pre-tokens of all texts."""
-    return (texts.select(F.explode(pretokens(text_col)).alias("word"))
+    """``(word, freq)`` over all pre-tokens of all texts (partial
+    counts per task before the shuffle; a thin input is spread first since
+    the pre-token regex is CPU-bound)."""
+    from millstone.session import ensure_parallelism
+
+    return (ensure_parallelism(texts).select(F.explode(pretokens(text_col)).alias("word"))
             .groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
 
 

@@ -13,6 +13,7 @@ from millstone.plans.q_mix import mixture
 from millstone.plans.sqlfrag import q
 from millstone.plans.registry import register
 from millstone.sources.tables import read_table
+from millstone.sources.tokenizer_store import load_tokenizer, save_tokenizer
 
 QUERY_VOCAB = 320
 _MODELS: dict = {}
@@ -51,14 +52,38 @@ SELECT CAST(('0x' || substr(h, 2 * i + 1, 2)) AS INTEGER) AS "left", CAST(('0x'
     lambda spark, sf: byte_pair_counts(word_counts(_docs(spark, sf))))
 
 
+MODEL_VERSION = "v1"  # bump when training semantics change: invalidates saved models
+
+
+def model_store(spark, sf: str, vocab_size: int) -> str:
+    """Where the query tokenizer is saved: the cluster's shared checkpoint
+    folder when the session names one, else a fixed local folder (tests)."""
+    import hashlib
+    import os
+    import tempfile
+
+    key = hashlib.md5(f"{os.path.abspath(sf)}|{vocab_size}|{MODEL_VERSION}".encode()).hexdigest()[:16]
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = os.path.join(tempfile.gettempdir(), "millstone-models")
+    return f"{base.rstrip('/')}/tokenizer-{key}"
+
+
 def trained_model(spark, sf, vocab_size: int = QUERY_VOCAB):
-    """K4 on the tokenizer training documents of the mixture (H5 + C3);
-    memoised per process: the model is small (bounded by vocab_size)."""
+    """K4 on the tokenizer training documents of the mixture (H5 + C3).
+
+    As in the original flow: load the saved tokenizer (A5); if there is none,
+    train and save it (A4). Also memoised per process (bounded by vocab_size)."""
     key = (sf, vocab_size, id(spark.sparkContext._jsc))
     m = _MODELS.get(key)
     if m is None:
-        docs = tokenizer_training_docs(mixture(spark, sf))
-        m = _MODELS[key] = train_bpe(word_counts(docs), vocab_size)
+        path = model_store(spark, sf, vocab_size)
+        m = load_tokenizer(spark, path)
+        if m is None:
+            docs = tokenizer_training_docs(mixture(spark, sf))
+            m = train_bpe(word_counts(docs), vocab_size)
+            save_tokenizer(spark, m, path)
+        _MODELS[key] = m
     return m
 
 
