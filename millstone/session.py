@@ -90,7 +90,13 @@ def ship_package(spark) -> None:
     key = id(sc._jsc)
     if key in _SHIPPED:
         return
+    # a cluster that installs the package on executors (or submits it with
+    # --py-files) turns this off
+    if spark.conf.get("spark.millstone.shipPackage", "true").lower() == "false":
+        _SHIPPED.add(key)
+        return
     root = os.path.dirname(os.path.abspath(__file__))
+    # the zip is code on the driver; addPyFile serves it to the executors
     out = os.path.join(tempfile.mkdtemp(prefix="millstone-pkg-"), "millstone.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, files in os.walk(root):
