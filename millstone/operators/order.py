@@ -36,17 +36,51 @@ def _tree(key: Column, splits: list[float], lo: int, hi: int) -> Column:
         _tree(key, splits, mid, hi))
 
 
-def range_bucket(df: DataFrame, key: str, n_buckets: int | None = None,
-                 rel_err: float = 0.001) -> Column:
-    """Range bucket of a numeric key with roughly equal row counts per bucket."""
+def range_bucket(df: DataFrame, key: str | list[str], n_buckets: int | None = None,
+                 rel_err: float = 0.001, sample_per_bucket: int = 32) -> Column:
+    """Range bucket of the order key with roughly equal row counts per bucket.
+
+    One numeric column: boundaries from ``approxQuantile``. A composite key
+    (e.g. ``(conv_id, turn)``) is split on the whole tuple, so one hot value
+    of the leading column still spreads over many buckets: boundaries are
+    taken from a seeded sample of about ``sample_per_bucket`` rows per bucket
+    (bounded) and compared as structs."""
     n = n_buckets or shuffle_partitions(df.sparkSession)
+    keys = [key] if isinstance(key, str) else list(key)
     if n <= 1:
         return F.lit(0)
-    probs = [i / n for i in range(1, n)]
-    splits = sorted(set(x for x in df.approxQuantile(key, probs, rel_err) if x is not None))
+    if len(keys) == 1:
+        probs = [i / n for i in range(1, n)]
+        splits = sorted(set(x for x in df.approxQuantile(keys[0], probs, rel_err) if x is not None))
+        if not splits:
+            return F.lit(0)
+        return _tree(F.col(keys[0]).cast("double"), [float(s) for s in splits], 0, len(splits))
+    total = df.count()
+    if total == 0:
+        return F.lit(0)
+    frac = min(1.0, sample_per_bucket * n / total)
+    sample = df.select(*keys).dropna().sample(False, frac, seed=17).collect()
+    rows = sorted(tuple(r) for r in sample)
+    splits = []
+    for i in range(1, n):
+        if rows:
+            t = rows[(i * len(rows)) // n]
+            if not splits or t > splits[-1]:
+                splits.append(t)
     if not splits:
         return F.lit(0)
-    return _tree(F.col(key).cast("double"), [float(s) for s in splits], 0, len(splits))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    key_struct = F.struct(*[F.col(k).alias(k) for k in keys])
+    lits = [F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, t)]) for t in splits]
+    return _tree_cols(key_struct, lits, 0, len(lits))
+
+
+def _tree_cols(key: Column, splits: list[Column], lo: int, hi: int) -> Column:
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi + 1) // 2
+    return F.when(key < splits[mid - 1], _tree_cols(key, splits, lo, mid - 1)).otherwise(
+        _tree_cols(key, splits, mid, hi))
 
 
 def dense_bucket(key: str, width: int) -> Column:
@@ -66,7 +100,7 @@ def running_sum(df: DataFrame, order_cols: list[str], out: str,
     """
     pcols = list(partition_cols)
     w = (weight if weight is not None else F.lit(1)).cast("bigint")
-    b = bucket if bucket is not None else range_bucket(df, order_cols[0], n_buckets)
+    b = bucket if bucket is not None else range_bucket(df, order_cols, n_buckets)
     x = df.withColumn(BUCKET, b).withColumn("_w", w)
     totals = x.groupBy(*pcols, BUCKET).agg(F.sum("_w").alias("_tot"))
     bw = Window.partitionBy(*pcols).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
