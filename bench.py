@@ -104,7 +104,7 @@ def main():
     info["pack_tokens_per_s"] = round(n_tokens / q["pack"], 1)
 
     q = {k: round(v, 3) for k, v in q.items()}
-    print(json.dumps({"metric": "pipeline_total_sec", "value": round(sum(q.values()), 3), "unit": "sec",
+    print(json.dumps({"metric": "corpus_prep_total_sec", "value": round(sum(q.values()), 3), "unit": "sec",
                       "queries": q, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
                       "cpus": int(cpus), "docs": n_docs, "info": info}))
     spark.stop()

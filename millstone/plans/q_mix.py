@@ -13,7 +13,7 @@ from millstone.operators.quality import source_thresholds
 from millstone.operators.shuffle import block_shuffle, tokenizer_training_docs
 from millstone.plans import sqlfrag as Q
 from millstone.plans.fixtures import mapped_source, mapped_source_sql
-from millstone.plans.pipeline import MixtureConfig, build_mixture
+from millstone.plans.corpus import MixtureConfig, build_mixture
 from millstone.plans.prepare import prepare
 from millstone.plans.q_text import sql_thresholds
 from millstone.plans.registry import register
@@ -144,7 +144,7 @@ TEST_URL_EXCLUDE = ("cheap-pills", "example.org")
 
 
 def test_sources(sf):
-    from millstone.plans.pipeline import CorpusSource
+    from millstone.plans.corpus import CorpusSource
     from millstone.sources.tables import SourceSpec
 
     def docs(name, lo, hi):
@@ -165,7 +165,7 @@ def test_sources(sf):
 
 
 def _t2_sources(spark, sf):
-    from millstone.plans.pipeline import corpus_mixture
+    from millstone.plans.corpus import corpus_mixture
 
     return corpus_mixture(spark, test_sources(sf), "latin").select("position", "slot", "source", "doc_id", "text",
                                                                    "score")
@@ -187,7 +187,7 @@ tsrc AS (SELECT * FROM scored WHERE source IN ('wiki', 'namu', 'culturax')),
 kept AS (SELECT s.* FROM scored s LEFT JOIN th USING (source) WHERE th.threshold IS NULL OR s.score >= th.threshold),
 {sql_mixture('kept')}, sh AS ({sql_block_shuffle('mix', S.SHUFFLE_BUFFER)})"""
 
-register("t2_sources_pipeline", f"""WITH {_SQL_SOURCES}
+register("t2_sources_mixture", f"""WITH {_SQL_SOURCES}
 SELECT position, slot, source, doc_id, text, score FROM sh""")(_t2_sources)
 
 

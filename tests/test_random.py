@@ -56,7 +56,7 @@ def test_clean_and_score_random(spark, prof):
         assert r.y == _py_clean(t, True, letters), repr(t)
 
 
-def test_pipeline_invariant_to_partitioning(spark):
+def test_mixture_invariant_to_partitioning(spark):
     from millstone.plans.q_mix import mixture
 
     outs = []
