@@ -22,7 +22,6 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -257,20 +256,33 @@ def _codec_udfs(model: BpeModel):
         mask = words.is_null() if words.null_count else None
         return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(vals, pa.int32()), mask=mask)
 
-    @F.pandas_udf(T.StringType())
-    def decode_udf(ids: pd.Series) -> pd.Series:
+    def _per_row(ids: pa.Array, fn):
+        """Apply ``fn`` to each row's id list (null rows stay null)."""
+        flat = ids.flatten().to_pylist()
+        lens = ids.value_lengths().to_pylist()
+        out, pos = [], 0
+        for n in lens:
+            if n is None:
+                out.append(None)
+                continue
+            out.append(fn(flat[pos:pos + n]))
+            pos += n
+        return out
+
+    @F.arrow_udf(T.StringType())
+    def decode_udf(ids: pa.Array) -> pa.Array:
         c = codec()
-        return pd.Series([c.decode(x) if x is not None else None for x in ids])
+        return pa.array(_per_row(ids, c.decode), pa.string())
 
-    @F.pandas_udf(T.StringType())
-    def decode_raw_udf(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.StringType())
+    def decode_raw_udf(ids: pa.Array) -> pa.Array:
         c = codec()
-        return pd.Series([c.decode(x, raw=True) if x is not None else None for x in ids])
+        return pa.array(_per_row(ids, lambda x: c.decode(x, raw=True)), pa.string())
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def tokens_udf(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def tokens_udf(ids: pa.Array) -> pa.Array:
         c = codec()
-        return pd.Series([c.tokens(x) if x is not None else None for x in ids])
+        return pa.array(_per_row(ids, c.tokens), pa.list_(pa.string()))
 
     return encode_udf, decode_udf, decode_raw_udf, tokens_udf
 
