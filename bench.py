@@ -13,7 +13,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -28,7 +27,7 @@ from millstone.operators.quality import collect_thresholds, quality_filter, sour
 from millstone.operators.shuffle import block_shuffle, tokenizer_training_docs  # noqa: E402
 from millstone.plans.fixtures import mapped_source  # noqa: E402
 from millstone.plans.prepare import prepare  # noqa: E402
-from millstone.session import get_spark, materialize  # noqa: E402
+from millstone.session import checkpoint_dir, get_spark, materialize  # noqa: E402
 
 
 def noop(df):
@@ -50,9 +49,8 @@ def main():
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     bpe_rounds = int(os.environ.get("BENCH_BPE_ROUNDS", "20"))
-    spark = get_spark("millstone-bench", f"local[{cpus}]", int(cpus) * 2,
-                      extra={"spark.driver.memory": "16g",
-                             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="millstone-bench-")})
+    spark = get_spark("millstone-bench", f"local[{cpus}]", int(cpus) * 2, extra={"spark.driver.memory": "16g"})
+    checkpoint_dir(spark)  # the session's spark.checkpoint.dir; a scratch folder only when unset
     docs = (spark.read.parquet(f"{sf_dir}/documents.parquet")
             .select("doc_id", mapped_source().alias("source"), "text"))
     n_docs = docs.count()

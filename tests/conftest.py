@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -15,7 +14,9 @@ SF01 = "/root/testdata/sf0.01"
 def spark():
     from millstone.session import get_spark
 
-    s = get_spark("millstone-tests", "local[8]", 8,
-                  extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="millstone-test-ckpt-")})
+    from millstone.session import checkpoint_dir
+
+    s = get_spark("millstone-tests", "local[8]", 8)
+    checkpoint_dir(s)  # the session's setting; a scratch folder only when it is unset
     yield s
     s.stop()
