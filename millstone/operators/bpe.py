@@ -150,13 +150,12 @@ def train_bpe(words: DataFrame, vocab_size: int = S.VOCAB_SIZE,
         byte_id[b] = tok2id[g]
     id_map = F.create_map(*[x for b, i in byte_id.items() for x in (F.lit(b), F.lit(i))])
     seg = F.concat(F.lit(" "), F.array_join(F.transform("b", lambda x: id_map[x]), " "), F.lit(" "))
-    # single-byte words have no pair: they only feed the alphabet
-    cur = w.where(F.size("b") >= 2).select("freq", seg.alias("seg")).checkpoint(eager=True)
-    # partitions sized to the table: every round is a job, so tiny tasks cost
-    # more in scheduling than in work; large tables keep rows_per_part rows each
-    n_words = cur.count()
+    # single-byte words have no pair: they only feed the alphabet.
+    # Partitions sized to the table (rows_per_part rows each, at least one per
+    # core), written once as the loop's starting point.
+    n_words = words.count()
     parts = max(spark.sparkContext.defaultParallelism, -(-n_words // rows_per_part))
-    cur = cur.repartition(parts).checkpoint(eager=True)
+    cur = w.where(F.size("b") >= 2).select("freq", seg.alias("seg")).repartition(parts).checkpoint(eager=True)
     merges: list[tuple[int, int, int]] = []
     rounds, to_free, t0 = 0, None, time.time()
     # the loop's stages have a fixed shape: AQE re-planning per round costs
