@@ -2,25 +2,24 @@
 
 Two bigram models, one of toxic and one of ordinary text, share their lowest order:
 
-    P_c(w|v) = (c_c(vw) - D2)+ / c_c(v) + g_c(v) P_c(w)
-    P_c(w)   = (c_c(w) - D1)+ / N_c + g_c P(w)
-    P(w)     = continuation count of w in both classes (distinct words before it), plus one half
+    P_c(w|v) = (c_c(vw) - D)+ / c_c(v) + g_c(v) P_c(w)
+    P_c(w)   = (n_c(w) - D)+ / N_c + g_c P(w)          n_c(w): distinct words before w in class c
+    P(w)     = the same continuation counts over both classes, plus one half
 
 so a rare expression falls back on counts that both classes share and says nothing
-about the class. Pairs and words seen once are left out of the class orders (their
-mass goes to the lower order). A text's evidence is the length-normalised difference of
-the two log-likelihoods, over the whole text and over its most toxic window of
-``WINDOW`` tokens; a logistic curve on these and the log length turns it into a
-score between 0 and 1. The curve is fitted on texts scored by a model that did
-not see them (two folds) and carries the label frequency as its prior.
+about the class, and a passage that is copied over and over counts once. A text's evidence is
+the difference of the two log-likelihoods: length-normalised over the whole text by the bigram models, and
+of its strongest ``WINDOW`` words by the word order; a logistic curve on these and the log length turns it into a
+score between 0 and 1. Curve and discount D (of ``DISCOUNTS``) are fitted on texts scored by a model that did
+not see them (two folds); the curve carries the label frequency as its prior.
 
 Fitting uses a bounded sample of labelled rows: at most ``PER_CLASS`` documents of
 each class, by hash order, so the model tables are bounded and broadcast.
 Scoring reads every document once, whole, with no shuffle. Only the text is
 an input of a score.
 
-Defined results: null text is empty; an empty text gets the prior of an average text;
-labels other than 0 and 1 are ignored, a document with both labels counts as toxic;
+Defined results: null text is empty; an empty text has no evidence, so it gets what the curve gives a text of length zero;
+labels other than 0 and 1 are ignored, a document with both labels counts as toxic, as does a text that has both;
 with either class unlabelled every score is 0; repeated rows and null ids
 are scored row by row (a null id counts as id text '' for the split).
 """
@@ -40,8 +39,9 @@ from pyspark.sql import functions as F
 from millstone.llm.common import flat, materialize, pick, prepare_session
 
 PER_CLASS = 4000
-WINDOW = 8
-CUTOFF = 2
+WINDOW = 1
+CUTOFF = 2           # words and pairs seen less often are left out of the class orders
+DISCOUNTS = (0.75, 2.0, 4.0, 8.0, 16.0)
 FOLDS, HELD_OUT = 5, 0
 BEGIN = "\x02"
 RIDGE = 1e-2
@@ -91,69 +91,62 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+class Counts:
+    """Counts of the sample: ``index`` of words, ``shared`` continuation counts, and per set of folds the
+    (word, class) continuation counts, (word, class) token counts and (pair, class) counts."""
+
+    def __init__(self, index: dict, shared: np.ndarray, cont: dict, tokens_: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
+        self.index, self.shared, self.cont = index, shared, cont
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        self.tokens, self.pairs, self.pair_counts = tokens_, pairs[order], pair_counts[order]
+
+    def model(self, folds: tuple[int, ...], discount: float) -> "Model":
+        return Model(self, folds, discount)
+
+
 class Model:
-    """Both class models as arrays over word indices; index -1 is an unknown word."""
-
-    def __init__(self, words: list[str], cont: np.ndarray, uni: np.ndarray, pairs: np.ndarray, counts: np.ndarray):
-        """``cont`` shared continuation counts, ``uni`` (word, class) counts, ``pairs`` (n, 2) word indices
-        and their ``counts`` (n, class)."""
-        self.index = {w: i for i, w in enumerate(words)}
-        n = uni.sum(0).astype(np.float64)
-        base = np.append(cont, 0) + 0.5
+    """Both class models as arrays over word numbers; the last number is the unknown word."""
+
+    def __init__(self, c: Counts, folds: tuple[int, ...], discount: float):
+        total = lambda a: sum(a[:, 2 * f:2 * f + 2] for f in folds)
+        self.index, n = c.index, len(c.index)
+        base = np.append(c.shared, 0) + 0.5
         base = base / base.sum()
-        d1, d2 = _discount(uni), _discount(counts)
-        self.uni = np.empty((len(words) + 1, 2))
-        for c in (0, 1):
-            top = np.maximum(np.append(uni[:, c], 0) - d1[c], 0) / max(n[c], 1)
-            self.uni[:, c] = top + (1 - top.sum()) * base
-        order = np.argsort(pairs[:, 0] * (len(words) + 1) + pairs[:, 1], kind="stable")
-        v = pairs[order, 0]
-        self.keys = v * (len(words) + 1) + pairs[order, 1]
-        # contexts: how often a word precedes a counted token is its own count
-        ctx = np.maximum(np.append(uni, [[0, 0]], 0), 1).astype(np.float64)
-        self.top = np.maximum(counts[order] - d2, 0) / ctx[v]
-        self.back = np.ones((len(words) + 1, 2))
-        for c in (0, 1):
-            self.back[:, c] -= np.minimum(np.bincount(v, self.top[:, c], len(words) + 1), 1 - 1e-6)
-
-    def evidence(self, text: str) -> np.ndarray:
-        """Log-likelihood difference (toxic minus ordinary) of every token."""
-        t = tokens(text)
-        if not t:
-            return np.zeros(0)
-        get, unknown = self.index.get, len(self.uni) - 1
-        w = np.fromiter((get(x, unknown) for x in t), np.int64, len(t))
-        v = np.empty(len(t), np.int64)
-        v[0] = get(BEGIN, unknown)
-        v[1:] = w[:-1]
-        key = v * len(self.uni) + w
-        at = np.searchsorted(self.keys, key)
-        hit = at < len(self.keys)
-        hit[hit] = self.keys[at[hit]] == key[hit]
-        p = self.back[v] * self.uni[w]
-        p[hit] += self.top[at[hit]]
-        p = np.log(p)
-        return p[:, 1] - p[:, 0]
+        word = np.zeros((n + 1, 2))
+        cont, context, pairs = c.cont[folds], total(c.tokens), total(c.pair_counts)
+        for k in (0, 1):
+            top = np.maximum(cont[:, k] - discount, 0) / max(cont[:, k].sum(), 1)
+            word[:n, k] = top
+            word[:, k] += (1 - top.sum()) * base
+        self.word = np.log(word)
+        v = c.pairs[:, 0]
+        self.keys = v * (n + 1) + c.pairs[:, 1]
+        top = np.maximum(pairs - discount, 0) / np.maximum(context[v], 1)
+        back = np.ones((n + 1, 2))
+        for k in (0, 1):
+            back[:, k] -= np.minimum(np.bincount(v, top[:, k], n + 1), 1 - 1e-6)
+        self.back = np.log(back)
+        # log P(w|v) of the pairs that keep a count
+        self.pair = np.log(top + back[v] * word[c.pairs[:, 1]])
 
     def features(self, text: str) -> tuple[float, float, float]:
-        e = self.evidence(text)
-        if not len(e):
+        """(length-normalised difference of the bigram log-likelihoods, strongest window of the word order, log length)."""
+        t = tokens(text)
+        if not t:
             return 0.0, 0.0, 0.0
+        get, unknown = self.index.get, len(self.word) - 1
+        w = np.fromiter((get(x, unknown) for x in t), np.int64, len(t))
+        v = np.concatenate([[get(BEGIN, unknown)], w[:-1]])
+        p = self.back[v] + self.word[w]
+        if len(self.keys):
+            key = v * len(self.word) + w
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            p[hit] = self.pair[at[hit]]
+        e = self.word[w, 1] - self.word[w, 0]
         s = np.concatenate([[0.0], np.cumsum(e)])
         k = min(WINDOW, len(e))
-        return float(s[-1] / len(e)), float((s[k:] - s[:-k]).max() / k), float(np.log1p(len(e)))
-
-
-def _discount(counts: np.ndarray) -> np.ndarray:
-    """Kneser-Ney discount n1 / (n1 + 2 n2) per class, over the counts kept here."""
-    n1, n2 = (counts == 1).sum(0), (counts == 2).sum(0)
-    return np.where(n1 + n2 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5).clip(0.1, 0.9)
-
-
-def _model(words: list[str], cont, uni4, pairs, pair4, folds: tuple[int, ...]) -> Model:
-    """The models of some folds; the count columns are 2 * fold + class."""
-    pick_ = lambda a: sum(a[:, 2 * f:2 * f + 2] for f in folds)
-    return Model(words, cont, pick_(uni4), pairs, pick_(pair4))
+        return float((p[:, 1] - p[:, 0]).mean()), float((s[k:] - s[:-k]).max() / k), float(np.log1p(len(e)))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -170,13 +163,15 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
-def _features(models: list[Model]):
+def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features of the sample under every discount, by the model of the other fold."""
+        counts = shared.value
+        models = [[counts.model((f,), d) for f in (0, 1)] for d in DISCOUNTS]
         for b in batches:
             text, y, fold = (b.column(i).to_pylist() for i in range(3))
-            x = [models[1 - f].features(t or "") for t, f in zip(text, fold)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*x)] + [pa.array(y, pa.int32())],
-                                             names=["x0", "x1", "x2", "y"])
+            x = [[v for m in models for v in m[1 - f].features(t or "")] for t, f in zip(text, fold)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
     return run
 
 
@@ -219,37 +214,48 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if len(many) < 2:
         return None
     d = pick(docs, d=doc_id, text=text)
-    # the sample has at most 2 * per_class rows
-    rows = d.join(F.broadcast(sample), F.col("d") == F.col("doc_id")).select("text", "toxic", "fold")
+    # the sample has at most 2 * per_class rows; equal texts count once
+    rows = (d.join(F.broadcast(sample), F.col("d") == F.col("doc_id")).groupBy("text")
+            .agg(F.max("toxic").alias("toxic"), F.min("fold").alias("fold")))
     rows = materialize(rows, "toxic-sample")
     got = rows.groupBy("toxic", "fold").count().collect()
     if len({r["toxic"] for r in got}) < 2:
         return None
     cells = rows.mapInArrow(_pairs, "v string, w string, cell int, n bigint")
-    cells = materialize(cells.groupBy("v", "w").agg(*[F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}") for c in range(4)]), "toxic-pairs")
     col = [f"c{c}" for c in range(4)]
+    cells = materialize(cells.groupBy("v", "w").agg(
+        *[F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(col[c]) for c in range(4)]), "toxic-pairs")
     total = sum((F.col(c) for c in col), F.lit(0))
-    uni = (cells.groupBy("w").agg(F.count("*").alias("cont"), *[F.sum(c).alias(c) for c in col])
+    some = lambda *c: F.sum((sum((F.col(x) for x in c), F.lit(0)) > 0).cast("int"))
+    uni = (cells.groupBy("w").agg(F.count("*").alias("shared"), *[some(c).alias(f"n{c}") for c in col],
+                                  some("c0", "c2").alias("n0"), some("c1", "c3").alias("n1"), *[F.sum(c).alias(c) for c in col])
            .where(total >= CUTOFF).orderBy("w").toPandas())
     big = cells.where(total >= CUTOFF).orderBy("v", "w").toPandas()
-    words = [*uni["w"], BEGIN]
-    index = {w: i for i, w in enumerate(words)}
-    starts = np.zeros((1, 4), np.int64)
+    index = {w: i for i, w in enumerate([*uni["w"], BEGIN])}
+    pad = lambda a: np.concatenate([a, np.zeros((1, a.shape[1]), a.dtype)])
+    tok = pad(uni[col].to_numpy(np.int64))
     for r in got:
-        starts[0, 2 * r["fold"] + r["toxic"]] = r["count"]
-    uni4 = np.concatenate([uni[col].to_numpy(np.int64), starts])
-    cont = np.append(uni["cont"].to_numpy(np.float64), 0)
+        tok[-1, 2 * r["fold"] + r["toxic"]] = r["count"]
+    cont = {(f,): pad(uni[[f"nc{2 * f}", f"nc{2 * f + 1}"]].to_numpy(np.int64)) for f in (0, 1)}
+    cont[(0, 1)] = pad(uni[["n0", "n1"]].to_numpy(np.int64))
     big = big[big["v"].isin(index) & big["w"].isin(index)]
     pairs = np.column_stack([big["v"].map(index).to_numpy(np.int64), big["w"].map(index).to_numpy(np.int64)])
-    pair4 = big[col].to_numpy(np.int64)
-    halves = [_model(words, cont, uni4, pairs, pair4, (f,)) for f in (0, 1)]
-    x = rows.mapInArrow(_features(halves), "x0 double, x1 double, x2 double, y int").toPandas()
-    y = x["y"].to_numpy(np.float64)
-    curve = _fit_curve(x[["x0", "x1", "x2"]].to_numpy(), y)
+    counts = Counts(index, np.append(uni["shared"].to_numpy(np.float64), 0), cont, tok, pairs, big[col].to_numpy(np.int64))
+
+    x = rows.mapInArrow(_features(docs.sparkSession.sparkContext.broadcast(counts)), "x array<double>, y int").toPandas()
+    y, x = x["y"].to_numpy(np.float64), np.stack(x["x"].to_numpy()).reshape(len(x), len(DISCOUNTS), 3)
+    curves = [_fit_curve(x[:, i], y) for i in range(len(DISCOUNTS))]
+    best = int(np.argmax([_likelihood(x[:, i], y, c) for i, c in enumerate(curves)]))
+    curve = curves[best]
     # the sample is balanced by bound, the labels are not
     odds = lambda a, b: np.log(max(a, 1) / max(b, 1))
     curve[0] += odds(many.get(1, 0), many.get(0, 0)) - odds(y.sum(), len(y) - y.sum())
-    return _model(words, cont, uni4, pairs, pair4, (0, 1)), curve
+    return counts.model((0, 1), DISCOUNTS[best]), curve
+
+
+def _likelihood(x: np.ndarray, y: np.ndarray, curve: np.ndarray) -> float:
+    z = curve[0] + x @ curve[1:]
+    return float(-np.logaddexp(0, np.where(y > 0, -z, z)).mean())
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
