@@ -42,7 +42,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
-MEMO = 200_000          # segments kept per worker
+MEMO = 400_000          # segments kept per worker
 MEMO_CHARS = 32
 PAIRS = 2_000_000       # context verdicts kept per worker
 BATCH_IDS = 1_000_000
@@ -104,13 +104,16 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
         self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k == NORMAL}
         self.cost = {p: -s for p, s, k in pieces if k == NORMAL}
-        self.longest = max(map(len, self.ids), default=1)
         self.penalty = max(self.cost.values(), default=0.0) + UNK_PENALTY
-        # lexicon arcs end at a character: last character -> lengths of pieces that end so
+        # arcs by their first two characters (lengths of pieces, longest first) and by their last one
+        starts: dict[str, set] = {}
         ends: dict[str, set] = {}
         for p in self.ids:
+            if len(p) > 1:
+                starts.setdefault(p[:2], {1}).add(len(p))
             ends.setdefault(p[-1], {1}).add(len(p))
-        self.ends = {c: sorted(n, reverse=True) for c, n in ends.items()}
+        self.starts = {c: sorted(n, reverse=True) for c, n in starts.items()}
+        self.ends = {c: sorted(n) for c, n in ends.items()}
         words = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.cut = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if words and self.kind == BPE else lambda t: [t] if t else []
         self.memo: dict[str, list[int]] = {}
@@ -159,28 +162,30 @@ class Transducer:
 
     # composition and shortest path
     def _bpe_path(self, s: str) -> list[str]:
-        """The one finite path: the last piece of every prefix, then back."""
-        cost, ends, stays = self.cost, self.ends, self.stays
-        last: list[str] = [""] * (len(s) + 1)
-        for i in range(1, len(s) + 1):
-            for n in ends.get(s[i - 1], (1,)):
-                if n > i:
+        """The one path of finite weight. Arcs are followed depth first, long pieces first; a position
+        found to have no finite way on is dead, since only one path leads to a position."""
+        cost, starts, stays = self.cost, self.starts, self.stays
+        out: list[str] = []
+        dead: set[int] = set()
+        pos, size, cap = 0, len(s), len(s)  # cap: longest piece still to be tried here
+        while pos < size:
+            last = out[-1] if out else None
+            for n in starts.get(s[pos:pos + 2], (1,)):
+                if n > cap or pos + n in dead or n > size - pos:
                     continue
-                p = s[i - n:i]
+                p = s[pos:pos + n]
                 if n > 1 and p not in cost:
                     continue
-                if i == n:
-                    if n == 1 or self._whole(p):
-                        last[i] = p
-                        break
-                elif stays(last[i - n], p):
-                    last[i] = p
+                if (n == 1 or self._whole(p)) if last is None else stays(last, p):
+                    out.append(p)
+                    pos += n
+                    cap = size
                     break
-        out, i = [], len(s)
-        while i:
-            out.append(last[i])
-            i -= len(last[i])
-        return out[::-1]
+            else:
+                dead.add(pos)
+                cap = len(out.pop()) - 1
+                pos -= cap + 1
+        return out
 
     def _whole(self, p: str) -> bool:
         """A piece stands alone when merging its characters gives it back."""
@@ -198,7 +203,7 @@ class Transducer:
     def _unigram_path(self, s: str) -> list[str]:
         best, back = [0.0] + [INF] * len(s), [0] * (len(s) + 1)
         for i in range(1, len(s) + 1):
-            for n in sorted({1, *self.ends.get(s[i - 1], ())}):
+            for n in self.ends.get(s[i - 1], (1,)):
                 if n > i:
                     break
                 c = self.cost.get(s[i - n:i], self.penalty if n == 1 else INF)
