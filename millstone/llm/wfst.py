@@ -98,10 +98,10 @@ class Transducer:
         if any(kind == USER for _, _, kind in pieces):
             raise ValueError("models with user-defined pieces are not handled")
         self.dummy, self.squeeze, self.escape = normaliser.get(3, 1), normaliser.get(4, 1), normaliser.get(5, 1)
-        self.pieces = [p for p, _, _ in pieces]
-        self.kinds = [k for _, _, k in pieces]
-        self.unk = self.kinds.index(UNKNOWN)
+        self.unk = [k for _, _, k in pieces].index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
+        self.raw = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE
+                    else p.encode() for p, _, k in pieces]
         self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k == NORMAL}
         self.cost = {p: -s for p, s, k in pieces if k == NORMAL}
         self.penalty = max(self.cost.values(), default=0.0) + UNK_PENALTY
@@ -216,9 +216,6 @@ class Transducer:
         return out[::-1]
 
     def _segment(self, s: str) -> list[int]:
-        got = self.memo.get(s)
-        if got is not None:
-            return got
         out = []
         for p in self._bpe_path(s) if self.kind == BPE else self._unigram_path(s):
             i = self.ids.get(p)
@@ -236,23 +233,16 @@ class Transducer:
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        get = self.memo.get
         for s in self.cut(self.normalise(text)):
-            out += self._segment(s)
+            got = get(s)
+            out += got if got is not None else self._segment(s)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Pieces back to text: bytes joined as UTF-8, marker to blank, dummy prefix removed."""
-        buf = bytearray()
-        kinds, pieces = self.kinds, self.pieces
-        for i in ids:
-            k = kinds[i]
-            if k == BYTE:
-                buf.append(int(pieces[i][3:5], 16))
-            elif k == UNKNOWN:
-                buf += " ⁇ ".encode()
-            elif k != CONTROL:
-                buf += pieces[i].encode()
-        text = buf.decode("utf-8", "replace")
+        raw = self.raw
+        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
         if self.escape:
             text = text.replace(MARK, " ")
         return text[1:] if self.dummy and text.startswith(" ") else text
