@@ -42,8 +42,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 40, 5
 STEP = 20
 TOLERANCE = 1e-9
-BLOCK = 2048
-SETS_PER_TASK = 2000
+BLOCK = 512
+SETS_PER_TASK = 1000
 _RNG = np.random.default_rng(20240613)
 _MUL = (_RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
