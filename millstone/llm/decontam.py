@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -193,18 +194,18 @@ def shards(items: DataFrame, item_id: str, text: str, shard: int) -> Iterator[li
 def contaminated_column(spark, items: DataFrame, text: str, item_id: str = "item_id", item_text: str = "text",
                         threshold: float = THRESHOLD, overlap: float = OVERLAP, shard: int = SHARD) -> Column:
     """True where a text column holds a verified match."""
-    import pandas as pd
-
     out = F.lit(False)
     for held in shards(items, item_id, item_text, shard):
-        index = spark.sparkContext.broadcast(Index(held))
+        out = out | _matcher(spark.sparkContext.broadcast(Index(held)), threshold, overlap)(F.col(text))
+    return out
 
-        @F.pandas_udf("boolean")
-        def match(t: pd.Series, index=index) -> pd.Series:
-            return pd.Series([bool(index.value.matches(x or "", threshold, overlap)) for x in t], dtype=bool)
 
-        out = out | match(F.col(text))
-    return out
+def _matcher(index, threshold: float, overlap: float):
+    @F.pandas_udf("boolean")
+    def match(t: pd.Series) -> pd.Series:
+        return pd.Series([bool(index.value.matches(x or "", threshold, overlap)) for x in t], dtype=bool)
+
+    return match
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",

@@ -31,6 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -188,8 +189,6 @@ def _score(shared):
 
 def score_column(spark, fitted, text: str) -> Column:
     """Score of a text column under a fitted model; 0 without one."""
-    import pandas as pd
-
     shared = spark.sparkContext.broadcast(fitted) if fitted is not None else None
 
     @F.pandas_udf("double")
