@@ -229,7 +229,7 @@ def _codec_udfs(model: BpeModel):
     bc = spark_ctx.broadcast(payload) if spark_ctx is not None else None
     import hashlib
 
-    key = hashlib.md5(repr((len(model.vocab), model.merges[-50:], model.vocab[-50:])).encode()).hexdigest()
+    key = hashlib.md5(repr(payload).encode()).hexdigest()  # of the whole model
 
     def codec() -> Codec:
         from millstone.functions.bpe_codec import shared_codec

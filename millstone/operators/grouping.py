@@ -35,7 +35,9 @@ def group_until_delimiter(df: DataFrame, order_cols: list[str], text_col: str =
             .agg(rows.alias("_rows"), F.count(F.lit(1)).alias("_n"))
             .select(*pcols, "group_id", BUCKET, "_n",
                     F.col("_rows")[0][order_cols[0]].alias("_first"),
-                    F.array_join(F.transform("_rows", lambda r: r["_t"]), sep).alias("_piece")))
+                    # a bucket of null texts adds no piece
+                    F.when(F.exists("_rows", lambda r: r["_t"].isNotNull()),
+                           F.array_join(F.transform("_rows", lambda r: r["_t"]), sep)).alias("_piece")))
     pieces = F.array_sort(F.collect_list(F.struct(F.col(BUCKET), F.col("_piece"))))
     return (part.groupBy(*pcols, "group_id")
             .agg(pieces.alias("_p"), F.sum("_n").alias("n_rows"), F.min("_first").alias(first))

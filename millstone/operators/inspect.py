@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from millstone import settings as S
 from millstone.functions.draws import hash_key
 from millstone.functions.text import near_preview, preview
-from millstone.operators.lookup import bounded_broadcast
 from millstone.operators.order import first_n_per_group
 from millstone.operators.shuffle import first_rows
 
@@ -27,7 +26,7 @@ def near_threshold(scored: DataFrame, thresholds: DataFrame, n: int = S.NEAR_THR
     [threshold - tol, threshold + tol] (closed), first in the seeded shuffle
     order. One query for all sources; the per-source top-n is a
     WindowGroupLimit (partial top-n before the shuffle)."""
-    t = bounded_broadcast(thresholds.select("source", "threshold"))
+    t = thresholds.select("source", "threshold")
     band = (scored.join(t, "source")
             .where((F.col("score") >= F.col("threshold") - tolerance)
                    & (F.col("score") <= F.col("threshold") + tolerance)))
@@ -37,8 +36,7 @@ def near_threshold(scored: DataFrame, thresholds: DataFrame, n: int = S.NEAR_THR
 
 def threshold_report(scored: DataFrame, thresholds: DataFrame) -> DataFrame:
     """L3: per source: ratio, threshold, sample size, documents and kept documents."""
-    t = bounded_broadcast(thresholds)
-    counts = (scored.join(t, "source", "inner")
+    counts = (scored.join(thresholds, "source", "inner")
               .groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
                                      F.sum((F.col("score") >= F.col("threshold")).cast("bigint")).alias("n_kept")))
     return thresholds.join(counts, "source").select("source", "cut_ratio", "threshold", "n_sample",

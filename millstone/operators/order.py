@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millstone.operators.lookup import bounded_broadcast
 from millstone.session import shuffle_partitions
 
 BUCKET = "_bucket"
@@ -40,7 +39,7 @@ def range_bucket(df: DataFrame, key: str | list[str], n_buckets: int | None = No
                  rel_err: float = 0.001, sample_per_bucket: int = 32) -> Column:
     """Range bucket of the order key with roughly equal row counts per bucket.
 
-    One numeric column: boundaries from ``approxQuantile``. A composite key
+    One numeric column: boundaries from ``approxQuantile``. Any other key
     (e.g. ``(conv_id, turn)``) is split on the whole tuple, so one hot value
     of the leading column still spreads over many buckets: boundaries are
     taken from a seeded sample of about ``sample_per_bucket`` rows per bucket
@@ -49,12 +48,16 @@ def range_bucket(df: DataFrame, key: str | list[str], n_buckets: int | None = No
     keys = [key] if isinstance(key, str) else list(key)
     if n <= 1:
         return F.lit(0)
-    if len(keys) == 1:
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    if len(keys) == 1 and dict(df.dtypes)[keys[0]] in numeric:
+        rel_err = min(rel_err, 0.25 / n)  # finer than the buckets asked for
         probs = [i / n for i in range(1, n)]
         splits = sorted(set(x for x in df.approxQuantile(keys[0], probs, rel_err) if x is not None))
         if not splits:
             return F.lit(0)
-        return _tree(F.col(keys[0]).cast("double"), [float(s) for s in splits], 0, len(splits))
+        # nulls sort first
+        return F.when(F.col(keys[0]).isNull(), 0).otherwise(
+            _tree(F.col(keys[0]).cast("double"), [float(s) for s in splits], 0, len(splits)))
     total = df.count()
     if total == 0:
         return F.lit(0)
@@ -105,7 +108,11 @@ def running_sum(df: DataFrame, order_cols: list[str], out: str,
     totals = x.groupBy(*pcols, BUCKET).agg(F.sum("_w").alias("_tot"))
     bw = Window.partitionBy(*pcols).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*pcols, BUCKET, F.coalesce(F.sum("_tot").over(bw), F.lit(0)).cast("bigint").alias("_base"))
-    x = x.join(bounded_broadcast(base), on=[*pcols, BUCKET], how="inner")
+    same = F.col(BUCKET) == F.col("_on")
+    for i, c in enumerate(pcols):  # a null group key is a group
+        base = base.withColumnRenamed(c, f"_on{i}")
+        same &= F.col(c).eqNullSafe(F.col(f"_on{i}"))
+    x = x.join(base.withColumnRenamed(BUCKET, "_on"), same).drop("_on", *[f"_on{i}" for i in range(len(pcols))])
     rw = Window.partitionBy(*pcols, BUCKET).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     incl = F.col("_base") + F.sum("_w").over(rw)
     x = x.withColumn(out, incl if inclusive else incl - F.col("_w"))

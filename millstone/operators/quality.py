@@ -11,20 +11,25 @@ from pyspark.sql import functions as F
 
 from millstone import settings as S
 from millstone.functions.draws import hash_key, hash_prefix
-from millstone.operators.lookup import bounded_broadcast
 
 HIST_BITS = 16  # histogram resolution of the sample cutoff
-CUT_ROW_LIMIT = 10_000  # sources whose cut is applied as a literal filter
 
 
 def literal_map(d: dict) -> Column:
     """A map literal from a small parameter dict (no join needed)."""
     kv = []
     for k, v in d.items():
-        kv += [F.lit(k), F.lit(v)]
+        if k is not None:
+            kv += [F.lit(k), F.lit(v)]
     return F.create_map(*kv)
 
 
+def lookup(d: dict, key: Column) -> Column:
+    """Value of ``key`` in a small parameter dict, a null key included; null where absent."""
+    some = literal_map(d)[key] if any(k is not None for k in d) else F.lit(None)
+    return F.when(key.isNull(), F.lit(d.get(None))).otherwise(some)
+
+
 def sample_per_source(df: DataFrame, k: int = S.SAMPLE_SIZE, seed: int = S.SEED,
                       key: str = "doc_id", source_col: str = "source") -> DataFrame:
     """H1 + H2: per source, the first ``min(k, n)`` rows of the seeded hash order
@@ -44,15 +49,9 @@ def sample_per_source(df: DataFrame, k: int = S.SAMPLE_SIZE, seed: int = S.SEED,
            .withColumn("_prev", F.col("_cum") - F.col("_c"))
            .where(F.col("_prev") < k)            # bins needed to reach k rows
            .groupBy(source_col).agg(F.max("_bin").alias("_cut")))
-    cut_rows = cut.limit(CUT_ROW_LIMIT + 1).collect()
-    if len(cut_rows) <= CUT_ROW_LIMIT:
-        # one row per source: a map literal keeps this a plain filter on key
-        # columns, which Catalyst pushes below any expensive projection of
-        # ``df`` (e.g. cleaning and scoring), so only sampled rows pay for it
-        cut_of = literal_map({r[source_col]: r["_cut"] for r in cut_rows})[F.col(source_col)]
-        kept = x.where(F.col("_bin") <= cut_of)
-    else:
-        kept = (x.join(cut, on=source_col, how="inner").where(F.col("_bin") <= F.col("_cut")).drop("_cut"))
+    cut = cut.withColumnRenamed(source_col, "_src")
+    kept = (x.join(cut, F.col(source_col).eqNullSafe(F.col("_src")) & (F.col("_bin") <= F.col("_cut")))
+            .drop("_cut", "_src"))
     rw = Window.partitionBy(source_col).orderBy(hash_key(key, seed), F.col(key))
     return (kept.withColumn("sample_rank", F.row_number().over(rw))
             .where(F.col("sample_rank") <= k)
@@ -94,33 +93,32 @@ def source_thresholds(scored: DataFrame, ratios: dict | None = None,
     column; if the score is an expression it is evaluated on sampled rows only.
     Sources without rows get no threshold row (nothing to filter)."""
     df = scored if sources is None else scored.where(F.col("source").isin(list(sources)))
+    df = df.where(F.col(score_col).isNotNull())  # a row without a score is in no sample
     sample = sample_per_source(df.select("source", key, score_col), sample_size, seed, key)
-    ratio = F.coalesce(literal_map(ratios or {})[F.col("source")], F.lit(float(default_ratio))) \
-        if ratios else F.lit(float(default_ratio))
+    ratio = F.coalesce(lookup(ratios or {}, F.col("source")), F.lit(float(default_ratio)))
     th = quantile_per_group(sample.withColumn("cut_ratio", ratio), score_col, F.col("cut_ratio"),
                             ["source", "cut_ratio"], out="threshold")
     return th.select("source", "cut_ratio", "n_sample", "threshold")
 
 
-def collect_thresholds(thresholds: DataFrame, limit: int = 100_000) -> dict[str, float]:
-    """Thresholds as a dict (one float per source; bounded by the source list)."""
-    rows = thresholds.select("source", "threshold").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("too many sources for a threshold dict; pass the DataFrame instead")
-    return {r["source"]: r["threshold"] for r in rows}
+def collect_thresholds(thresholds: DataFrame) -> dict[str, float]:
+    """Thresholds as a dict, one float per source: for source lists that fit
+    the driver. ``quality_filter`` takes the DataFrame as well."""
+    return {r["source"]: r["threshold"] for r in thresholds.select("source", "threshold").toLocalIterator()}
 
 
 def quality_filter(df: DataFrame, thresholds: dict | DataFrame, score_col: str = "score") -> DataFrame:
     """Keep rows with score >= their source's threshold; sources with no
-    threshold pass. A dict becomes a map literal (plain filter, no join); a
-    DataFrame is joined after a size check."""
+    threshold pass, rows without a score never do. A dict becomes a map
+    literal (plain filter, no join); a DataFrame is joined."""
+    df = df.where(F.col(score_col).isNotNull())
     if isinstance(thresholds, dict):
-        thr = literal_map(thresholds)[F.col("source")] if thresholds else F.lit(None).cast("double")
+        thr = lookup(thresholds, F.col("source"))
         return df.where(thr.isNull() | (F.col(score_col) >= thr))
-    t = bounded_broadcast(thresholds.select("source", F.col("threshold").alias("_thr")))
-    return (df.join(t, on="source", how="left")
+    t = thresholds.select(F.col("source").alias("_src"), F.col("threshold").alias("_thr"))
+    return (df.join(t, F.col("source").eqNullSafe(F.col("_src")), "left")
             .where(F.col("_thr").isNull() | (F.col(score_col) >= F.col("_thr")))
-            .drop("_thr"))
+            .drop("_thr", "_src"))
 
 
 def min_length(df: DataFrame, n: int = S.DOC_MIN_LENGTH, text_col: str = "text") -> DataFrame:

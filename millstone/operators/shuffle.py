@@ -49,10 +49,12 @@ def first_rows(df: DataFrame, n: int, position_col: str = "position") -> DataFra
     return df.where(F.col(position_col) < n)
 
 
-def tokenizer_training_docs(df: DataFrame, limit: int = S.TOKENIZER_TRAIN_LIMIT,
+def tokenizer_training_docs(df: DataFrame, limit: int | None = None,
                             min_length: int = S.DOC_MIN_LENGTH, position_col: str = "position",
                             text_col: str = "text") -> DataFrame:
-    """H5 + C3: the documents a tokenizer is trained on: the first
+    """H5 + C3: the documents a tokenizer is trained on: those of at least
+    ``min_length`` code points, of all rows or, with a ``limit``, of the first
     ``limit + 2`` rows of the shuffled mixture (the original loop checks its
-    cap after taking a row), then those of at least ``min_length`` code points."""
-    return df.where((F.col(position_col) <= limit + 1) & (F.length(text_col) >= min_length))
+    cap after taking a row)."""
+    df = df.where(F.length(text_col) >= min_length)
+    return df if limit is None else df.where(F.col(position_col) <= limit + 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millstone import settings as S
@@ -13,6 +15,7 @@ from millstone.plans.q_mix import mixture
 from millstone.plans.sqlfrag import q
 from millstone.plans.registry import register
 from millstone.sources.tables import read_table
+from millstone.session import scratch_path
 from millstone.sources.tokenizer_store import load_tokenizer, save_tokenizer
 
 QUERY_VOCAB = 320
@@ -52,39 +55,29 @@ SELECT CAST(('0x' || substr(h, 2 * i + 1, 2)) AS INTEGER) AS "left", CAST(('0x'
     lambda spark, sf: byte_pair_counts(word_counts(_docs(spark, sf))))
 
 
-MODEL_VERSION = "v1"  # bump when training semantics change: invalidates saved models
-
+def trained_model(spark, sf, vocab_size: int = QUERY_VOCAB):
+    """K4 on the tokenizer training documents of the mixture (H5 + C3).
 
-def model_store(spark, sf: str, vocab_size: int) -> str:
-    """Where the query tokenizer is saved: the cluster's shared checkpoint
-    folder when the session names one, else a fixed local folder (tests)."""
-    import hashlib
-    import os
-    import tempfile
+    Trained from the documents; queries of one session share the model as long
+    as the input files are the same ones (names, sizes and times)."""
+    files = (spark.read.format("binaryFile").load(_docs(spark, sf).inputFiles())
+             .agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.sum(F.xxhash64("path", "modificationTime").cast("decimal(38,0)"))))
+    key = (sf, vocab_size, id(spark.sparkContext._jsc), tuple(files.first()))
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = train_bpe(word_counts(tokenizer_training_docs(mixture(spark, sf))), vocab_size)
+    return _MODELS[key]
 
-    key = hashlib.md5(f"{os.path.abspath(sf)}|{vocab_size}|{MODEL_VERSION}".encode()).hexdigest()[:16]
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "millstone-models")
-    return f"{base.rstrip('/')}/tokenizer-{key}"
 
+def _a4(spark, sf):
+    """A4 + A5: the trained tokenizer, saved to the shared folder and loaded again."""
+    m = trained_model(spark, sf)
+    back = load_tokenizer(spark, save_tokenizer(spark, m, scratch_path(spark, f"millstone/tokenizer-{uuid.uuid4().hex[:12]}")))
+    rows = [(i, t, t == m.vocab[i], t in back.specials, t == back.unk) for i, t in enumerate(back.vocab)]
+    return spark.createDataFrame(rows, "token_id int, token string, same boolean, is_special boolean, is_unk boolean")
 
-def trained_model(spark, sf, vocab_size: int = QUERY_VOCAB):
-    """K4 on the tokenizer training documents of the mixture (H5 + C3).
 
-    As in the original flow: load the saved tokenizer (A5); if there is none,
-    train and save it (A4). Also memoised per process (bounded by vocab_size)."""
-    key = (sf, vocab_size, id(spark.sparkContext._jsc))
-    m = _MODELS.get(key)
-    if m is None:
-        path = model_store(spark, sf, vocab_size)
-        m = load_tokenizer(spark, path)
-        if m is None:
-            docs = tokenizer_training_docs(mixture(spark, sf))
-            m = train_bpe(word_counts(docs), vocab_size)
-            save_tokenizer(spark, m, path)
-        _MODELS[key] = m
-    return m
+register("a4_a5_tokenizer_store")(_a4)
 
 
 def _k4(spark, sf):

@@ -105,7 +105,7 @@ FROM sh WHERE position < {S.INSPECT_SAMPLES}""")(lambda spark, sf: inspect_sampl
 register("h5_train_sample", f"""WITH {_SQL_PIPE}
 SELECT position, doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM sh
 WHERE position <= {S.TOKENIZER_TRAIN_LIMIT + 1} AND length(text) >= {S.DOC_MIN_LENGTH}""")(
-    lambda spark, sf: tokenizer_training_docs(mixture(spark, sf)).select(
+    lambda spark, sf: tokenizer_training_docs(mixture(spark, sf), S.TOKENIZER_TRAIN_LIMIT).select(
         "position", "doc_id", F.length("text").cast("bigint").alias("n_chars")))
 
 
@@ -193,7 +193,6 @@ SELECT position, slot, source, doc_id, text, score FROM sh""")(_t2_sources)
 
 # ------------------------------------------------------------------ G3, H4, C4 on their own
 from millstone.operators.order import first_n_per_group  # noqa: E402
-from millstone.operators.lookup import bounded_broadcast  # noqa: E402
 from millstone.operators.shuffle import first_rows  # noqa: E402
 
 G3_N = 3
@@ -213,7 +212,7 @@ def _c4(spark, sf):
     scored, th = _scored_and_thresholds(spark, sf)
     t = th.select("source", "threshold")
     tol = S.NEAR_THRESHOLD_TOLERANCE
-    return (scored.join(bounded_broadcast(t), "source")
+    return (scored.join(t, "source")
             .where(F.col("score").between(F.col("threshold") - tol, F.col("threshold") + tol))
             .select("source", "doc_id", "score"))
 

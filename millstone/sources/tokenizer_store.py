@@ -1,6 +1,6 @@
 """A4/A5: save and load a trained tokenizer as two Parquet tables.
 
-``vocab(token_id int, token string, is_special boolean)`` and
+``vocab(token_id int, token string, is_special boolean, is_unk boolean)`` and
 ``merges(rank int, left_id int, right_id int, new_id int)``; both are
 bounded by the vocabulary size.
 """
@@ -16,8 +16,8 @@ def save_tokenizer(spark: SparkSession, model: BpeModel, path: str) -> str:
     """A4: write (overwrite) ``{path}/vocab`` and ``{path}/merges``; the folder
     is created if missing."""
     specials = set(model.specials)
-    vocab = spark.createDataFrame([(i, t, t in specials) for i, t in enumerate(model.vocab)],
-                                  "token_id int, token string, is_special boolean")
+    vocab = spark.createDataFrame([(i, t, t in specials, t == model.unk) for i, t in enumerate(model.vocab)],
+                                  "token_id int, token string, is_special boolean, is_unk boolean")
     merges = spark.createDataFrame([(r, a, b, c) for r, (a, b, c) in enumerate(model.merges)],
                                    "rank int, left_id int, right_id int, new_id int")
     vocab.coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
@@ -36,4 +36,5 @@ def load_tokenizer(spark: SparkSession, path: str) -> BpeModel | None:
         raise
     vocab = [r["token"] for r in v]
     specials = [r["token"] for r in v if r["is_special"]]
-    return BpeModel(vocab, [(r["left_id"], r["right_id"], r["new_id"]) for r in m], specials)
+    unk = [r["token"] for r in v if r["is_unk"]]
+    return BpeModel(vocab, [(r["left_id"], r["right_id"], r["new_id"]) for r in m], specials, *unk)

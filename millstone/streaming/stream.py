@@ -66,15 +66,15 @@ def _group_fn(delimiter: str, sep: str, end_marker: str):
         for o, t, e in zip(batch["ord"], batch["text"], batch["_end"]):
             if t == end_marker:          # end of input for this shard: flush
                 if texts:
-                    out.append((key[0], next_gid, sep.join(texts), len(texts), first_ord))
+                    out.append((key[0], next_gid, sep.join(x for x in texts if x is not None), len(texts), first_ord))
                     next_gid += 1
                 texts, first_ord = [], None
                 continue
             if not texts:
                 first_ord = int(o)
-            texts.append(t)
+            texts.append(None if pd.isna(t) else t)  # a null text counts as a row and adds no words
             if bool(e):
-                out.append((key[0], next_gid, sep.join(texts), len(texts), first_ord))
+                out.append((key[0], next_gid, sep.join(x for x in texts if x is not None), len(texts), first_ord))
                 next_gid += 1
                 texts, first_ord = [], None
         state.update((texts, first_ord, next_gid))

@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,12 +19,34 @@ def _groups(spark, texts, **kw):
     return [r.text for r in group_until_delimiter(df, ["ord"], **kw).orderBy("group_id").collect()]
 
 
-def test_group_reference_case(spark):
-    g = _groups(spark, ["Once upon a time.", "A little girl played. <|endoftext|>", "Another story starts.",
-                        "It was fun. <|endoftext|>"])
-    assert len(g) == 2
-    assert "Once upon a time. A little girl played." in g[0]
-    assert "Another story starts. It was fun." in g[1]
+def test_group_of_two_and_three_rows(spark):
+    g = _groups(spark, ["p", "q <|endoftext|>", "r", "s", "t <|endoftext|>"])
+    assert g == ["p q <|endoftext|>", "r s t <|endoftext|>"]
+
+
+@pytest.mark.parametrize("nb", [1, 4, 16])
+def test_null_keys_and_texts(spark, nb):
+    """Null group keys are a group, null order keys sort first, null texts add no words."""
+    rows = [(None if i % 2 else "k", None if i < 2 else i, None if i in (4, 5) else f"w{i}") for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, ord long, text string")
+    got = {(r.k, r.ord): r.ordinal for r in row_ordinal(df, ["ord"], "ordinal", ["k"], n_buckets=nb).collect()}
+    assert got == {(None if i % 2 else "k", None if i < 2 else i): i // 2 for i in range(10)}
+    g = group_until_delimiter(df, ["ord"], partition_cols=["k"]).collect()
+    assert {r.k: r.text for r in g} == {"k": "w0 w2 w6 w8", None: "w1 w3 w7 w9"}
+    assert [r.n_rows for r in g] == [5, 5]
+
+
+def test_string_order_key(spark):
+    df = spark.createDataFrame([(f"{i:03d}",) for i in range(200)], "k string")
+    got = {r.k: r.ordinal for r in row_ordinal(df, ["k"], n_buckets=7).collect()}
+    assert got == {f"{i:03d}": i for i in range(200)}
+
+
+def test_many_buckets(spark):
+    from millstone.operators.order import range_bucket
+
+    df = spark.range(100_000).select((F.col("id") * 3).alias("k"))
+    assert df.select(range_bucket(df, "k", 2000).alias("b")).distinct().count() >= 1800
 
 
 def test_group_tail_and_text_after_delimiter(spark):
@@ -39,14 +60,9 @@ def test_group_tail_and_text_after_delimiter(spark):
 def test_group_random_vs_loop(spark, nb):
     rnd = random.Random(nb)
     texts = [("w%d" % i) + (" <|endoftext|>" if rnd.random() < 0.2 else "") for i in range(300)]
-    want, buf = [], []
-    for t in texts:
-        buf.append(t)
-        if "<|endoftext|>" in t:
-            want.append(" ".join(buf))
-            buf = []
-    if buf:
-        want.append(" ".join(buf))
+    ends = [i for i, t in enumerate(texts) if "<|" in t]
+    cuts = [0, *[i + 1 for i in ends], len(texts)]
+    want = [" ".join(texts[a:b]) for a, b in zip(cuts, cuts[1:]) if a < b]
     spark.conf.set("spark.sql.shuffle.partitions", str(nb))
     try:
         assert _groups(spark, texts) == want
@@ -54,14 +70,10 @@ def test_group_random_vs_loop(spark, nb):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-def _loop_pack(docs, eos, L):
-    buf, out = deque(), []
-    for toks in docs:
-        buf.extend(toks)
-        buf.append(eos)
-        while len(buf) >= L:
-            out.append([buf.popleft() for _ in range(L)])
-    return out
+def _cut(docs, eos, L):
+    """Concatenate everything, then cut whole sequences by position."""
+    flat = [x for d in docs for x in [*d, eos]]
+    return [flat[k * L:(k + 1) * L] for k in range(len(flat) // L)]
 
 
 def _pack(spark, docs, eos, L):
@@ -78,11 +90,11 @@ def test_pack_golden(spark, docs, eos, L, want):
     assert _pack(spark, docs, eos, L) == want
 
 
-def test_pack_random_vs_deque(spark):
+def test_pack_random_vs_cut(spark):
     rnd = random.Random(3)
     docs = [[rnd.randrange(1000) for _ in range(rnd.randrange(0, 40))] for _ in range(300)]
     for L in (1, 7, 64):
-        assert _pack(spark, docs, 5, L) == _loop_pack(docs, 5, L)
+        assert _pack(spark, docs, 5, L) == _cut(docs, 5, L)
 
 
 def test_row_ordinal_partitions(spark):

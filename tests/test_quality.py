@@ -13,14 +13,23 @@ from millstone.operators.quality import (
 from millstone.sources.tables import exclude_urls
 
 
-def test_threshold_reference_case(spark):
-    texts = ["안녕", "반가워", "테스트 문장", "매우 긴 문장입니다. " * 10]
-    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
-    from millstone.functions.text import quality_score
-    th = source_thresholds(df.withColumn("score", quality_score("text")), {"s": 0.5}, sample_size=4).first()
-    assert isinstance(th.threshold, float)
-    assert -5.0 <= th.threshold <= 1.0
-    assert th.threshold == pytest.approx(0.85, abs=1e-12)
+def test_threshold_of_given_scores(spark):
+    df = spark.createDataFrame([(i, "s", v) for i, v in enumerate([0.2, 0.4, 0.8, 0.9, 1.0])], "doc_id long, source string, score double")
+    th = source_thresholds(df, {"s": 0.5}, sample_size=5).first()
+    assert th.threshold == pytest.approx(0.8) and th.n_sample == 5
+
+
+def test_null_source_and_null_score(spark):
+    """A null source has its own threshold; rows without a score count nowhere and are dropped."""
+    rows = [(i, None if i % 2 else "a", None if i < 4 else i / 10) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, score double")
+    th = source_thresholds(df, {"a": 0.5}, 0.5, sample_size=100)
+    got = {r.source: (r.n_sample, r.threshold) for r in th.collect()}
+    assert got["a"] == (4, pytest.approx(0.7)) and got[None] == (4, pytest.approx(0.8))
+    by_frame = sorted(r.doc_id for r in quality_filter(df, th).collect())
+    by_dict = sorted(r.doc_id for r in quality_filter(df, {k: v for k, (_, v) in got.items()}).collect())
+    assert by_frame == by_dict == [8, 9, 10, 11]
+    assert quality_filter(df, {}).count() == 8
 
 
 @pytest.mark.parametrize("vals,q,want", [([0, 1, 2, 10], 0.3, 0.9), ([0, 1, 2, 10], 0.9, 7.6), ([3.5], 0.3, 3.5)])
