@@ -7,7 +7,7 @@ of every document (windows of ``SEGMENT`` + ``STRIDE`` words, one every ``STRIDE
 query, and all segments scoring at least ``THRESHOLD`` are retrieved, exactly:
 
 1. WAND bound: the sum of the largest impacts of the passage's distinct terms must reach the threshold;
-2. block-max bound: the same with the maxima of blocks of ``BLOCK`` segments leaves a few blocks;
+2. block-max bound: the same with the maxima of blocks of segments leaves a few blocks;
 3. only postings in those blocks are scored.
 
 A retrieved item is verified in the words around the passage: the shares of the five-word
@@ -38,7 +38,7 @@ from millstone.llm.common import flat, pick, prepare_session
 SEGMENT, STRIDE = 96, 32
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
-BLOCK = 16
+BLOCK, BLOCKS = 16, 64   # least segments of a block, most blocks of a shard
 OVERLAP = 0.8
 SHINGLE = 5
 SHARD = 10_000
@@ -82,7 +82,7 @@ class Index:
     """Impact-ordered facts of the segments: postings, block maxima, term maxima."""
 
     def __init__(self, items: list[tuple[int, str]], block: int = BLOCK):
-        self.items, self.block, segs = items, block, []
+        self.items, segs = items, []
         self.parts = [tuple(map(shingles, question_answer(t))) for _, t in items]
         self.sizes = [len(words(t)) for _, t in items]
         for k, (_, t) in enumerate(items):
@@ -110,37 +110,37 @@ class Index:
         self.at = np.searchsorted(term[o], np.arange(len(self.terms) + 2))
         self.top = np.zeros(len(self.terms) + 1)
         np.maximum.at(self.top, term, impact)
-        key = term[o] * (n // block + 1) + self.seg // block
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.block_of = self.seg[first] // block
-        self.block_top = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
-        self.block_at = np.searchsorted(term[o][first], np.arange(len(self.terms) + 2))
+        # blocks of segments, few enough for a dense table of maxima
+        self.block = max(block, -(-n // BLOCKS))
+        self.block_top = np.zeros((len(self.terms) + 1, n // self.block + 1), np.float32)
+        np.maximum.at(self.block_top, (term, seg // self.block), impact)
         self.n = n
 
-    def retrieve(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(segment, score) of all segments scoring at least ``threshold`` against distinct terms."""
-        take = lambda at: np.concatenate([np.arange(at[t], at[t + 1]) for t in terms])
-        b = take(self.block_at)
-        good = np.bincount(self.block_of[b], self.block_top[b], self.n // self.block + 1) >= threshold - 1e-9
-        if not good.any():
-            return []
-        p = take(self.at)
+    def retrieve(self, terms: np.ndarray, good: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+        """(segment, score) of the segments in good blocks scoring at least ``threshold`` against distinct terms."""
+        size = self.at[terms + 1] - self.at[terms]
+        p = np.arange(int(size.sum())) + np.repeat(self.at[terms] - np.cumsum(size) + size, size)
         p = p[good[self.seg[p] // self.block]]
         s = np.bincount(self.seg[p], self.impact[p], self.n)
         return [(int(i), float(s[i])) for i in np.flatnonzero(s >= threshold - 1e-9)]
 
-    def passages(self, t: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-        """(start, distinct terms) of the passages that pass the WAND bound."""
+    def passages(self, t: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(start, distinct terms, good blocks) of the passages that pass the WAND and the block-max bound."""
         width = SEGMENT + STRIDE
         starts = np.arange(0, max(1, len(t) - SEGMENT + STRIDE - 1), STRIDE)
         c = np.concatenate([[0.0], np.cumsum(self.top[t])])
         starts = starts[c[np.minimum(starts + width, len(t))] - c[starts] >= threshold - 1e-6]
+        if not len(starts):
+            return
         pad = np.concatenate([t, np.zeros(width, t.dtype)])
-        for i in range(0, len(starts), 2048):
-            m = np.sort(np.lib.stride_tricks.sliding_window_view(pad, width)[starts[i:i + 2048]], 1)
+        for i in range(0, len(starts), 256):
+            m = np.sort(np.lib.stride_tricks.sliding_window_view(pad, width)[starts[i:i + 256]], 1)
             m[:, 1:][m[:, 1:] == m[:, :-1]] = 0
-            for k in np.flatnonzero(self.top[m].sum(1) >= threshold - 1e-9):
-                yield int(starts[i + k]), m[k][m[k] > 0]
+            some = np.flatnonzero(self.top[m].sum(1) >= threshold - 1e-9)
+            good = self.block_top[m[some]].sum(1) >= threshold - 1e-4
+            for k in np.flatnonzero(good.any(1)):
+                terms = m[some[k]]
+                yield int(starts[i + some[k]]), terms[terms > 0], good[k]
 
     def matches(self, text: str, threshold: float, overlap: float) -> list[tuple]:
         """(item id, passages, best score, question overlap, answer overlap) verified in ``text``."""
@@ -150,8 +150,8 @@ class Index:
         get = self.terms.get
         t = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
         hits: dict[int, dict[int, float]] = {}
-        for start, terms in self.passages(t, threshold):
-            for seg, score in self.retrieve(terms, threshold):
+        for start, terms, good in self.passages(t, threshold):
+            for seg, score in self.retrieve(terms, good, threshold):
                 k = int(self.item_of[seg])
                 at = hits.setdefault(k, {})
                 at[start] = max(score, at.get(start, 0.0))
