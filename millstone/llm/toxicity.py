@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 
 from millstone.llm.common import flat, materialize, pick, prepare_session
 
-PER_CLASS = 4000
+PER_CLASS = 2000
 WINDOW = 1
-CUTOFF = 2           # words and pairs seen less often are left out of the class orders
+CUTOFF = 3           # words and pairs seen less often are left out of the class orders
 DISCOUNTS = (0.75, 2.0, 4.0, 8.0, 16.0)
 FOLDS, HELD_OUT = 5, 0
 BEGIN = "\x02"
@@ -168,10 +168,13 @@ def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Features of the sample under every discount, by the model of the other fold."""
         counts = shared.value
-        models = [[counts.model((f,), d) for f in (0, 1)] for d in DISCOUNTS]
         for b in batches:
             text, y, fold = (b.column(i).to_pylist() for i in range(3))
-            x = [[v for m in models for v in m[1 - f].features(t or "")] for t, f in zip(text, fold)]
+            x = [[] for _ in text]
+            for d in DISCOUNTS:  # one pair of models in memory at a time
+                models = [counts.model((f,), d) for f in (0, 1)]
+                for row, t, f in zip(x, text, fold):
+                    row += models[1 - f].features(t or "")
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
     return run
 
