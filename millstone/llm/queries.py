@@ -79,11 +79,11 @@ m AS (
   FROM t JOIN views ON t.conv_id = views.conv_id),
 n AS (
   SELECT *, CAST(coalesce(sum(length(head) + length(text) + 11) OVER (PARTITION BY conv_id, perspective, part
-              ORDER BY turn, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS BIGINT) AS at
+              ORDER BY turn, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS BIGINT) AS begins
   FROM m)
 SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (own) AS n_assistant,
        string_agg(head || text || '<|im_end|>' || chr(10), '' ORDER BY turn, speaker, text) AS text,
-       coalesce(string_agg(CASE WHEN own THEN at || '-' || (at + length(text)) END, ',' ORDER BY turn, speaker, text), '') AS mask
+       coalesce(string_agg(CASE WHEN own THEN begins || '-' || (begins + length(text)) END, ',' ORDER BY turn, speaker, text), '') AS mask
 FROM n GROUP BY conv_id, perspective, part""",
     "op9_mtree_topk": """
 WITH v AS (
