@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millstone import settings as S
 from millstone.operators.order import running_sum
+from millstone.session import materialize
 
 
 def append_eos(tokens_col: str, eos_id: int):
@@ -29,6 +30,7 @@ def pack(df: DataFrame, tokens_col: str, order_cols: list[str], context_len: int
     pcols = list(partition_cols)
     x = df.select(*pcols, *order_cols, append_eos(tokens_col, eos_id).alias("_tok"))
     x = x.withColumn("_n", F.size("_tok").cast("bigint"))
+    x = materialize(x, "pack")  # the prefix sum reads its input several times: tokenise once
     x = running_sum(x, order_cols, "_start", pcols, weight=F.col("_n"))
     first = F.floor(F.col("_start") / L)
     last = F.floor((F.col("_start") + F.col("_n") - 1) / L)

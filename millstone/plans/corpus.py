@@ -47,10 +47,17 @@ def build_mixture(docs: DataFrame, cfg: MixtureConfig | None = None, write: bool
     prepared = prepare(docs, cfg.synthetic, cfg.profile, write=write)
     th = source_thresholds(prepared, cfg.cut_ratios, cfg.default_cut_ratio, cfg.sample_size, cfg.seed,
                            sources=list(cfg.thresholded))
-    kept = quality_filter(prepared, collect_thresholds(th))
-    mixed = interleave(kept, cfg.probs, cfg.seed)
-    out = block_shuffle(mixed, "slot", cfg.shuffle_block, cfg.seed)
-    return materialize(out, "mixture") if write else out
+    if not write:
+        kept = quality_filter(prepared, collect_thresholds(th))
+        return block_shuffle(interleave(kept, cfg.probs, cfg.seed), "slot", cfg.shuffle_block, cfg.seed)
+    # slots and positions are found on (source, doc_id, row) alone; the text is moved once, by the last join. A row is
+    # named by its place in the written table, so repeated or null ids stay apart.
+    kept = quality_filter(prepared.withColumn("_row", F.struct("_metadata.file_name", "_metadata.row_index")),
+                          collect_thresholds(th))
+    mixed = interleave(kept.select("source", "doc_id", "_row"), cfg.probs, cfg.seed)
+    placed = block_shuffle(mixed, "slot", cfg.shuffle_block, cfg.seed).select("_row", "position", "slot", "ordinal")
+    out = placed.join(kept, "_row").drop("_row")
+    return materialize(out, "mixture")
 
 
 @dataclass

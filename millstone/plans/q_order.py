@@ -10,7 +10,7 @@ from millstone.operators.grouping import group_until_delimiter
 from millstone.operators.packing import codepoint_tokens, pack
 from millstone.operators.quality import min_length
 from millstone.plans.registry import register
-from millstone.sources.tables import read_table
+from millstone.sources.tables import SourceSpec, read_source, read_table
 
 # ------------------------------------------------------------------ G1
 _G1_BASE = "SELECT conv_id, turn, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS e FROM conversations"
@@ -54,6 +54,20 @@ g AS (SELECT *, CAST(coalesce(sum(e) OVER (PARTITION BY conv_id ORDER BY turn RO
 SELECT conv_id, group_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS n_rows, min(turn) AS first_turn
 FROM g GROUP BY conv_id, group_id""")(_g1_key)
 
+
+def _g1_file_order(spark, sf):
+    """A1 + G1 on a source with no id column: rows are grouped in file order."""
+    spec = SourceSpec("stories", f"{sf}/conversations.parquet", columns={"text": "text"}, ends="role = 'assistant'")
+    return group_until_delimiter(read_source(spark, spec), ["doc_id"], ends=F.col("_end"))
+
+
+# the rows of the file are in (conv_id, turn) order
+register("g1_group_file_order", f"""
+WITH c AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS n FROM ({_G1_BASE})),
+g AS (SELECT *, CAST(coalesce(sum(e) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS group_id FROM c)
+SELECT group_id, string_agg(text, ' ' ORDER BY n) AS text, count(*) AS n_rows, min(n) AS first_doc_id
+FROM g GROUP BY group_id""")(_g1_file_order)
+
 # ------------------------------------------------------------------ G2, M1, M2
 PACK_L = S.CONTEXT_LEN
 CP_EOS = 0  # code point 0 never occurs in text

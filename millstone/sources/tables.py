@@ -7,12 +7,15 @@ normalised to ``(doc_id, source, text[, url])``.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millstone import settings as S
+from millstone.operators.order import running_sum
+from millstone.session import materialize, scratch_path
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -42,31 +45,47 @@ class SourceSpec:
     ends: str | None = None  # SQL predicate marking rows that close a group (G1)
 
 
+def in_file_order(spark: SparkSession, df: DataFrame, spec: SourceSpec) -> DataFrame:
+    """``df`` with ``_id``, the row's number in file order (path, then place in the file), from 0.
+
+    Parquet rows know their number in the file. Other formats do not, so those are written to the shared folder
+    once: a task writes a piece of a file (``file_block_start``) in order, so the written row numbers give the
+    place in the piece. A row's number is then the piece's base plus its place: no sort, and identical rows
+    get different numbers. Pieces are few; their table is joined as adaptive execution sees fit."""
+    piece = [F.col("_metadata.file_path").alias("_file")]
+    if spec.format == "parquet":
+        x = df.select("*", *piece, F.lit(0).cast("bigint").alias("_at"), F.col("_metadata.row_index").alias("_row"))
+    else:
+        path = scratch_path(spark, f"millstone/source-{uuid.uuid4().hex[:12]}")
+        (df.select("*", *piece, F.col("_metadata.file_block_start").alias("_at"))
+         .write.option("maxRecordsPerFile", 0).parquet(path))
+        x = spark.read.parquet(path)
+        x = x.select("*", F.col("_metadata.row_index").alias("_row"))
+    same = ["_file", "_at"]
+    pieces = materialize(x.groupBy(*same).agg(F.min("_row").alias("_first"), F.count("*").alias("_n")), "pieces")
+    base = running_sum(pieces, same, "_offset", weight=F.col("_n")).drop("_n")
+    return x.join(base, same).withColumn("_id", F.col("_offset") + F.col("_row") - F.col("_first"))
+
+
 def read_source(spark: SparkSession, spec: SourceSpec) -> DataFrame:
     """A1: load a named source as ``(doc_id, source, text[, url])``.
 
-    Fails if the text column is missing. Text formats (``text``/``json``)
-    without an id column get a stable id from the file name and offset.
+    Fails if the text column is missing. A source without an id column is
+    numbered in file order (``in_file_order``), before ``where`` is applied.
     """
     r = spark.read.format(spec.format)
     for k, v in spec.options.items():
         r = r.option(k, v)
     df = r.load(spec.path)
-    if spec.where:
-        df = df.where(spec.where)
     cols = dict(spec.columns)
     if cols.get("text") not in df.columns:
         raise ValueError(f"source {spec.name}: text column {cols.get('text')!r} missing")
-    out = []
-    if "doc_id" in cols and (cols["doc_id"] in df.columns or not cols["doc_id"].isidentifier()):
-        out.append(F.expr(cols["doc_id"]).cast("bigint").alias("doc_id"))
-    else:
-        # stable per-file id: hash of file path in the high bits + a monotonically
-        # increasing id is not stable under re-partitioning, so use file + offset
-        # via the hidden file metadata column.
-        out.append(F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("doc_id")
-                   if spec.format == "parquet" else
-                   F.xxhash64(F.input_file_name(), F.col(cols["text"])).alias("doc_id"))
+    has_id = "doc_id" in cols and (cols["doc_id"] in df.columns or not cols["doc_id"].isidentifier())
+    if not has_id:
+        df = in_file_order(spark, df, spec)
+    if spec.where:
+        df = df.where(spec.where)
+    out = [(F.expr(cols["doc_id"]).cast("bigint") if has_id else F.col("_id")).alias("doc_id")]
     out.append(F.lit(spec.name).alias("source"))
     out.append(F.col(cols["text"]).cast("string").alias("text"))
     if "url" in cols:

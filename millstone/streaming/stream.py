@@ -12,6 +12,8 @@ across micro-batches the order is file arrival order.
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,7 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataF
     (``trigger(availableNow=True)``) into Parquet under the shared checkpoint
     folder, with its own checkpoint location, and return the written table."""
     spark = df.sparkSession
+    name = f"{name}-{uuid.uuid4().hex[:12]}"  # a second run must not add to the first one's table
     out = scratch_path(spark, f"millstone/stream-{name}")
     ckpt = scratch_path(spark, f"millstone/stream-{name}-ckpt")
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
@@ -113,12 +116,13 @@ def _pack_fn(L: int, eos_id: int):
         batch = pd.concat(list(pdfs), ignore_index=True).sort_values("ord", kind="stable")
         out = []
         for ids in batch["ids"]:
-            carry.extend(int(i) for i in ids)
+            carry.extend(map(int, ids if ids is not None else ()))
             carry.append(eos_id)
-            while len(carry) >= L:
-                out.append((key[0], next_seq, carry[:L]))
+            full = len(carry) - len(carry) % L
+            for i in range(0, full, L):
+                out.append((key[0], next_seq, carry[i:i + L]))
                 next_seq += 1
-                carry = carry[L:]
+            del carry[:full]
         state.update((carry, next_seq))
         if out:
             yield pd.DataFrame(out, columns=["shard", "seq_id", "ids"])

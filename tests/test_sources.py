@@ -1,7 +1,10 @@
 """Source scans (A1-A3) across formats."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from millstone.operators.packing import pack
+from millstone.plans.corpus import CorpusSource, MixtureConfig, build_mixture, load_corpus
 from millstone.sources.tables import SourceSpec, read_source, union_sources
 
 
@@ -27,7 +30,47 @@ def test_json_and_text_sources(spark, tmp_path):
 
 
 def test_missing_text_column_fails(spark):
-    import pytest
-
     with pytest.raises(ValueError):
         read_source(spark, SourceSpec("x", "/root/testdata/sf0.001/documents.parquet", columns={"text": "body"}))
+
+
+def _stories(spark, folder, fmt):
+    """Three stories of four lines over two files, no id column; each story closes with the same line."""
+    lines = [f"line {i} of story {k}" if i < 3 else "the end <|endoftext|>" for k in range(3) for i in range(4)]
+    name = "value" if fmt == "text" else "text"
+    for k, part in enumerate((lines[:5], lines[5:])):
+        spark.createDataFrame([(x,) for x in part], f"{name} string").coalesce(1).write.format(fmt).save(f"{folder}/{k}")
+    spec = SourceSpec("stories", f"{folder}/*", format=fmt, columns={"text": name}, synthetic=True)
+    want = [" ".join(lines[4 * k:4 * k + 4]) for k in range(3)]
+    return spec, want
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "text"])
+def test_group_without_id_keeps_file_order(spark, tmp_path, fmt):
+    spec, want = _stories(spark, tmp_path, fmt)
+    assert sorted(r.doc_id for r in read_source(spark, spec).collect()) == list(range(12))  # repeated lines stay apart
+    got = load_corpus(spark, [CorpusSource(spec, 1.0, None, group=True)]).orderBy("doc_id").collect()
+    assert [r.text for r in got] == want
+
+
+def test_pack_tokenises_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<int>")
+    def tokens(n):
+        seen.add(1)
+        return list(range(n % 7))
+
+    docs = spark.range(200, numPartitions=4).withColumn("ids", tokens("id"))
+    assert pack(docs, "ids", ["id"], 8, 0).count() == sum(n % 7 + 1 for n in range(200)) // 8
+    assert seen.value == 200
+
+
+def test_mixture_moves_text_once_and_keeps_repeated_rows(spark):
+    rows = [(k // 2, s, f"A sentence about topic {k} of {s}, long enough to stay here. And one more of them.")
+            for s in ("a", "b") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    cfg = MixtureConfig(probs={"a": 0.5, "b": 0.5}, thresholded=(), synthetic=("a", "b"), profile="latin")
+    got = build_mixture(docs, cfg).collect()
+    assert sorted(r.position for r in got) == list(range(len(got)))
+    assert len({(r.source, r.text) for r in got}) == len(got) >= 40
