@@ -85,7 +85,7 @@ scored AS (SELECT doc_id, source, text, {Q.quality_score('text', 'latin')} AS sc
 tsrc AS (SELECT * FROM scored WHERE source IN ('wiki', 'namu', 'culturax')),
 {sql_thresholds('tsrc', Q.d(0.3), S.SAMPLE_SIZE)}"""
 
-_SQL_PIPE = f"""{_SQL_SCORED},
+SQL_PIPE = f"""{_SQL_SCORED},
 kept AS (SELECT s.* FROM scored s LEFT JOIN th USING (source) WHERE th.threshold IS NULL OR s.score >= th.threshold),
 {sql_mixture('kept')}, sh AS ({sql_block_shuffle('mix', S.SHUFFLE_BUFFER)})"""
 
@@ -94,15 +94,15 @@ def mixture(spark, sf):
     return build_mixture(mapped_docs(spark, sf), CFG)
 
 
-register("t2_mixture", f"""WITH {_SQL_PIPE}
+register("t2_mixture", f"""WITH {SQL_PIPE}
 SELECT position, slot, source, doc_id, text, score FROM sh""")(
     lambda spark, sf: mixture(spark, sf).select("position", "slot", "source", "doc_id", "text", "score"))
 
-register("l1_inspect", f"""WITH {_SQL_PIPE}
+register("l1_inspect", f"""WITH {SQL_PIPE}
 SELECT position, source, doc_id, CAST(length(text) AS BIGINT) AS length, {Q.preview('text')} AS preview
 FROM sh WHERE position < {S.INSPECT_SAMPLES}""")(lambda spark, sf: inspect_samples(mixture(spark, sf)))
 
-register("h5_train_sample", f"""WITH {_SQL_PIPE}
+register("h5_train_sample", f"""WITH {SQL_PIPE}
 SELECT position, doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM sh
 WHERE position <= {S.TOKENIZER_TRAIN_LIMIT + 1} AND length(text) >= {S.DOC_MIN_LENGTH}""")(
     lambda spark, sf: tokenizer_training_docs(mixture(spark, sf), S.TOKENIZER_TRAIN_LIMIT).select(
