@@ -7,8 +7,9 @@ A word's current segmentation is the string `` id id id `` so a merge
 right, non-overlapping). Each round counts adjacent pairs (explode +
 partial/final aggregate), brings only the top ranked pairs to the driver
 (bounded), and takes a *safe batch* of merges at once: the longest prefix of
-the ranking whose pairs share no symbol, are not self pairs (a self pair
-goes alone), create new distinct strings, and whose last count is strictly
+the ranking in which no pair starts with a symbol that another ends with (so
+no two overlap in a word), none is a self pair (a self pair
+goes alone), all create new distinct strings, and the last count is strictly
 above the first pair left out. Such a batch is exactly what sequential
 training would merge next, so results equal one-merge-per-round training.
 
@@ -106,14 +107,15 @@ def safe_batch(top: list[tuple[int, int, int]], vocab: list[str], tok2id: dict[s
     s0 = vocab[first[0]] + vocab[first[1]]
     if first[0] == first[1] or s0 in tok2id:
         return [(first[0], first[1])]
-    used = {first[0], first[1]}
+    lefts, rights = {first[0]}, {first[1]}
     strings = {s0}
     for l, r, c in top[1:]:
         s = vocab[l] + vocab[r]
-        if len(batch) >= room or l == r or l in used or r in used or s in tok2id or s in strings:
+        if len(batch) >= room or l == r or l in rights or r in lefts or s in tok2id or s in strings:
             break
         batch.append((l, r, c))
-        used |= {l, r}
+        lefts.add(l)
+        rights.add(r)
         strings.add(s)
     # the last taken pair must beat the first pair left out
     while len(batch) > 1:

@@ -74,7 +74,10 @@ def test_safe_batch_rule():
     assert safe_batch([(0, 1, 9), (2, 3, 8), (4, 5, 7)], vocab, t2i, 10, True) == [(0, 1), (2, 3), (4, 5)]
     # a tie with the first pair left out shrinks the batch
     assert safe_batch([(0, 1, 9), (2, 3, 8), (4, 5, 8)], vocab, t2i, 10, False) == [(0, 1)]
-    # a shared symbol stops the batch; a self pair goes alone
+    # pairs with the same start (or the same end) never overlap in a word
+    assert safe_batch([(0, 1, 9), (0, 2, 8), (3, 2, 7)], vocab, t2i, 10, True) == [(0, 1), (0, 2), (3, 2)]
+    # a start that is another's end stops the batch; a self pair goes alone
+    assert safe_batch([(0, 1, 9), (2, 0, 5)], vocab, t2i, 10, True) == [(0, 1)]
     assert safe_batch([(0, 1, 9), (1, 2, 5)], vocab, t2i, 10, True) == [(0, 1)]
     assert safe_batch([(0, 0, 9), (2, 3, 5)], vocab, t2i, 10, True) == [(0, 0)]
 
