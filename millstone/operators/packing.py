@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millstone import settings as S
 from millstone.operators.order import running_sum
 from millstone.session import materialize
 
@@ -23,8 +22,8 @@ def append_eos(tokens_col: str, eos_id: int):
     return F.array_append(F.col(tokens_col), F.lit(eos_id).cast("int"))
 
 
-def pack(df: DataFrame, tokens_col: str, order_cols: list[str], context_len: int = S.CONTEXT_LEN,
-         eos_id: int = 5, partition_cols: list[str] | tuple = ()) -> DataFrame:
+def pack(df: DataFrame, tokens_col: str, order_cols: list[str], context_len: int,
+         eos_id: int, partition_cols: list[str] | tuple = ()) -> DataFrame:
     """Return ``(*partition_cols, seq_id, ids array<int>)``; seq_id is dense from 0."""
     L = int(context_len)
     pcols = list(partition_cols)

@@ -130,7 +130,7 @@ def _pack_fn(L: int, eos_id: int):
 
 
 def pack_stream(stream: DataFrame, shard: str, order: str, ids_col: str,
-                context_len: int = S.CONTEXT_LEN, eos_id: int = 5) -> DataFrame:
+                context_len: int, eos_id: int) -> DataFrame:
     """J3 = G2 per shard on a stream; the remainder (< context_len tokens)
     waits in state for the shard's next documents."""
     ship_package(stream.sparkSession)
