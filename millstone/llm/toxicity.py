@@ -14,7 +14,8 @@ score between 0 and 1. Curve and discount D (of ``DISCOUNTS``) are fitted on tex
 not see them (two folds); the curve carries the label frequency as its prior.
 
 Fitting uses a bounded sample of labelled rows: at most ``PER_CLASS`` documents of
-each class, by hash order, so the model tables are bounded and broadcast.
+each class, by hash order, so the model tables are bounded and broadcast. All words and pairs of the sample
+count, however rare; they are held by 64-bit keys in sorted arrays, never as strings.
 Scoring reads every document once, whole, with no shuffle. Only the text is
 an input of a score.
 
@@ -27,24 +28,24 @@ are scored row by row (a null id counts as id text '' for the split).
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millstone.llm.common import flat, materialize, pick, prepare_session
+from millstone.llm.common import arrow_rows, flat, materialize, mix64, pack_ints, pack_sorted, pick, prepare_session, unpack_ints, unpack_sorted
 
-PER_CLASS = 2000
+PER_CLASS = 4000
 WINDOW = 1
-CUTOFF = 3           # words and pairs seen less often are left out of the class orders
 DISCOUNTS = (0.75, 2.0, 4.0, 8.0, 16.0)
 FOLDS, HELD_OUT = 5, 0
-BEGIN = "\x02"
+CELLS = ["c0", "c1", "c2", "c3"]
+BEGIN_KEY = hash_array(np.array(["\x02"], dtype=object), categorize=False)
 RIDGE = 1e-2
 _find = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*").findall
 
@@ -69,85 +70,153 @@ def labelled_sample(labels: DataFrame, per_class: int, doc_id: str = "doc_id", t
     return one[0].unionAll(one[1]).withColumn("fold", fold.cast("int")), many
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    """64-bit keys of words, the same in every process."""
+    return hash_array(np.array(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(v) + w
+
+
+def _spelled(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the words of a text, and of the words before them."""
+    w = word_keys(tokens(text))
+    return np.concatenate([BEGIN_KEY, w[:-1]]) if len(w) else w, w
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, w, cell, n): pair counts of a task; the cell is 2 * fold + class."""
-    count: Counter = Counter()
+    """(v, w, c0..c3): pair counts of a task by word keys; the cell is 2 * fold + class."""
+    held: list[tuple] = []
+    size = 0
 
     def out():
-        keys = list(count)
-        b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()),
-                                        pa.array([k[2] for k in keys], pa.int32()), pa.array([count[k] for k in keys], pa.int64())],
-                                       names=["v", "w", "cell", "n"])
-        count.clear()
-        return b
+        v, w, cell = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        _, first, which = np.unique(pair_keys(v, w), return_index=True, return_inverse=True)
+        n = np.bincount(4 * which + cell, minlength=4 * len(first)).reshape(-1, 4)
+        return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)),
+                                           *[pa.array(n[:, c].astype(np.int64)) for c in range(4)]],
+                                          names=["v", "w", *CELLS])
 
     for batch in batches:
         for text, c, f in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            t = tokens(text or "")
-            cell = 2 * f + c
-            count.update((v, w, cell) for v, w in zip([BEGIN, *t], t))
-            if len(count) > 500_000:
+            v, w = _spelled(text or "")
+            held.append((v, w, np.full(len(w), 2 * f + c)))
+            size += len(w)
+            if size > 1_000_000:
                 yield out()
-    if count:
+                size = 0
+    if held:
         yield out()
 
 
-class Counts:
-    """Counts of the sample: ``index`` of words, ``shared`` continuation counts, and per set of folds the
-    (word, class) continuation counts, (word, class) token counts and (pair, class) counts."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair counts of a task as one row of packed columns."""
+    parts = [[b.column(i).to_numpy() for i in range(6)] for b in batches]
+    if parts:
+        v, w, *n = (np.concatenate(c) for c in zip(*parts))
+        order = np.argsort(v.view(np.uint64))
+        yield arrow_rows(PACKED, [(pack_sorted(v.view(np.uint64)[order]), w[order].tobytes(), *[pack_ints(c[order]) for c in n])])
+
 
-    def __init__(self, index: dict, shared: np.ndarray, cont: dict, tokens_: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
-        self.index, self.shared, self.cont = index, shared, cont
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        self.tokens, self.pairs, self.pair_counts = tokens_, pairs[order], pair_counts[order]
+PACKED = pa.schema([("v", pa.binary()), ("w", pa.binary()), *[(c, pa.binary()) for c in CELLS]])
+
+
+class Counts:
+    """Counts of the sample: sorted keys of ``words`` (the first word's context among them), ``shared`` continuation counts,
+    and per set of folds the (word, class) continuation counts, (word, cell) token counts and (pair, cell) counts in the
+    order of the pair keys. Every word and pair of the sample is kept."""
+
+    def __init__(self, v: np.ndarray, w: np.ndarray, pair_counts: np.ndarray, starts: np.ndarray):
+        self.words = np.unique(np.concatenate([w, BEGIN_KEY]))
+        n = len(self.words)
+        self.keys = pair_keys(v, w)
+        order = np.argsort(self.keys)
+        self.keys, self.pair_counts = self.keys[order], pair_counts[order]
+        self.v, self.w = (np.searchsorted(self.words, a[order]).astype(np.int32) for a in (v, w))
+        seen = lambda m: np.bincount(self.w[m], minlength=n)
+        c = self.pair_counts
+        self.shared = np.bincount(self.w, minlength=n)
+        self.cont = {(f,): [seen(c[:, 2 * f + k] > 0) for k in (0, 1)] for f in (0, 1)}
+        self.cont[(0, 1)] = [seen((c[:, k] > 0) | (c[:, 2 + k] > 0)) for k in (0, 1)]
+        self.tokens = np.column_stack([np.bincount(self.w, c[:, i], n) for i in range(4)])
+        self.tokens[np.searchsorted(self.words, BEGIN_KEY[0])] = self.starts = starts
+
+    def __reduce__(self):
+        """Shipped as packed counts in pair order, a few bytes a pair; the arrays are built again where they are used."""
+        n = np.uint64(len(self.words))
+        at = self.v.astype(np.uint64) * n + self.w.astype(np.uint64)
+        order = np.argsort(at)
+        return _unpacked, (pack_sorted(self.words), pack_sorted(at[order]), [pack_ints(c[order]) for c in self.pair_counts.T], self.starts)
 
     def model(self, folds: tuple[int, ...], discount: float) -> "Model":
         return Model(self, folds, discount)
 
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _read(self, text)
+
+
+def _unpacked(words: bytes, at: bytes, counts: list[bytes], starts: np.ndarray) -> Counts:
+    words, at = unpack_sorted(words), unpack_sorted(at)
+    v, w = np.divmod(at, np.uint64(len(words)))
+    return Counts(words[v.astype(np.int64)], words[w.astype(np.int64)], np.column_stack([unpack_ints(c).astype(np.int32) for c in counts]), starts)
+
+
+def _number(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of ``x`` in sorted keys; their number stands for what is not there."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, at, len(keys))
+
+
+def _read(m, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the words before, the words and the pairs of a text."""
+    v, w = _spelled(text)
+    return _number(m.words, v), _number(m.words, w), _number(m.keys, pair_keys(v, w))
+
 
 class Model:
-    """Both class models as arrays over word numbers; the last number is the unknown word."""
+    """Differences between the log-probabilities of the class models, by word number and pair number;
+    the last word number is the unknown word."""
 
     def __init__(self, c: Counts, folds: tuple[int, ...], discount: float):
-        total = lambda a: sum(a[:, 2 * f:2 * f + 2] for f in folds)
-        self.index, n = c.index, len(c.index)
+        self.made_of = c, folds, discount
+        self.words, self.keys, n = c.words, c.keys, len(c.words)
         base = np.append(c.shared, 0) + 0.5
         base = base / base.sum()
-        word = np.zeros((n + 1, 2))
-        cont, context, pairs = c.cont[folds], total(c.tokens), total(c.pair_counts)
-        for k in (0, 1):
-            top = np.maximum(cont[:, k] - discount, 0) / max(cont[:, k].sum(), 1)
-            word[:n, k] = top
-            word[:, k] += (1 - top.sum()) * base
-        self.word = np.log(word)
-        v = c.pairs[:, 0]
-        self.keys = v * (n + 1) + c.pairs[:, 1]
-        top = np.maximum(pairs - discount, 0) / np.maximum(context[v], 1)
-        back = np.ones((n + 1, 2))
-        for k in (0, 1):
-            back[:, k] -= np.minimum(np.bincount(v, top[:, k], n + 1), 1 - 1e-6)
-        self.back = np.log(back)
-        # log P(w|v) of the pairs that keep a count
-        self.pair = np.log(top + back[v] * word[c.pairs[:, 1]])
+        self.word, self.back, self.pair = np.zeros(n + 1), np.zeros(n + 1), np.zeros(len(c.keys))
+        for k, sign in ((0, -1), (1, 1)):
+            cont = c.cont[folds][k]
+            top = np.maximum(cont - discount, 0) / max(cont.sum(), 1)
+            word = (1 - top.sum()) * base
+            word[:n] += top
+            context = sum(c.tokens[:, 2 * f + k] for f in folds)
+            top = np.maximum(sum(c.pair_counts[:, 2 * f + k] for f in folds) - discount, 0) / np.maximum(context[c.v], 1)
+            back = 1 - np.minimum(np.bincount(c.v, top, n + 1), 1 - 1e-6)
+            self.word += sign * np.log(word)
+            self.back += sign * np.log(back)
+            # log P(w|v) of the pairs of the sample
+            self.pair += sign * np.log(top + back[c.v] * word[c.w])
+
+    def __reduce__(self):
+        return Model, self.made_of
 
     def features(self, text: str) -> tuple[float, float, float]:
+        return self.features_of(*_read(self, text))
+
+    def features_of(self, v: np.ndarray, w: np.ndarray, pair: np.ndarray) -> tuple[float, float, float]:
         """(length-normalised difference of the bigram log-likelihoods, strongest window of the word order, log length)."""
-        t = tokens(text)
-        if not t:
+        if not len(w):
             return 0.0, 0.0, 0.0
-        get, unknown = self.index.get, len(self.word) - 1
-        w = np.fromiter((get(x, unknown) for x in t), np.int64, len(t))
-        v = np.concatenate([[get(BEGIN, unknown)], w[:-1]])
         p = self.back[v] + self.word[w]
-        if len(self.keys):
-            key = v * len(self.word) + w
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            p[hit] = self.pair[at[hit]]
-        e = self.word[w, 1] - self.word[w, 0]
+        hit = pair < len(self.keys)
+        p[hit] = self.pair[pair[hit]]
+        e = self.word[w]
         s = np.concatenate([[0.0], np.cumsum(e)])
         k = min(WINDOW, len(e))
-        return float((p[:, 1] - p[:, 0]).mean()), float((s[k:] - s[:-k]).max() / k), float(np.log1p(len(e)))
+        return float(p.mean()), float((s[k:] - s[:-k]).max() / k), float(np.log1p(len(e)))
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -166,16 +235,20 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Features of the sample under every discount, by the model of the other fold."""
-        counts = shared.value
+        """Features of a task's part of the sample under every discount, by the model of the other fold."""
+        counts, docs, y, fold = shared.value, [], [], []
         for b in batches:
-            text, y, fold = (b.column(i).to_pylist() for i in range(3))
-            x = [[] for _ in text]
-            for d in DISCOUNTS:  # one pair of models in memory at a time
-                models = [counts.model((f,), d) for f in (0, 1)]
-                for row, t, f in zip(x, text, fold):
-                    row += models[1 - f].features(t or "")
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
+            docs += [tuple(a.astype(np.int32) for a in counts.read(t or "")) for t in b.column(0).to_pylist()]
+            y += b.column(1).to_pylist()
+            fold += b.column(2).to_pylist()
+        x = [[] for _ in docs]
+        for d in DISCOUNTS if docs else ():
+            for f in (0, 1):  # one model in memory at a time
+                model = counts.model((1 - f,), d)
+                for row, doc, g in zip(x, docs, fold):
+                    if g == f:
+                        row += model.features_of(*doc)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], names=["x", "y"])
     return run
 
 
@@ -223,26 +296,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     got = rows.groupBy("toxic", "fold").count().collect()
     if len({r["toxic"] for r in got}) < 2:
         return None
-    cells = rows.mapInArrow(_pairs, "v string, w string, cell int, n bigint")
-    col = [f"c{c}" for c in range(4)]
-    cells = materialize(cells.groupBy("v", "w").agg(
-        *[F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(col[c]) for c in range(4)]), "toxic-pairs")
-    total = sum((F.col(c) for c in col), F.lit(0))
-    some = lambda *c: F.sum((sum((F.col(x) for x in c), F.lit(0)) > 0).cast("int"))
-    uni = (cells.groupBy("w").agg(F.count("*").alias("shared"), *[some(c).alias(f"n{c}") for c in col],
-                                  some("c0", "c2").alias("n0"), some("c1", "c3").alias("n1"), *[F.sum(c).alias(c) for c in col])
-           .where(total >= CUTOFF).orderBy("w").toPandas())
-    big = cells.where(total >= CUTOFF).orderBy("v", "w").toPandas()
-    index = {w: i for i, w in enumerate([*uni["w"], BEGIN])}
-    pad = lambda a: np.concatenate([a, np.zeros((1, a.shape[1]), a.dtype)])
-    tok = pad(uni[col].to_numpy(np.int64))
+    cells = rows.mapInArrow(_pairs, ", ".join(f"{c} bigint" for c in ("v", "w", *CELLS)))
+    cells = cells.groupBy("v", "w").agg(*[F.sum(c).alias(c) for c in CELLS])
+    packed = cells.mapInArrow(_packed, ", ".join(f"{f.name} binary" for f in PACKED)).collect()
+    part = lambda unpack, c, kind: np.concatenate([unpack(bytes(r[c])).astype(kind) for r in packed] or [np.zeros(0, kind)])
+    starts = np.zeros(4)
     for r in got:
-        tok[-1, 2 * r["fold"] + r["toxic"]] = r["count"]
-    cont = {(f,): pad(uni[[f"nc{2 * f}", f"nc{2 * f + 1}"]].to_numpy(np.int64)) for f in (0, 1)}
-    cont[(0, 1)] = pad(uni[["n0", "n1"]].to_numpy(np.int64))
-    big = big[big["v"].isin(index) & big["w"].isin(index)]
-    pairs = np.column_stack([big["v"].map(index).to_numpy(np.int64), big["w"].map(index).to_numpy(np.int64)])
-    counts = Counts(index, np.append(uni["shared"].to_numpy(np.float64), 0), cont, tok, pairs, big[col].to_numpy(np.int64))
+        starts[2 * r["fold"] + r["toxic"]] = r["count"]
+    counts = Counts(part(unpack_sorted, "v", np.uint64), part(lambda b: np.frombuffer(b, np.uint64), "w", np.uint64),
+                    np.column_stack([part(unpack_ints, c, np.int32) for c in CELLS]), starts)
+    del packed
 
     x = rows.mapInArrow(_features(docs.sparkSession.sparkContext.broadcast(counts)), "x array<double>, y int").toPandas()
     y, x = x["y"].to_numpy(np.float64), np.stack(x["x"].to_numpy()).reshape(len(x), len(DISCOUNTS), 3)

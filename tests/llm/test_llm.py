@@ -124,6 +124,40 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.toxicity_scores(d.limit(0), lab).count() == 0
 
 
+def test_toxicity_counts_every_word_of_the_sample(spark):
+    """The models against the formulas in plain Python, with words and pairs seen once."""
+    rnd = random.Random(6)
+    rows = [(i, _words(rnd, 30, 150) + f" once{i}" + (" vile1" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(120)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model, _ = toxicity.fit(d, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    sample = [(toxicity.tokens(t), y) for i, t, y in rows if not toxicity.held_out_of(i)]
+    pair, context, shared = [Counter(), Counter()], [Counter(), Counter()], Counter()
+    for t, y in sample:
+        pair[y].update(zip(["\x02", *t], t))
+        context[y].update(["\x02", *t])
+    shared.update(w for _, w in {*pair[0], *pair[1]})
+    cont = [Counter(w for _, w in p) for p in pair]
+    assert len(model.words) == len(shared) + 1 and toxicity.word_keys([t for t in shared if t.startswith("once")])[0] in model.words
+    total = sum(shared.values()) + 0.5 * (len(shared) + 2)  # the start and the unknown word
+
+    def evidence(t, disc):
+        out = []
+        for y in (0, 1):
+            cut = lambda c: max(c - disc, 0)
+            n = sum(cont[y].values())
+            low = lambda w: cut(cont[y][w]) / n + (1 - sum(map(cut, cont[y].values())) / n) * (shared[w] + 0.5) / total
+            held = Counter()
+            for (v, _), c in pair[y].items():
+                held[v] += cut(c) / context[y][v]
+            out.append(sum(math.log(cut(pair[y][v, w]) / max(context[y][v], 1) + (1 - min(held[v], 1 - 1e-6)) * low(w))
+                           for v, w in zip(["\x02", *t], t)) / len(t))
+        return out[1] - out[0]
+
+    probes = [sample[0][0], sample[1][0][::-1], ["vile1", "nowhere"], sample[2][0][-2:]]
+    got = [model.features(" ".join(t))[0] for t in probes]
+    assert any(got == pytest.approx([evidence(t, disc) for t in probes]) for disc in toxicity.DISCOUNTS)
+
+
 def test_decontamination(spark):
     rnd = random.Random(2)
     items = [(k, _words(rnd, 30, 10 ** 6) + ". " + _words(rnd, 8, 10 ** 6) + ".") for k in range(40)] + [(40, _words(rnd, 400, 10 ** 6)), (41, None), (42, "")]
