@@ -143,17 +143,21 @@ SELECT source, cut_ratio, threshold, n_sample, n_docs, n_kept FROM th JOIN cnt U
 TEST_URL_EXCLUDE = ("cheap-pills", "example.org")
 
 
-def test_sources(sf):
+def _src(lo, hi):
+    return "(" + ", ".join(f"'src{i}'" for i in range(lo, hi)) + ")"
+
+
+def test_sources(sf, each=5):
+    """Four sources; wiki and namu read ``each`` of the twenty sources of documents (10: all of them)."""
     from millstone.plans.corpus import CorpusSource
     from millstone.sources.tables import SourceSpec
 
     def docs(name, lo, hi):
-        where = "source IN (" + ", ".join(f"'src{i}'" for i in range(lo, hi)) + ")"
-        return SourceSpec(name, f"{sf}/documents.parquet", where=where)
+        return SourceSpec(name, f"{sf}/documents.parquet", where=f"source IN {_src(lo, hi)}")
 
     return [
-        CorpusSource(docs("wiki", 0, 5), S.MIX_RATIOS["wiki"], S.CUT_RATIOS["wiki"]),
-        CorpusSource(docs("namu", 5, 10), S.MIX_RATIOS["namu"], S.CUT_RATIOS["namu"]),
+        CorpusSource(docs("wiki", 0, each), S.MIX_RATIOS["wiki"], S.CUT_RATIOS["wiki"]),
+        CorpusSource(docs("namu", each, 2 * each), S.MIX_RATIOS["namu"], S.CUT_RATIOS["namu"]),
         CorpusSource(SourceSpec("culturax", f"{sf}/pages.parquet",
                                 columns={"doc_id": "page_id", "text": "html", "url": "url"}),
                      S.MIX_RATIOS["culturax"], S.CUT_RATIOS["culturax"], url_exclude=TEST_URL_EXCLUDE),
@@ -164,19 +168,20 @@ def test_sources(sf):
     ]
 
 
-def _t2_sources(spark, sf):
+def _t2_sources(spark, sf, each=5):
     from millstone.plans.corpus import corpus_mixture
 
-    return corpus_mixture(spark, test_sources(sf), "latin").select("position", "slot", "source", "doc_id", "text",
+    return corpus_mixture(spark, test_sources(sf, each), "latin").select("position", "slot", "source", "doc_id", "text",
                                                                    "score")
 
 
-_SQL_SOURCES = f"""
+def _sql_sources(each):
+    return f"""
 conv AS (SELECT conv_id * 1000000 + turn AS doc_id, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS e FROM conversations),
 convg AS (SELECT *, coalesce(sum(e) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gid FROM conv),
 stories AS (SELECT min(doc_id) AS doc_id, 'stories' AS source, string_agg(text, ' ' ORDER BY doc_id) AS text FROM convg GROUP BY gid),
-m AS (SELECT doc_id, 'wiki' AS source, text FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3', 'src4')
-      UNION ALL SELECT doc_id, 'namu' AS source, text FROM documents WHERE source IN ('src5', 'src6', 'src7', 'src8', 'src9')
+m AS (SELECT doc_id, 'wiki' AS source, text FROM documents WHERE source IN {_src(0, each)}
+      UNION ALL SELECT doc_id, 'namu' AS source, text FROM documents WHERE source IN {_src(each, 2 * each)}
       UNION ALL SELECT page_id AS doc_id, 'culturax' AS source, html AS text FROM pages
                 WHERE NOT coalesce(contains(url, 'cheap-pills') OR contains(url, 'example.org'), false)
       UNION ALL SELECT doc_id, source, text FROM stories),
@@ -187,9 +192,14 @@ tsrc AS (SELECT * FROM scored WHERE source IN ('wiki', 'namu', 'culturax')),
 kept AS (SELECT s.* FROM scored s LEFT JOIN th USING (source) WHERE th.threshold IS NULL OR s.score >= th.threshold),
 {sql_mixture('kept')}, sh AS ({sql_block_shuffle('mix', S.SHUFFLE_BUFFER)})"""
 
-register("t2_sources_mixture", f"""WITH {_SQL_SOURCES}
+
+register("t2_sources_mixture", f"""WITH {_sql_sources(5)}
 SELECT position, slot, source, doc_id, text, score FROM sh""")(_t2_sources)
 
+# the same with every document in a source
+register("t2_all_sources_mixture", f"""WITH {_sql_sources(10)}
+SELECT position, slot, source, doc_id, text, score FROM sh""")(lambda spark, sf: _t2_sources(spark, sf, 10))
+
 
 # ------------------------------------------------------------------ G3, H4, C4 on their own
 from millstone.operators.order import first_n_per_group  # noqa: E402
