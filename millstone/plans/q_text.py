@@ -195,9 +195,9 @@ register("b4_near_preview", f"SELECT doc_id, {Q.near_preview('text')} AS preview
 E1_SAMPLE = 100
 
 
-def _e1(spark, sf):
+def _e1(spark, sf, sample=E1_SAMPLE):
     docs = _clean_docs(spark, sf).withColumn("source", mapped_source())
-    return source_thresholds(docs, {"culturax": S.CUT_RATIOS["culturax"]}, S.DEFAULT_CUT_RATIO, E1_SAMPLE, SEED,
+    return source_thresholds(docs, {"culturax": S.CUT_RATIOS["culturax"]}, S.DEFAULT_CUT_RATIO, sample, SEED,
                              sources=["culturax"])
 
 
@@ -206,6 +206,12 @@ WITH {_sql_clean_docs()}, m AS (SELECT doc_id, {mapped_source_sql()} AS source,
 f AS (SELECT * FROM m WHERE source = 'culturax'), {sql_thresholds('f', Q.d(0.3), E1_SAMPLE)}
 SELECT source, cut_ratio, n_sample, threshold FROM th""")(_e1)
 
+# the sample that T2 takes
+register("e1_source_threshold_full", f"""
+WITH {_sql_clean_docs()}, m AS (SELECT doc_id, {mapped_source_sql()} AS source, score FROM scored),
+f AS (SELECT * FROM m WHERE source = 'culturax'), {sql_thresholds('f', Q.d(0.3), S.SAMPLE_SIZE)}
+SELECT source, cut_ratio, n_sample, threshold FROM th""")(lambda spark, sf: _e1(spark, sf, S.SAMPLE_SIZE))
+
 
 def _e2(spark, sf):
     return source_thresholds(_clean_docs(spark, sf), None, S.DEFAULT_CUT_RATIO, S.SAMPLE_SIZE, SEED)
