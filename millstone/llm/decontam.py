@@ -10,9 +10,11 @@ query, and all segments scoring at least ``THRESHOLD`` are retrieved, exactly:
 2. block-max bound: the same with the maxima of blocks of segments leaves a few blocks;
 3. only postings in those blocks are scored.
 
-A retrieved item is verified in the words around the passage: the shares of the five-word
-shingles of its question (all but the last sentence) and of its answer (the last sentence) found
-there must both reach ``OVERLAP``.
+A retrieved segment is verified in the words around the passage: what is found there of its words of the question
+(all but the last sentence) and of its words of the answer (the last sentence) must both reach ``OVERLAP``. Found is the
+share of five-word shingles or, where that is too little, one less the word edits to the nearest place per word, so an
+edited word costs itself and not the shingles over it. An item longer than a segment is cut into equal ones, and one of
+them is enough.
 
 Documents are read once, with no shuffle. The index is shipped in shards of at most ``SHARD``
 segments (a bound of some tens of MB); a larger benchmark takes a pass per shard.
@@ -78,16 +80,45 @@ def _found(want: set, at: list[str]) -> float:
     return len(want & have) / len(want)
 
 
+def _edits(want: list[str], at: list[str]) -> int:
+    """Least word edits (Myers' bit vectors) that make ``want`` a run of the words ``at``."""
+    bits: dict[str, int] = {}
+    for i, x in enumerate(want):
+        bits[x] = bits.get(x, 0) | 1 << i
+    full, last = (1 << len(want)) - 1, 1 << len(want) - 1
+    up, down, now = full, 0, len(want)
+    best = now
+    for x in at:
+        eq = bits.get(x, 0)
+        d0 = (((eq & up) + up) ^ up | eq | down) & full
+        more, less = down | ~(d0 | up) & full, up & d0
+        now += 1 if more & last else -1 if less & last else 0
+        best = min(best, now)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | ~(d0 | more) & full, more & d0
+    return best
+
+
+def _overlap(want: list[str], at: list[str], enough: float) -> float:
+    """Share of the words ``want`` found in the words ``at``; 1 when there are none."""
+    share = _found(shingles(want), at)
+    return share if share >= enough else max(share, 1 - _edits(want, at) / len(want))
+
+
 class Index:
     """Impact-ordered facts of the segments: postings, block maxima, term maxima."""
 
     def __init__(self, items: list[tuple[int, str]], block: int = BLOCK):
         self.items, segs = items, []
-        self.parts = [tuple(map(shingles, question_answer(t))) for _, t in items]
-        self.sizes = [len(words(t)) for _, t in items]
+        self.parts = []  # question words and answer words of each segment
         for k, (_, t) in enumerate(items):
-            w = words(t)
-            segs += [(k, w[i:i + SEGMENT]) for i in range(0, len(w), SEGMENT)]
+            question, answer = question_answer(t)
+            w, q = question + answer, len(question)
+            many = -(-len(w) // SEGMENT)
+            for j in range(many):
+                a, b = j * len(w) // many, (j + 1) * len(w) // many
+                segs.append((k, w[a:b]))
+                self.parts.append((w[a:min(b, q)], w[max(a, q):b]))
         self.item_of = np.array([k for k, _ in segs], np.int64)
         self.terms: dict[str, int] = {}
         seg, term, tf = [], [], []
@@ -149,21 +180,21 @@ class Index:
             return []
         get = self.terms.get
         t = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
-        hits: dict[int, dict[int, float]] = {}
+        hits: dict[int, dict[tuple[int, int], float]] = {}
         for start, terms, good in self.passages(t, threshold):
             for seg, score in self.retrieve(terms, good, threshold):
-                k = int(self.item_of[seg])
-                at = hits.setdefault(k, {})
-                at[start] = max(score, at.get(start, 0.0))
+                hits.setdefault(int(self.item_of[seg]), {})[start, seg] = score
         out = []
         for k, at in sorted(hits.items()):
             best = (-1.0, 0.0, 0.0)
-            for start in at:
-                near = w[max(0, start - self.sizes[k]):start + SEGMENT + STRIDE + self.sizes[k]]
-                q, a = (_found(p, near) for p in self.parts[k])
+            for start, seg in at:
+                question, answer = self.parts[seg]
+                size = len(question) + len(answer)
+                near = w[max(0, start - size):start + SEGMENT + STRIDE + size]
+                q, a = _overlap(question, near, overlap), _overlap(answer, near, overlap)
                 best = max(best, (min(q, a), q, a))
             if best[0] >= overlap:
-                out.append((self.items[k][0], len(at), max(at.values()), best[1], best[2]))
+                out.append((self.items[k][0], len({start for start, _ in at}), max(at.values()), best[1], best[2]))
         return out
 
 

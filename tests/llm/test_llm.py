@@ -186,6 +186,33 @@ def test_decontamination(spark):
     assert got == brute
 
 
+def test_decontamination_edited_and_partial_items(spark):
+    rnd = random.Random(8)
+    items = [(k, _words(rnd, 30, 10 ** 6) + ". " + _words(rnd, 8, 10 ** 6) + ".") for k in range(10)] + [
+        (20, _words(rnd, 400, 10 ** 6)), (21, _words(rnd, 97, 10 ** 6) + ".")]
+    rows = []
+    for k, t in items[:10]:  # one word of the answer edited
+        w = t.split()
+        w[30 + k % 7] = "edited"
+        rows.append((k, _words(rnd, 200, 10 ** 6) + " " + " ".join(w) + " " + _words(rnd, 200, 10 ** 6)))
+    long = items[10][1].split()
+    rows += [(20, _words(rnd, 200, 10 ** 6) + " " + " ".join(long[50:350]) + " tail"), (30, " ".join(long[:40]) + " " + _words(rnd, 200, 10 ** 6)),
+             (31, _words(rnd, 200, 10 ** 6) + " " + items[11][1].split()[-1]), (32, " ".join(reversed(items[3][1].split())))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.contaminated(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k) for k in range(10)} | {(20, 20)}
+    # edits against the plain table
+    for _ in range(300):
+        a, b = ([rnd.choice("abc") for _ in range(rnd.randrange(1, 9))] for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a):
+            new = [i + 1]
+            for j, y in enumerate(b):
+                new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+            row = new
+        assert decontam._edits(a, b) == min(row), (a, b)
+
+
 @pytest.mark.parametrize("block", [3, 512])
 def test_jaccard_brute_force(docs, texts, nothing, block):
     def shingles(t):
