@@ -19,7 +19,8 @@ them is enough.
 Documents are read once, with no shuffle. The index is shipped in shards of at most ``SHARD``
 segments (a bound of some tens of MB); a larger benchmark takes a pass per shard.
 
-Defined results: null or empty texts match nothing; items without words are never found; an item of one
+Defined results: null or empty texts match nothing; items without words are never found; an item with a null id is
+found like any other and reported with a null id; an item of one
 sentence has its last third of words as answer; a text of fewer than five words is one shingle; repeated items with
 the same id are indexed each; repeated rows and null ids of documents are reported row by row.
 """
@@ -209,7 +210,7 @@ def _match(shared, threshold: float, overlap: float):
 
 def shards(items: DataFrame, item_id: str, text: str, shard: int) -> Iterator[list[tuple[int, str]]]:
     """Items in id order, in lists of bounded size: at most ``shard`` segments, or one item."""
-    it = pick(items, item_id=item_id, text=text).where("item_id IS NOT NULL AND text IS NOT NULL")
+    it = pick(items, item_id=item_id, text=text).where("text IS NOT NULL")
     held, size = [], 0
     for r in it.orderBy("item_id", "text").toLocalIterator(prefetchPartitions=False):
         n = -(-len(words(r["text"])) // SEGMENT)

@@ -213,6 +213,15 @@ def test_decontamination_edited_and_partial_items(spark):
         assert decontam._edits(a, b) == min(row), (a, b)
 
 
+def test_decontamination_item_without_id(spark):
+    rnd = random.Random(9)
+    item = _words(rnd, 30, 10 ** 6) + ". " + _words(rnd, 8, 10 ** 6) + "."
+    d = spark.createDataFrame([(1, "before " + item), (2, _words(rnd, 80, 10 ** 6))], "doc_id long, text string")
+    it = spark.createDataFrame([(None, item), (None, None), (7, "other words here")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(d, it).collect()] == [(1, None)]
+    assert [r.doc_id for r in d.where(decontam.contaminated_column(spark, it, "text")).collect()] == [1]
+
+
 @pytest.mark.parametrize("block", [3, 512])
 def test_jaccard_brute_force(docs, texts, nothing, block):
     def shingles(t):
