@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from millstone.llm import chat, decontam, jaccard, lm, mtree, suffix, tokens, toxicity, warc, wfst
+from millstone.llm import bpe_trie, chat, cover, decontam, jaccard, lm, mtree, suffix, tokens, toxicity, warc, wfst
 from millstone.llm.common import read
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -65,6 +65,17 @@ def op10_warc(spark, sf):
     return warc.write_and_read(read(spark, sf, "pages")).drop("digest_ok")
 
 
+def op11_bpe_trie(spark, sf):
+    coded = bpe_trie.encode_documents(read(spark, sf, "documents"), vocabulary(BYTE_BPE))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op12_hard_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover.hard_negatives(read(spark, sf, "embeddings").withColumn("label", moved))
+
+
 ORACLES = {
     "op1_chat_format": """
 WITH t AS (
@@ -95,6 +106,23 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score FROM (
+  SELECT p.*, s.vec_id, s.score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+   AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score) WHERE rank <= 5""",
     "op10_warc": """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS newest FROM p)
@@ -108,7 +136,7 @@ def queries() -> dict[str, Callable]:
     import corpus_pipeline
 
     own = [op1_chat_format, op2_interpolated_lm, op3_suffix_dedup, op4_toxicity, op5_decontaminate, op6_jaccard_join,
-           op7_sentencepiece, op8_token_counts, op9_mtree_topk, op10_warc]
+           op7_sentencepiece, op8_token_counts, op9_mtree_topk, op10_warc, op11_bpe_trie, op12_hard_negatives]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
