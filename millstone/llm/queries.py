@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from millstone.llm import bpe_trie, chat, cover, decontam, jaccard, lm, mtree, suffix, tokens, toxicity, warc, wfst
+from millstone.llm import bpe_trie, chat, cover, decontam, jaccard, lm, mtree, suffix, tokens, toxicity, warc, wfst, whiten
 from millstone.llm.common import read
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -76,6 +76,10 @@ def op12_hard_negatives(spark, sf):
     return cover.hard_negatives(read(spark, sf, "embeddings").withColumn("label", moved))
 
 
+def op13_whitening(spark, sf):
+    return whiten.whiten(read(spark, sf, "embeddings"))
+
+
 ORACLES = {
     "op1_chat_format": """
 WITH t AS (
@@ -136,7 +140,7 @@ def queries() -> dict[str, Callable]:
     import corpus_pipeline
 
     own = [op1_chat_format, op2_interpolated_lm, op3_suffix_dedup, op4_toxicity, op5_decontaminate, op6_jaccard_join,
-           op7_sentencepiece, op8_token_counts, op9_mtree_topk, op10_warc, op11_bpe_trie, op12_hard_negatives]
+           op7_sentencepiece, op8_token_counts, op9_mtree_topk, op10_warc, op11_bpe_trie, op12_hard_negatives, op13_whitening]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
