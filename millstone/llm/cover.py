@@ -11,9 +11,9 @@ products with q. Every task groups its rows into cover trees of bounded size:
 * a node of at most ``PAGE`` rows, or of radius 0, is a leaf; its rows lie side by side.
 
 From the score s of a node's routing point, its distance d = sqrt(|q|^2 + L - 2s) and radius r follow bounds of
-all scores below it: s - |q|r to s + |q|r, and (|q|^2 + L - (d +- r)^2) / 2. A query walks a tree best-first by the
-upper bound, passes nodes whose bounds lie outside of all its windows or under the k-th score found there, and
-verifies the rows of leaves by exact integer scores.
+all scores below it: s - |q|r to s + |q|r, and (|q|^2 + L - (d +- r)^2) / 2. A block of queries walks a tree best-first by the
+upper bound; a query passes nodes whose bounds lie outside of all its windows or under the k-th score found there, and
+the rows of leaves are verified by exact integer scores.
 
 Mining is two searches by the same trees: an anchor's positives (k best rows of its label), then one window
 of scores for each distinct positive score, in the rows of other labels.
@@ -48,7 +48,9 @@ PAGE = 64                 # rows of a leaf
 FAN = 16                  # children of a node
 CELL_TREES = 8            # trees of a cell
 CELL_QUERIES = 2048       # queries of a cell, about
+STEP = 1024               # rows of a leaf verified at once (a leaf of equal rows may hold a whole tree)
 EXACT = 1 << 52
+ABSENT = 1 << 62
 
 # the packed form of a tree: rows in leaf order, then nodes in depth first order
 ROWS = {"ids": "<i8", "labels": "<i8", "vecs": "<i4"}
@@ -102,6 +104,7 @@ class CoverTree:
                 work.append((len(table), rows[mine], dist[mine]))
                 table.append([c, float(dist[mine].max()), 0, 0, 0, 0])
         for k, rows in leaves:
+            rows = rows[np.argsort(self.ids[rows], kind="stable")]
             table[k][2:4] = size, size + len(rows)
             order.append(rows)
             size += len(rows)
@@ -135,58 +138,87 @@ class CoverTree:
         low = np.maximum(s - reach, (full - (d + r) ** 2) / 2) - slack
         return high, low
 
-    def search(self, queries: list["Query"], k: int, same: bool) -> None:
-        """Offer the tree's rows to every query's windows."""
-        q = np.stack([a.vec for a in queries]).astype(np.float64)
-        exact = self.top * np.abs(q).max() * q.shape[1] < EXACT
-        high, low = self.bounds(q)
+    def search(self, block: "Block", k: int, same: bool) -> None:
+        """Offer the tree's rows to the windows of a block of queries.
+
+        Every query begins with the leaf of its highest bound. Then the block walks down best-first: the node with the highest
+        bound of any query that still wants it comes next, and only those queries go on below it."""
+        high, low = self.bounds(block.points)
         child, children, begin, end = (self.nodes[c].tolist() for c in ("child", "children", "begin", "end"))
-        for a, point, up, down in zip(queries, q, high.tolist(), low.tolist()):
-            heap = [(-up[0], 0)]
-            while heap:
-                bound, n = heapq.heappop(heap)
-                if -bound < a.least():
-                    break
-                if children[n]:
-                    for c in range(child[n], child[n] + children[n]):
-                        if a.wants(up[c], down[c]):
-                            heapq.heappush(heap, (-up[c], c))
-                elif a.wants(up[n], down[n]):
-                    i, j = begin[n], end[n]
-                    s = (self.vecs[i:j] @ point).astype(np.int64) if exact else self.whole[i:j] @ a.vec
-                    ok = (self.labels[i:j] == a.label) == same
-                    a.offer(s, self.ids[i:j], ok & (self.ids[i:j] != a.anchor), k)
-
-
-class Query:
-    """An anchor and its windows of scores, each with the best rows found so far."""
-
-    def __init__(self, anchor: int, label: int, vec: np.ndarray, windows: list[tuple[float, float]]):
-        self.anchor, self.label, self.vec = anchor, label, vec
-        self.windows = windows
-        self.best: list[list[tuple[int, int]]] = [[] for _ in windows]
-        self.floors = [lo for lo, _ in windows]
-
-    def least(self) -> float:
-        return min(self.floors)
-
-    def wants(self, up: float, down: float) -> bool:
-        return any(up >= floor and down <= hi for floor, (_, hi) in zip(self.floors, self.windows))
-
-    def offer(self, s: np.ndarray, ids: np.ndarray, ok: np.ndarray, k: int) -> None:
-        for w, (_, hi) in enumerate(self.windows):
-            m = np.flatnonzero(ok & (s >= self.floors[w]) & (s <= hi))
-            if len(m) > k:
-                m = m[np.lexsort((ids[m], -s[m]))[:k]]
-            best = self.best[w]
-            for i in m:
-                item = (int(s[i]), -int(ids[i]))
+        leaves = np.flatnonzero(self.nodes["children"] == 0)
+        first = leaves[high[:, leaves].argmax(1)]
+        for n in np.unique(first).tolist():
+            self._verify(block, np.flatnonzero((first == n) & block.wants(high[:, n], low[:, n])), begin[n], end[n], k, same)
+        heap = [(-np.inf, 0)]
+        while heap:
+            n = heapq.heappop(heap)[1]
+            want = block.wants(high[:, n], low[:, n])
+            if not want.any():
+                continue
+            for c in range(child[n], child[n] + children[n]):
+                if (go := want & block.wants(high[:, c], low[:, c])).any():
+                    heapq.heappush(heap, (-float(high[go, c].max()), c))
+            if not children[n]:
+                self._verify(block, np.flatnonzero(want & (first != n)), begin[n], end[n], k, same)
+
+    def _verify(self, block: "Block", asking: np.ndarray, begin: int, end: int, k: int, same: bool) -> None:
+        """Exact scores of a leaf's rows for the queries ``asking``."""
+        if not len(asking):
+            return
+        exact = self.top * block.top * self.vecs.shape[1] < EXACT
+        for i in range(begin, end, STEP):
+            j = min(end, i + STEP)
+            s = (block.points[asking] @ self.vecs[i:j].T).astype(np.int64) if exact else block.vecs[asking] @ self.whole[i:j].T
+            ok = (self.labels[i:j][None] == block.labels[asking][:, None]) == same
+            block.offer(asking, s, self.ids[i:j], ok & (self.ids[i:j][None] != block.anchors[asking][:, None]), k)
+
+
+class Block:
+    """Queries of one length with their windows of scores (low, high), and the best rows found so far."""
+
+    def __init__(self, queries: list[dict]):
+        self.anchors = np.array([r["vec_id"] for r in queries], np.int64)
+        self.labels = np.array([r["label"] for r in queries], np.int64)
+        self.vecs = np.array([r["v"] for r in queries], np.int64)
+        self.points = self.vecs.astype(np.float64)
+        self.top = float(np.abs(self.points).max())
+        self.windows = [[(None, None)] if r["lows"] is None else list(zip(r["lows"], r["highs"])) for r in queries]
+        most = max(map(len, self.windows))
+        # scores stay far from the ends of 64 bits; an absent window is one that nothing reaches
+        self.floor, self.ceil = np.full((len(queries), most), ABSENT), np.full((len(queries), most), -ABSENT)
+        for q, ws in enumerate(self.windows):
+            for w, (lo, hi) in enumerate(ws):
+                self.floor[q, w], self.ceil[q, w] = (-ABSENT, ABSENT) if lo is None else (lo, hi)
+        self.best: list[list[list[tuple[int, int]]]] = [[[] for _ in ws] for ws in self.windows]
+
+    def wants(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Queries with a window that rows between these bounds may enter."""
+        return ((high[:, None] >= self.floor) & (low[:, None] <= self.ceil)).any(1)
+
+    def offer(self, asking: np.ndarray, s: np.ndarray, ids: np.ndarray, ok: np.ndarray, k: int) -> None:
+        """Rows of a leaf, in order of id, with their scores by query."""
+        for w in range(self.floor.shape[1]):
+            m = ok & (s >= self.floor[asking, w][:, None]) & (s <= self.ceil[asking, w][:, None])
+            many = np.flatnonzero(m.sum(1) > k)
+            if len(many):  # the k best of each; a stable order keeps the smaller id
+                some = np.argsort(np.where(m[many], -s[many], ABSENT), axis=1, kind="stable")[:, :k]
+                m[many] = False
+                m[many[:, None], some] = True
+            for q, r in zip(*(a.tolist() for a in np.nonzero(m))):
+                best, item = self.best[asking[q]][w], (int(s[q, r]), -int(ids[r]))
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
                     heapq.heapreplace(best, item)
-            if len(best) == k:
-                self.floors[w] = best[0][0]
+                if len(best) == k:
+                    self.floor[asking[q], w] = best[0][0]
+
+    def rows(self) -> Iterator[tuple]:
+        """(anchor, low, high, vec_id, score) of what was found."""
+        for anchor, windows, found in zip(self.anchors.tolist(), self.windows, self.best):
+            for (lo, hi), best in zip(windows, found):
+                for score, minus in best:
+                    yield anchor, lo, hi, -minus, score
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,16 +249,15 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cell(k: int, same: bool):
     def run(trees: pa.Table, queries: pa.Table) -> pa.Table:
         """Searches a block of queries in a group of trees."""
-        asked: dict[int, list[Query]] = {}
+        by_length: dict[int, list[dict]] = {}
         for r in queries.to_pylist():
-            windows = [(-np.inf, np.inf)] if r["lows"] is None else list(zip(r["lows"], r["highs"]))
-            asked.setdefault(len(r["v"]), []).append(Query(r["vec_id"], r["label"], np.array(r["v"], np.int64), windows))
-        for i in range(trees.num_rows if asked else 0):
+            by_length.setdefault(len(r["v"]), []).append(r)
+        blocks = {d: Block(rows) for d, rows in by_length.items()}
+        for i in range(trees.num_rows if blocks else 0):
             tree = CoverTree.unpacked(trees.slice(i, 1).to_pylist()[0])
-            if same_length := asked.get(tree.vecs.shape[1]):
-                tree.search(same_length, k, same)
-        rows = [(a.anchor, *((None, None) if hi == np.inf else (lo, hi)), -minus, score) for group in asked.values() for a in group
-                for (lo, hi), best in zip(a.windows, a.best) for score, minus in best]
+            if block := blocks.get(tree.vecs.shape[1]):
+                tree.search(block, k, same)
+        rows = [r for b in blocks.values() for r in b.rows()]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, FOUND)], schema=FOUND)
     return run
 
