@@ -6,8 +6,56 @@ Spark jobs in ``operators.bpe``; this only applies it to one pre-token.
 
 from __future__ import annotations
 
+import heapq
+
 from millstone.functions.bytelevel import GLYPH_TO_BYTE, GLYPHS
 
+SHORT = 32  # symbols up to which a plain scan beats the heap
+
+
+def merge_word(syms: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Apply merges ``(left, right) -> (rank, new)`` to a word, lowest rank first and
+    leftmost first among equal ones, until none applies."""
+    if len(syms) > SHORT:
+        return _merge_long(syms, ranks)
+    syms = list(syms)
+    while len(syms) > 1:
+        best = min((m for m in map(ranks.get, zip(syms, syms[1:])) if m is not None), default=None)
+        if best is None:
+            break
+        out, i, new = [], 0, best[1]
+        while i < len(syms):
+            if i + 1 < len(syms) and ranks.get((syms[i], syms[i + 1])) == best:
+                out.append(new)
+                i += 2
+            else:
+                out.append(syms[i])
+                i += 1
+        syms = out
+    return syms
+
+
+def _merge_long(syms: list[int], ranks: dict) -> list[int]:
+    """The same with a heap of (rank, place) over a linked list: n log n for a word of n symbols."""
+    n = len(syms)
+    syms, after, before = list(syms), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(*m, i) for i in range(n - 1) if (m := ranks.get((syms[i], syms[i + 1]))) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, new, i = heapq.heappop(heap)
+        j = after[i]
+        if syms[i] < 0 or j >= n or ranks.get((syms[i], syms[j])) != (rank, new):
+            continue  # the pair is gone
+        syms[i], syms[j] = new, -1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            if (m := ranks.get((new, syms[after[i]]))) is not None:
+                heapq.heappush(heap, (*m, i))
+        if before[i] >= 0 and (m := ranks.get((syms[before[i]], new))) is not None:
+            heapq.heappush(heap, (*m, before[i]))
+    return [s for s in syms if s >= 0]
+
 
 class Codec:
     def __init__(self, vocab: list[str], merges: list[tuple[int, int, int]], specials: list[str],
@@ -31,25 +79,7 @@ class Codec:
         if sp is not None:
             return [sp]
         syms = [self.tok2id.get(GLYPHS[b], self.unk) for b in word.encode("utf-8")]
-        ranks = self.ranks
-        while len(syms) > 1:
-            best = None
-            for i in range(len(syms) - 1):
-                m = ranks.get((syms[i], syms[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best = (m[0], m[1], syms[i], syms[i + 1])
-            if best is None:
-                break
-            _, new, a, b = best
-            out, i = [], 0
-            while i < len(syms):
-                if i + 1 < len(syms) and syms[i] == a and syms[i + 1] == b:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(syms[i])
-                    i += 1
-            syms = out
+        syms = merge_word(syms, self.ranks)
         if len(self.cache) >= self.cache_size:
             self.cache.clear()
         self.cache[word] = syms

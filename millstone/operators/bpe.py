@@ -1,17 +1,12 @@
 """K1-K9: byte-level BPE as Spark jobs.
 
 Training (K4) works on the distinct-word table, one row per distinct
-pre-token with its frequency (one shuffle with map-side partial counts).
-A word's current segmentation is the string `` id id id `` so a merge
-(a, b) -> c is a JVM ``regexp_replace`` of ``(?<= )a b(?= )`` (left to
-right, non-overlapping). Each round counts adjacent pairs (explode +
-partial/final aggregate), brings only the top ranked pairs to the driver
-(bounded), and takes a *safe batch* of merges at once: the longest prefix of
-the ranking in which no pair starts with a symbol that another ends with (so
-no two overlap in a word), none is a self pair (a self pair
-goes alone), all create new distinct strings, and the last count is strictly
-above the first pair left out. Such a batch is exactly what sequential
-training would merge next, so results equal one-merge-per-round training.
+pre-token with its frequency (one shuffle with map-side partial counts). A round
+counts adjacent pairs (partial and final aggregate), takes the most frequent ones as
+candidates, and cuts the words to *fragments*: runs of symbols in which all adjacent pairs are
+candidates. What sequential training does next depends on the distinct fragments alone for as long as the best pair
+is no worse than the last candidate, so a round learns hundreds or thousands of merges, exactly those of one merge
+after another. Candidates and fragments are bounded, whatever the corpus.
 
 Ids: specials first (list order), then the byte glyphs seen in training
 sorted by code point, then merges in order; a merge that makes an existing
@@ -20,16 +15,20 @@ string reuses its id. Ties go to the smaller (left id, right id).
 
 from __future__ import annotations
 
+import heapq
 import time
+import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millstone import settings as S
-from millstone.functions.bpe_codec import Codec
+from millstone.functions.bpe_codec import Codec, merge_word
 from millstone.functions.bytelevel import GLYPHS, pretokens, utf8_bytes
 
 
@@ -39,6 +38,7 @@ class BpeModel:
     merges: list[tuple[int, int, int]]    # rank -> (left id, right id, new id)
     specials: list[str] = field(default_factory=lambda: list(S.SPECIAL_TOKENS))
     unk: str = S.UNK_TOKEN
+    rounds: int = 0                       # Spark rounds of the training that made it
 
     def token_id(self, tok: str) -> int | None:
         try:
@@ -84,131 +84,233 @@ def byte_pair_counts(words: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ K4
 
-def _pair_top(w: DataFrame, k: int) -> list[tuple[int, int, int]]:
-    """Top-k adjacent pairs by (count desc, left id, right id).
-
-    Overlapping pairs come straight from the segment string (a zero-width
-    lookahead match per position), ids are parsed only after aggregation,
-    on the small pair table, so the tie order is numeric."""
-    p = (w.select("freq", F.explode(F.regexp_extract_all("seg", F.lit(r"(?= (\d+ \d+) )"), 1)).alias("p"))
-         .groupBy("p").agg(F.sum("freq").alias("c")))
-    ids = F.split("p", " ")
-    rows = (p.select(ids[0].cast("int").alias("l"), ids[1].cast("int").alias("r"), "c")
-            .orderBy(F.desc("c"), "l", "r").limit(k).collect())
-    return [(r["l"], r["r"], r["c"]) for r in rows]
-
-
-def safe_batch(top: list[tuple[int, int, int]], vocab: list[str], tok2id: dict[str, int],
-               room: int, complete: bool) -> list[tuple[int, int]]:
-    """Longest prefix of ``top`` that sequential training would merge next.
-    ``complete`` says ``top`` holds every remaining pair."""
-    first = top[0]
-    batch = [first]
-    s0 = vocab[first[0]] + vocab[first[1]]
-    if first[0] == first[1] or s0 in tok2id:
-        return [(first[0], first[1])]
-    lefts, rights = {first[0]}, {first[1]}
-    strings = {s0}
-    for l, r, c in top[1:]:
-        s = vocab[l] + vocab[r]
-        if len(batch) >= room or l == r or l in rights or r in lefts or s in tok2id or s in strings:
+# A word is (freq, ids): one row of the distinct-word table with its current segmentation.
+_WORD, _WORDS = pa.schema([("freq", pa.int64()), ("ids", pa.list_(pa.int32()))]), "freq bigint, ids array<int>"
+PAIR_BITS = 32
+
+
+def _adjacent(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of words: all symbols in a row, the word of each, the pair that begins at each place
+    (left id in the upper bits) and whether both of its symbols are of one word."""
+    ids = batch.column(1)
+    flat = ids.flatten().to_numpy()
+    word = np.repeat(np.arange(batch.num_rows), ids.value_lengths().to_numpy())
+    return flat, word, flat[:-1].astype(np.int64) << PAIR_BITS | flat[1:], word[:-1] == word[1:]
+
+
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` are in the sorted array ``some``."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
+def _start(byte_ids: np.ndarray):
+    def run(batches):
+        """Words as byte symbols; words of one byte only feed the alphabet."""
+        for b in batches:
+            raw = [w.encode() for w in b.column(0).to_pylist()]
+            rows = [(f, byte_ids[np.frombuffer(w, np.uint8)]) for w, f in zip(raw, b.column(1).to_pylist()) if len(w) > 1]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
+                                              pa.array([r[1] for r in rows], pa.list_(pa.int32()))], schema=_WORD)
+    return run
+
+
+def _count_pairs(batches):
+    """(pair, n): adjacent pairs of a batch with their frequencies, summed per batch."""
+    for b in batches:
+        _, word, pair, inside = _adjacent(b)
+        keys, which = np.unique(pair[inside], return_inverse=True)
+        n = np.bincount(which, b.column(0).to_numpy()[word[:-1][inside]], len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["pair", "n"])
+
+
+def _fragments(candidates: np.ndarray):
+    def run(batches):
+        """(fragment, n): longest runs of symbols in which every adjacent pair is a candidate."""
+        for b in batches:
+            flat, word, pair, inside = _adjacent(b)
+            ok = np.concatenate([[False], inside & _among(pair, candidates), [False]]).astype(np.int8)
+            edge = np.diff(ok)
+            freq, found = b.column(0).to_numpy(), Counter()
+            for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
+                found[flat[i:j + 1].tobytes()] += int(freq[word[i]])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())],
+                                             names=["fragment", "n"])
+    return run
+
+
+def _apply(merges: list[tuple[int, int, int]]):
+    ranks = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges)}
+    pairs = np.sort(np.array([a << PAIR_BITS | b for a, b, _ in merges], np.int64))
+
+    def run(batches):
+        """Words after a round's merges; a word without a merged pair stays, one of a single token is done."""
+        for b in batches:
+            flat, word, pair, inside = _adjacent(b)
+            hit = np.zeros(b.num_rows, bool)
+            hit[word[:-1][inside & _among(pair, pairs)]] = True
+            changed = b.filter(pa.array(hit))
+            rows = [(f, w) for f, ids in zip(*(changed.column(i).to_pylist() for i in range(2)))
+                    if len(w := merge_word(ids, ranks)) > 1]
+            yield b.filter(pa.array(~hit))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
+                                              pa.array([r[1] for r in rows], pa.list_(pa.int32()))], schema=_WORD)
+    return run
+
+
+def settle(fragments: list[tuple[list[int], int]], last: tuple[int, int, int], vocab: list[str], tok2id: dict[str, int],
+           vocab_size: int) -> list[tuple[int, int, int]]:
+    """The merges that sequential training makes next, as far as the fragments of the candidate pairs tell.
+
+    ``last`` is the place of the last candidate, (-count, left, right). A pair that is no candidate, or that
+    comes to lie across the end of a fragment, is and stays behind it: its occurrences are among those of one pair
+    that was left out, and a new token has a higher id than all earlier ones. So the best pair within the fragments is
+    the best of all while it is not behind ``last``. A merge whose string is in the vocabulary already adds to
+    another token's pairs and ends the round. ``vocab`` and ``tok2id`` grow."""
+    parts, weight = [p for p, _ in fragments], [n for _, n in fragments]
+    counts: dict[tuple[int, int], int] = {}
+    where: dict[tuple[int, int], set[int]] = {}
+    for k, p in enumerate(parts):
+        for pair in zip(p, p[1:]):
+            counts[pair] = counts.get(pair, 0) + weight[k]
+            where.setdefault(pair, set()).add(k)
+    heap = [(-n, *pair) for pair, n in counts.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int, int]] = []
+    while heap and len(vocab) < vocab_size:
+        best = heapq.heappop(heap)
+        pair = best[1:]
+        if counts.get(pair) != -best[0]:
+            continue  # counted anew since
+        if best > last:
             break
-        batch.append((l, r, c))
-        lefts.add(l)
-        rights.add(r)
-        strings.add(s)
-    # the last taken pair must beat the first pair left out
-    while len(batch) > 1:
-        j = len(batch)
-        nxt = top[j][2] if j < len(top) else (0 if complete else None)
-        if nxt is not None and batch[-1][2] > nxt:
+        token = vocab[pair[0]] + vocab[pair[1]]
+        new = tok2id.get(token)
+        merges.append((*pair, len(vocab) if new is None else new))
+        if new is not None:
             break
-        batch.pop()
-    return [(l, r) for l, r, _ in batch]
-
-
-def train_bpe(words: DataFrame, vocab_size: int = S.VOCAB_SIZE,
-              specials: list[str] | None = None, top_k: int = 512,
-              checkpoint_every: int = 50, max_rounds: int | None = None,
+        new = tok2id[token] = len(vocab)
+        vocab.append(token)
+        rank, was = {pair: (0, new)}, {}
+        for k in where.pop(pair):
+            for p in zip(parts[k], parts[k][1:]):
+                was.setdefault(p, counts.get(p, 0))
+                counts[p] -= weight[k]
+            parts[k] = merge_word(parts[k], rank)
+            for p in zip(parts[k], parts[k][1:]):
+                was.setdefault(p, counts.get(p, 0))
+                counts[p] = counts.get(p, 0) + weight[k]
+                where.setdefault(p, set()).add(k)
+        del counts[pair]
+        for p, n in was.items():
+            if counts.get(p, 0) > 0 and counts[p] != n:
+                heapq.heappush(heap, (-counts[p], *p))
+    return merges
+
+
+def train_bpe(words: DataFrame, vocab_size: int = S.VOCAB_SIZE, specials: list[str] | None = None, *, candidates: int = 8192,
+              fragment_symbols: int = 2_000_000, max_rounds: int | None = None, state: str | None = None,
               verbose: bool = False, rows_per_part: int = 250_000) -> BpeModel:
-    """K4: train on ``words(word, freq)``; returns the model (bounded by
-    ``vocab_size``). The word table stays in Spark, cached per round with a
-    reliable checkpoint every ``checkpoint_every`` rounds."""
-    from millstone.session import checkpoint_dir
+    """K4: train on ``words(word, freq)``; returns the model (bounded by ``vocab_size``).
+
+    The word table stays in Spark. A round takes up to ``candidates`` of the most frequent pairs, cuts the words to
+    the fragments that these pairs hold together, and learns from the distinct fragments (at most ``fragment_symbols``
+    symbols; with more, half as many candidates are taken) all merges that are certain, see ``settle``. Then the merges are applied to the
+    words that hold one of them, and the table is written. With ``state``, a folder that all executors share, tables and merges stay there, and
+    training goes on from the last complete round when called again."""
+    from millstone.session import drop_path, scratch_path
 
     spark = words.sparkSession
-    checkpoint_dir(spark)
     specials = list(specials if specials is not None else S.SPECIAL_TOKENS)
-    w = words.select("freq", utf8_bytes("word").alias("b")).where(F.size("b") >= 1)
-    seen = sorted(r[0] for r in w.select(F.explode("b")).distinct().collect())  # <= 256 values
-    vocab = list(specials)
-    tok2id = {t: i for i, t in enumerate(vocab)}
-    byte_id = {}
-    for b in sorted(seen, key=lambda x: ord(GLYPHS[x])):
-        g = GLYPHS[b]
-        if g not in tok2id:
-            tok2id[g] = len(vocab)
-            vocab.append(g)
-        byte_id[b] = tok2id[g]
-    id_map = F.create_map(*[x for b, i in byte_id.items() for x in (F.lit(b), F.lit(i))])
-    seg = F.concat(F.lit(" "), F.array_join(F.transform("b", lambda x: id_map[x]), " "), F.lit(" "))
-    # single-byte words have no pair: they only feed the alphabet.
-    # Partitions sized to the table (rows_per_part rows each, at least one per
-    # core), written once as the loop's starting point.
-    n_words = words.count()
-    parts = max(spark.sparkContext.defaultParallelism, -(-n_words // rows_per_part))
-    cur = w.where(F.size("b") >= 2).select("freq", seg.alias("seg")).repartition(parts).checkpoint(eager=True)
-    merges: list[tuple[int, int, int]] = []
-    rounds, to_free, t0 = 0, None, time.time()
-    # the loop's stages have a fixed shape: AQE re-planning per round costs
-    # more than it saves, and the pair shuffle needs as many partitions as
-    # the word table has
-    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        merges, rounds, to_free, cur = _merge_loop(cur, vocab, tok2id, vocab_size, top_k, checkpoint_every,
-                                                   max_rounds, verbose, t0)
-    finally:
-        for k, v in saved.items():
-            spark.conf.set(k, v)
-    for d in (to_free, cur):
-        if d is not None:
-            d.unpersist()
-    return BpeModel(vocab, merges, specials)
-
-
-def _merge_loop(cur, vocab, tok2id, vocab_size, top_k, checkpoint_every, max_rounds, verbose, t0):
-    merges: list[tuple[int, int, int]] = []
-    rounds, to_free = 0, None
-    while len(vocab) < vocab_size and (max_rounds is None or rounds < max_rounds):
-        top = _pair_top(cur, top_k + 1)          # also fills the cache of ``cur``
-        if to_free is not None:
-            to_free.unpersist()
-            to_free = None
+    base = state or scratch_path(spark, f"millstone/bpe-{uuid.uuid4().hex[:12]}")
+    log = _TrainingLog(spark, base)
+    done = log.read() if state else None
+    t0 = time.time()
+    if done is None:
+        w = words.where(F.col("word").isNotNull() & (F.length("word") > 0)).select("word", "freq")
+        seen = sorted(r[0] for r in w.select(F.explode(utf8_bytes("word"))).distinct().collect())  # <= 256 values
+        vocab = list(specials)
+        for g in sorted(GLYPHS[b] for b in seen):
+            if g not in vocab:
+                vocab.append(g)
+        byte_ids = np.zeros(256, np.int32)
+        byte_ids[seen] = [vocab.index(GLYPHS[b]) for b in seen]
+        parts = max(spark.sparkContext.defaultParallelism, -(-words.count() // rows_per_part))
+        w.repartition(parts).mapInArrow(_start(byte_ids), _WORDS).write.parquet(log.words(0))
+        log.add(0, [(-1, -1, i) for i in range(len(vocab))], vocab)
+        done = vocab, [], 0
+    vocab, merges, rounds = done
+    tok2id = {t: i for i, t in reversed(list(enumerate(vocab)))}
+    first, take = rounds, min(candidates, 256)
+    while len(vocab) < vocab_size and (max_rounds is None or rounds - first < max_rounds):
+        cur = spark.read.schema(_WORDS).parquet(log.words(rounds))
+        pairs = cur.mapInArrow(_count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        top = [(-r["n"], r["pair"] >> PAIR_BITS, r["pair"] & (1 << PAIR_BITS) - 1)
+               for r in pairs.orderBy(F.desc("n"), "pair").limit(candidates).collect()]
         if not top:
             break
-        complete = len(top) <= top_k
-        batch = safe_batch(top, vocab, tok2id, vocab_size - len(vocab), complete)
-        expr = F.col("seg")
-        for l, r in batch:
-            s = vocab[l] + vocab[r]
-            new = tok2id.get(s)
-            if new is None:
-                new = len(vocab)
-                vocab.append(s)
-                tok2id[s] = new
-            merges.append((l, r, new))
-            expr = F.regexp_replace(expr, f"(?<= ){l} {r}(?= )", str(new))
+        batch, take = _learn(cur, top, take, fragment_symbols, vocab, tok2id, vocab_size)
         rounds += 1
+        cur.mapInArrow(_apply(batch), _WORDS).write.parquet(log.words(rounds))
+        log.add(rounds, batch, vocab)
+        merges += batch
+        if rounds > 1 and state is None:
+            drop_path(spark, log.words(rounds - 2))
         if verbose:
-            print(f"round {rounds}: +{len(batch)} merges, vocab {len(vocab)}, {time.time() - t0:.1f}s", flush=True)
-        # words merged into a single token have no pair left: drop them, so
-        # the table every later round scans keeps shrinking
-        nxt = cur.select("freq", expr.alias("seg")).where(F.col("seg").rlike(r"^ \d+ \d+ "))
-        nxt = nxt.checkpoint(eager=True) if rounds % checkpoint_every == 0 else nxt.cache()
-        to_free, cur = cur, nxt
-    return merges, rounds, to_free, cur
+            print(f"round {rounds}: +{len(batch)} merges, vocab {len(vocab)}, {take} candidates, {time.time() - t0:.1f}s", flush=True)
+    return BpeModel(vocab, merges, specials, rounds=rounds - first)
+
+
+def _learn(cur: DataFrame, top: list[tuple[int, int, int]], take: int, most: int, vocab: list[str], tok2id: dict[str, int],
+           vocab_size: int) -> tuple[list[tuple[int, int, int]], int]:
+    """A round's merges, and how many candidates to take next."""
+    while True:
+        some = top[:take]
+        keys = np.sort(np.array([a << PAIR_BITS | b for _, a, b in some], np.int64))
+        found = (cur.mapInArrow(_fragments(keys), "fragment binary, n bigint").groupBy("fragment").agg(F.sum("n").alias("n"))
+                 .persist())
+        try:
+            size = found.agg(F.sum(F.length("fragment"))).first()[0] // 4
+            if size <= most:
+                got = [(np.frombuffer(r["fragment"], np.int32).tolist(), r["n"]) for r in found.collect()]
+                return settle(got, some[-1], vocab, tok2id, vocab_size), min(take * 2, len(top)) if 3 * size < most else take
+        finally:
+            found.unpersist()
+        if take == 1:  # runs of one symbol in very many lengths: the first pair is certain without them
+            (_, a, b), = some
+            new = tok2id.setdefault(vocab[a] + vocab[b], len(vocab))
+            if new == len(vocab):
+                vocab.append(vocab[a] + vocab[b])
+            return [(a, b, new)], 1
+        take = max(1, take // 2)
+
+
+class _TrainingLog:
+    """State of a training: a word table per round, and the tokens and merges of all rounds in one small table."""
+
+    def __init__(self, spark, base: str):
+        self.spark, self.base = spark, base
+
+    def words(self, n: int) -> str:
+        return f"{self.base}/words-{n:05d}"
+
+    def add(self, n: int, merges: list[tuple[int, int, int]], vocab: list[str]) -> None:
+        rows = [(n, k, a, b, c, vocab[c]) for k, (a, b, c) in enumerate(merges)]
+        (self.spark.createDataFrame(rows, "round int, place int, left_id int, right_id int, new_id int, token string")
+         .coalesce(1).write.mode("append").parquet(f"{self.base}/merges"))
+
+    def read(self) -> tuple[list[str], list[tuple[int, int, int]], int] | None:
+        from millstone.session import path_exists
+
+        if not path_exists(self.spark, f"{self.base}/merges"):
+            return None
+        rows = self.spark.read.parquet(f"{self.base}/merges").orderBy("round", "place").collect()
+        vocab: list[str] = []
+        for r in rows:
+            if r["new_id"] == len(vocab):
+                vocab.append(r["token"])
+        return vocab, [(r["left_id"], r["right_id"], r["new_id"]) for r in rows if r["round"]], rows[-1]["round"]
 
 
 # ------------------------------------------------------------------ K5-K9

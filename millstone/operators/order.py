@@ -17,22 +17,35 @@ recomputed task after an executor loss gets the same answer.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millstone.session import shuffle_partitions
 
 BUCKET = "_bucket"
 
 
-def _tree(key: Column, splits: list[float], lo: int, hi: int) -> Column:
-    """Bucket index in [lo, hi] for ``key`` by binary search over splits
-    (bucket b covers [splits[b-1], splits[b]))."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(key < F.lit(splits[mid - 1]), _tree(key, splits, lo, mid - 1)).otherwise(
-        _tree(key, splits, mid, hi))
+_JSON_TYPES = {"tinyint", "smallint", "int", "bigint", "double", "string", "boolean"}
+
+
+def boundary_array(splits: list, dtype: T.DataType, plain: bool) -> Column:
+    """Sorted boundaries as one constant array. Values that JSON carries exactly come as a single literal,
+    which the optimiser reads once; others as one literal each."""
+    if plain:
+        return F.from_json(F.lit(json.dumps(splits)), T.ArrayType(dtype))
+    if isinstance(dtype, T.StructType):
+        return F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(t, dtype)]) for t in splits])
+    return F.array(*[F.lit(v).cast(dtype) for v in splits])
+
+
+def bucket_of(key: Column, bounds: Column, n: int) -> Column:
+    """How many of ``n`` sorted boundaries are at or below ``key``: a binary search, in steps of falling powers of two.
+    The plan has one literal and one expression for any number of boundaries; a null key is in bucket 0."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at))
 
 
 def range_bucket(df: DataFrame, key: str | list[str], n_buckets: int | None = None,
@@ -55,9 +68,8 @@ def range_bucket(df: DataFrame, key: str | list[str], n_buckets: int | None = No
         splits = sorted(set(x for x in df.approxQuantile(keys[0], probs, rel_err) if x is not None))
         if not splits:
             return F.lit(0)
-        # nulls sort first
-        return F.when(F.col(keys[0]).isNull(), 0).otherwise(
-            _tree(F.col(keys[0]).cast("double"), [float(s) for s in splits], 0, len(splits)))
+        bounds = boundary_array([float(s) for s in splits], T.DoubleType(), True)
+        return bucket_of(F.col(keys[0]).cast("double"), bounds, len(splits))
     total = df.count()
     if total == 0:
         return F.lit(0)
@@ -72,18 +84,11 @@ def range_bucket(df: DataFrame, key: str | list[str], n_buckets: int | None = No
                 splits.append(t)
     if not splits:
         return F.lit(0)
-    types = {f.name: f.dataType for f in df.schema.fields}
-    key_struct = F.struct(*[F.col(k).alias(k) for k in keys])
-    lits = [F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, t)]) for t in splits]
-    return _tree_cols(key_struct, lits, 0, len(lits))
-
-
-def _tree_cols(key: Column, splits: list[Column], lo: int, hi: int) -> Column:
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi + 1) // 2
-    return F.when(key < splits[mid - 1], _tree_cols(key, splits, lo, mid - 1)).otherwise(
-        _tree_cols(key, splits, mid, hi))
+    fields = [df.schema[k] for k in keys]
+    plain = all(f.dataType.simpleString() in _JSON_TYPES for f in fields)
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    bounds = boundary_array([dict(zip(keys, t)) for t in splits] if plain else splits, kind, plain)
+    return bucket_of(F.struct(*[F.col(k).alias(k) for k in keys]), bounds, len(splits))
 
 
 def dense_bucket(key: str, width: int) -> Column:

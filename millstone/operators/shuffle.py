@@ -3,7 +3,8 @@
 The permutation of a seeded shuffle is the order of ``md5(seed:key)`` (ties
 by key), which any engine can reproduce. Positions are assigned without a
 global single-task window: H1 buckets rows by the leading hash bits (uniform
-by construction), H3 shuffles inside fixed blocks of a dense slot number.
+by construction); H3 follows the places of a shuffle buffer, or shuffles inside fixed blocks
+of a dense slot number.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def shuffle_rank(df: DataFrame, key: str = "doc_id", seed: int = S.SEED, out: st
 
 def block_shuffle(df: DataFrame, slot_col: str = "slot", block: int = S.SHUFFLE_BUFFER,
                   seed: int = S.SEED, out: str = "position", salt: str = "shuffle:") -> DataFrame:
-    """H3: bounded-displacement shuffle of a dense slot sequence 0..N-1.
+    """H3, block form: bounded-displacement shuffle of a dense slot sequence 0..N-1.
 
     Slots are cut into blocks of ``block`` consecutive slots; inside a block
     rows are ordered by a seeded hash. A row moves less than ``block``
@@ -44,6 +45,30 @@ def block_shuffle(df: DataFrame, slot_col: str = "slot", block: int = S.SHUFFLE_
             .drop("_blk"))
 
 
+def buffer_shuffle(df: DataFrame, slot_col: str = "slot", buffer: int = S.SHUFFLE_BUFFER,
+                   seed: int = S.SEED, out: str = "position", salt: str = "shuffle:") -> DataFrame:
+    """H3: the shuffle buffer over a dense slot sequence 0..N-1.
+
+    A buffer of ``buffer`` places is filled with the first rows. Every later row draws a
+    place, the row in it leaves, and the new one takes the place; at the end the rows still
+    in the buffer leave in random order. So a row leaves when its place is drawn the next time:
+    the next slot in the order of (place, slot), one window partition of about N / buffer
+    rows per place. The rows left at the end, one per place, go by the hash of the place."""
+    n = df.count()
+    here = min(n, buffer)
+    slot = F.col(slot_col)
+    draw = hash_prefix(F.concat(F.lit(salt), slot.cast("string")), seed) % buffer
+    x = df.withColumn("_place", F.when(slot < buffer, slot).otherwise(draw).cast("bigint"))
+    x = x.withColumn("_next", F.lead(slot_col).over(Window.partitionBy("_place").orderBy(slot_col)))
+    # at most ``buffer`` rows: one window over them is bounded
+    places = df.sparkSession.range(here).withColumnRenamed("id", "_p")
+    by_hash = Window.orderBy(hash_key(F.concat(F.lit(f"{salt}tail:"), F.col("_p").cast("string")), seed), "_p")
+    places = places.withColumn("_tail", F.row_number().over(by_hash) - 1)
+    x = x.join(places, F.col("_place") == F.col("_p"))
+    return (x.withColumn(out, F.coalesce(F.col("_next") - buffer, F.col("_tail") + (n - here)).cast("bigint"))
+            .drop("_place", "_next", "_p", "_tail"))
+
+
 def first_rows(df: DataFrame, n: int, position_col: str = "position") -> DataFrame:
     """H4: the first ``n`` rows of a dense positional order: a plain filter."""
     return df.where(F.col(position_col) < n)

@@ -1,8 +1,8 @@
 """The whole preparation pipeline as a chain of Spark jobs.
 
 prepare (clean + score, written once) -> thresholds (sampled, small) ->
-quality filter (map literal, no join) -> weighted interleave -> block
-shuffle. Each stage boundary is a written table or a tiny collected dict,
+quality filter (map literal, no join) -> weighted interleave -> shuffle
+buffer. Each stage boundary is a written table or a tiny collected dict,
 so nothing is recomputed from raw text and a lost executor only reruns the
 stage it was in.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from millstone.operators.grouping import group_until_delimiter
 from millstone.operators.mixture import interleave
 from millstone.operators.quality import collect_thresholds, quality_filter, source_thresholds
-from millstone.operators.shuffle import block_shuffle
+from millstone.operators.shuffle import buffer_shuffle
 from millstone.plans.prepare import prepare
 from millstone.session import materialize
 from millstone.sources.tables import SourceSpec, exclude_urls, read_source, union_sources
@@ -35,7 +35,7 @@ class MixtureConfig:
     synthetic: tuple = ("stories",)
     sample_size: int = S.SAMPLE_SIZE
     seed: int = S.SEED
-    shuffle_block: int = S.SHUFFLE_BUFFER
+    shuffle_buffer: int = S.SHUFFLE_BUFFER
     profile: str = "hangul"
 
 
@@ -49,13 +49,13 @@ def build_mixture(docs: DataFrame, cfg: MixtureConfig | None = None, write: bool
                            sources=list(cfg.thresholded))
     if not write:
         kept = quality_filter(prepared, collect_thresholds(th))
-        return block_shuffle(interleave(kept, cfg.probs, cfg.seed), "slot", cfg.shuffle_block, cfg.seed)
+        return buffer_shuffle(interleave(kept, cfg.probs, cfg.seed), "slot", cfg.shuffle_buffer, cfg.seed)
     # slots and positions are found on (source, doc_id, row) alone; the text is moved once, by the last join. A row is
     # named by its place in the written table, so repeated or null ids stay apart.
     kept = quality_filter(prepared.withColumn("_row", F.struct("_metadata.file_name", "_metadata.row_index")),
                           collect_thresholds(th))
     mixed = interleave(kept.select("source", "doc_id", "_row"), cfg.probs, cfg.seed)
-    placed = block_shuffle(mixed, "slot", cfg.shuffle_block, cfg.seed).select("_row", "position", "slot", "ordinal")
+    placed = buffer_shuffle(mixed, "slot", cfg.shuffle_buffer, cfg.seed).select("_row", "position", "slot", "ordinal")
     out = placed.join(kept, "_row").drop("_row")
     return materialize(out, "mixture")
 
@@ -91,7 +91,7 @@ def load_corpus(spark: SparkSession, sources: list[CorpusSource]) -> DataFrame:
 
 def corpus_mixture(spark: SparkSession, sources: list[CorpusSource], profile: str = "hangul",
                    seed: int = S.SEED, sample_size: int = S.SAMPLE_SIZE,
-                   shuffle_block: int = S.SHUFFLE_BUFFER, write: bool = True) -> DataFrame:
+                   shuffle_buffer: int = S.SHUFFLE_BUFFER, write: bool = True) -> DataFrame:
     """T2 from source definitions: load, group, clean, threshold, filter,
     interleave, shuffle."""
     cfg = MixtureConfig(
@@ -99,5 +99,5 @@ def corpus_mixture(spark: SparkSession, sources: list[CorpusSource], profile: st
         cut_ratios={cs.spec.name: cs.cut_ratio for cs in sources if cs.cut_ratio is not None},
         thresholded=tuple(cs.spec.name for cs in sources if cs.cut_ratio is not None),
         synthetic=tuple(cs.spec.name for cs in sources if cs.spec.synthetic),
-        sample_size=sample_size, seed=seed, shuffle_block=shuffle_block, profile=profile)
+        sample_size=sample_size, seed=seed, shuffle_buffer=shuffle_buffer, profile=profile)
     return build_mixture(load_corpus(spark, sources), cfg, write=write)

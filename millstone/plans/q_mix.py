@@ -10,7 +10,7 @@ from millstone import settings as S
 from millstone.operators.inspect import inspect_samples, near_threshold, threshold_report
 from millstone.operators.mixture import interleave
 from millstone.operators.quality import source_thresholds
-from millstone.operators.shuffle import block_shuffle, tokenizer_training_docs
+from millstone.operators.shuffle import block_shuffle, buffer_shuffle, tokenizer_training_docs
 from millstone.plans import sqlfrag as Q
 from millstone.plans.fixtures import mapped_source, mapped_source_sql
 from millstone.plans.corpus import MixtureConfig, build_mixture
@@ -54,6 +54,17 @@ def sql_block_shuffle(src: str, block: int) -> str:
             f"ORDER BY md5('{SEED}:shuffle:' || CAST(slot AS VARCHAR)), slot) - 1 AS position FROM {src}")
 
 
+def sql_buffer_shuffle(src: str, buffer: int) -> str:
+    """A row leaves the buffer when its place is drawn the next time, the last ones by the hash of the place."""
+    draw = f"CAST('0x' || substr(md5('{SEED}:shuffle:' || CAST(slot AS VARCHAR)), 1, 8) AS BIGINT) % {buffer}"
+    size = f"(SELECT count(*) FROM {src})"
+    return f"""SELECT * EXCLUDE (place, nxt, tail), CAST(coalesce(nxt - {buffer}, tail + {size} - least({size}, {buffer})) AS BIGINT) AS position
+FROM (SELECT *, lead(slot) OVER (PARTITION BY place ORDER BY slot) AS nxt
+      FROM (SELECT *, CASE WHEN slot < {buffer} THEN slot ELSE {draw} END AS place FROM {src}))
+JOIN (SELECT place, row_number() OVER (ORDER BY md5('{SEED}:shuffle:tail:' || CAST(place AS VARCHAR)), place) - 1 AS tail
+      FROM (SELECT unnest(range(0, least({size}, {buffer}))) AS place)) USING (place)"""
+
+
 _RAW_MAPPED = f"SELECT doc_id, {mapped_source_sql()} AS source FROM documents"
 
 # ------------------------------------------------------------------ I1, H3
@@ -71,6 +82,11 @@ register("i1_mixture_counts", f"""WITH kept AS ({_RAW_MAPPED}), {sql_mixture('ke
 SELECT source, count(*) AS n_docs FROM mix GROUP BY source""")(
     lambda spark, sf: _i1(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs")))
 
+for _name, _buf in [("h3_shuffle_buffer", S.SHUFFLE_BUFFER), ("h3_shuffle_buffer_b64", 64)]:
+    register(_name, f"""WITH kept AS ({_RAW_MAPPED}), {sql_mixture('kept')}, sh AS ({sql_buffer_shuffle('mix', _buf)})
+SELECT position, slot, doc_id FROM sh""")(
+        (lambda b: lambda spark, sf: buffer_shuffle(_i1(spark, sf), "slot", b, SEED).select("position", "slot", "doc_id"))(_buf))
+
 for _name, _blk in [("h3_block_shuffle", S.SHUFFLE_BUFFER), ("h3_block_shuffle_b64", 64)]:
     register(_name, f"""WITH kept AS ({_RAW_MAPPED}), {sql_mixture('kept')}, sh AS ({sql_block_shuffle('mix', _blk)})
 SELECT position, slot, doc_id FROM sh""")(
@@ -87,7 +103,7 @@ tsrc AS (SELECT * FROM scored WHERE source IN ('wiki', 'namu', 'culturax')),
 
 SQL_PIPE = f"""{_SQL_SCORED},
 kept AS (SELECT s.* FROM scored s LEFT JOIN th USING (source) WHERE th.threshold IS NULL OR s.score >= th.threshold),
-{sql_mixture('kept')}, sh AS ({sql_block_shuffle('mix', S.SHUFFLE_BUFFER)})"""
+{sql_mixture('kept')}, sh AS ({sql_buffer_shuffle('mix', S.SHUFFLE_BUFFER)})"""
 
 
 def mixture(spark, sf):
@@ -147,8 +163,8 @@ def _src(lo, hi):
     return "(" + ", ".join(f"'src{i}'" for i in range(lo, hi)) + ")"
 
 
-def test_sources(sf, each=5):
-    """Four sources; wiki and namu read ``each`` of the twenty sources of documents (10: all of them)."""
+def test_sources(sf):
+    """Four sources; wiki and namu share the twenty sources of documents."""
     from millstone.plans.corpus import CorpusSource
     from millstone.sources.tables import SourceSpec
 
@@ -156,8 +172,8 @@ def test_sources(sf, each=5):
         return SourceSpec(name, f"{sf}/documents.parquet", where=f"source IN {_src(lo, hi)}")
 
     return [
-        CorpusSource(docs("wiki", 0, each), S.MIX_RATIOS["wiki"], S.CUT_RATIOS["wiki"]),
-        CorpusSource(docs("namu", each, 2 * each), S.MIX_RATIOS["namu"], S.CUT_RATIOS["namu"]),
+        CorpusSource(docs("wiki", 0, 10), S.MIX_RATIOS["wiki"], S.CUT_RATIOS["wiki"]),
+        CorpusSource(docs("namu", 10, 20), S.MIX_RATIOS["namu"], S.CUT_RATIOS["namu"]),
         CorpusSource(SourceSpec("culturax", f"{sf}/pages.parquet",
                                 columns={"doc_id": "page_id", "text": "html", "url": "url"}),
                      S.MIX_RATIOS["culturax"], S.CUT_RATIOS["culturax"], url_exclude=TEST_URL_EXCLUDE),
@@ -168,20 +184,19 @@ def test_sources(sf, each=5):
     ]
 
 
-def _t2_sources(spark, sf, each=5):
+def _t2_sources(spark, sf):
     from millstone.plans.corpus import corpus_mixture
 
-    return corpus_mixture(spark, test_sources(sf, each), "latin").select("position", "slot", "source", "doc_id", "text",
+    return corpus_mixture(spark, test_sources(sf), "latin").select("position", "slot", "source", "doc_id", "text",
                                                                    "score")
 
 
-def _sql_sources(each):
-    return f"""
+_SQL_SOURCES = f"""
 conv AS (SELECT conv_id * 1000000 + turn AS doc_id, text, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS e FROM conversations),
 convg AS (SELECT *, coalesce(sum(e) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gid FROM conv),
 stories AS (SELECT min(doc_id) AS doc_id, 'stories' AS source, string_agg(text, ' ' ORDER BY doc_id) AS text FROM convg GROUP BY gid),
-m AS (SELECT doc_id, 'wiki' AS source, text FROM documents WHERE source IN {_src(0, each)}
-      UNION ALL SELECT doc_id, 'namu' AS source, text FROM documents WHERE source IN {_src(each, 2 * each)}
+m AS (SELECT doc_id, 'wiki' AS source, text FROM documents WHERE source IN {_src(0, 10)}
+      UNION ALL SELECT doc_id, 'namu' AS source, text FROM documents WHERE source IN {_src(10, 20)}
       UNION ALL SELECT page_id AS doc_id, 'culturax' AS source, html AS text FROM pages
                 WHERE NOT coalesce(contains(url, 'cheap-pills') OR contains(url, 'example.org'), false)
       UNION ALL SELECT doc_id, source, text FROM stories),
@@ -190,16 +205,12 @@ scored AS (SELECT doc_id, source, text, {Q.quality_score('text', 'latin')} AS sc
 tsrc AS (SELECT * FROM scored WHERE source IN ('wiki', 'namu', 'culturax')),
 {sql_thresholds('tsrc', Q.d(0.3), S.SAMPLE_SIZE)},
 kept AS (SELECT s.* FROM scored s LEFT JOIN th USING (source) WHERE th.threshold IS NULL OR s.score >= th.threshold),
-{sql_mixture('kept')}, sh AS ({sql_block_shuffle('mix', S.SHUFFLE_BUFFER)})"""
+{sql_mixture('kept')}, sh AS ({sql_buffer_shuffle('mix', S.SHUFFLE_BUFFER)})"""
 
 
-register("t2_sources_mixture", f"""WITH {_sql_sources(5)}
+register("t2_sources_mixture", f"""WITH {_SQL_SOURCES}
 SELECT position, slot, source, doc_id, text, score FROM sh""")(_t2_sources)
 
-# the same with every document in a source
-register("t2_all_sources_mixture", f"""WITH {_sql_sources(10)}
-SELECT position, slot, source, doc_id, text, score FROM sh""")(lambda spark, sf: _t2_sources(spark, sf, 10))
-
 
 # ------------------------------------------------------------------ G3, H4, C4 on their own
 from millstone.operators.order import first_n_per_group  # noqa: E402

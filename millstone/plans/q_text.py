@@ -192,25 +192,16 @@ register("b4_near_preview", f"SELECT doc_id, {Q.near_preview('text')} AS preview
     lambda spark, sf: _docs(spark, sf).select("doc_id", T.near_preview("text").alias("preview")))
 
 # --------------------------------------------------------------------- E, H1, H2
-E1_SAMPLE = 100
-
-
-def _e1(spark, sf, sample=E1_SAMPLE):
+def _e1(spark, sf):
     docs = _clean_docs(spark, sf).withColumn("source", mapped_source())
-    return source_thresholds(docs, {"culturax": S.CUT_RATIOS["culturax"]}, S.DEFAULT_CUT_RATIO, sample, SEED,
+    return source_thresholds(docs, {"culturax": S.CUT_RATIOS["culturax"]}, S.DEFAULT_CUT_RATIO, S.SAMPLE_SIZE, SEED,
                              sources=["culturax"])
 
 
 register("e1_source_threshold", f"""
 WITH {_sql_clean_docs()}, m AS (SELECT doc_id, {mapped_source_sql()} AS source, score FROM scored),
-f AS (SELECT * FROM m WHERE source = 'culturax'), {sql_thresholds('f', Q.d(0.3), E1_SAMPLE)}
-SELECT source, cut_ratio, n_sample, threshold FROM th""")(_e1)
-
-# the sample that T2 takes
-register("e1_source_threshold_full", f"""
-WITH {_sql_clean_docs()}, m AS (SELECT doc_id, {mapped_source_sql()} AS source, score FROM scored),
 f AS (SELECT * FROM m WHERE source = 'culturax'), {sql_thresholds('f', Q.d(0.3), S.SAMPLE_SIZE)}
-SELECT source, cut_ratio, n_sample, threshold FROM th""")(lambda spark, sf: _e1(spark, sf, S.SAMPLE_SIZE))
+SELECT source, cut_ratio, n_sample, threshold FROM th""")(_e1)
 
 
 def _e2(spark, sf):

@@ -80,6 +80,41 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+def _file(spark, path: str):
+    """(file system, path) of the JVM, for any scheme that Spark can open."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return bool(fs.exists(p))
+
+
+def drop_path(spark, path: str) -> None:
+    """Remove an intermediate table that this process has written and read for the last time."""
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def write_text(spark, path: str, text: str) -> None:
+    """Write one small file, replacing it, where any process of the cluster can read it."""
+    fs, p = _file(spark, path)
+    fs.setWriteChecksum(False)  # no side file that goes stale when another program writes the file anew
+    try:
+        out = fs.create(p, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+    finally:
+        fs.setWriteChecksum(True)
+
+
+def read_text(spark, path: str) -> str | None:
+    """The text of one small file, ``None`` when it is absent."""
+    return None if not path_exists(spark, path) else bytes(
+        spark.read.format("binaryFile").load(path).select("content").first()[0]).decode()
+
+
 _SHIPPED: set = set()
 
 

@@ -1,14 +1,18 @@
 """Byte-level BPE against the public `tokenizers` library."""
 
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from millstone import settings as S
 from millstone.functions.bytelevel import pretokens
-from millstone.operators.bpe import Tokenizer, safe_batch, train_bpe, word_counts
-from millstone.sources.tokenizer_store import load_tokenizer, save_tokenizer
+from millstone.functions.bpe_codec import _merge_long, merge_word
+from millstone.operators.bpe import Tokenizer, settle, train_bpe, word_counts
+from millstone.sources.tokenizer_store import (load_tokenizer, load_tokenizer_file, model_of_json, save_tokenizer,
+                                               save_tokenizer_file, tokenizer_json)
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -49,9 +53,9 @@ def test_pretokens_fixture(spark):
 def test_train_and_encode_equal_tokenizers(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(12)
     texts = [r.text for r in docs.collect()]
-    hf = _hf(texts, 300, S.SPECIAL_TOKENS)
+    hf = _hf(texts, 3000, S.SPECIAL_TOKENS)
     hv = hf.get_vocab()
-    m = train_bpe(word_counts(docs), 300)
+    m = train_bpe(word_counts(docs), 3000)
     assert m.vocab == sorted(hv, key=hv.get)
     hm = json.loads(hf.to_str())["model"]["merges"]
     hm = [x if isinstance(x, list) else x.split(" ") for x in hm]
@@ -67,19 +71,76 @@ def test_train_and_encode_equal_tokenizers(spark):
     assert tok.model.eos_id == 5
 
 
-def test_safe_batch_rule():
-    vocab = ["a", "b", "c", "d", "e", "f"]
-    t2i = {v: i for i, v in enumerate(vocab)}
-    # disjoint pairs with strictly falling counts are taken together
-    assert safe_batch([(0, 1, 9), (2, 3, 8), (4, 5, 7)], vocab, t2i, 10, True) == [(0, 1), (2, 3), (4, 5)]
-    # a tie with the first pair left out shrinks the batch
-    assert safe_batch([(0, 1, 9), (2, 3, 8), (4, 5, 8)], vocab, t2i, 10, False) == [(0, 1)]
-    # pairs with the same start (or the same end) never overlap in a word
-    assert safe_batch([(0, 1, 9), (0, 2, 8), (3, 2, 7)], vocab, t2i, 10, True) == [(0, 1), (0, 2), (3, 2)]
-    # a start that is another's end stops the batch; a self pair goes alone
-    assert safe_batch([(0, 1, 9), (2, 0, 5)], vocab, t2i, 10, True) == [(0, 1)]
-    assert safe_batch([(0, 1, 9), (1, 2, 5)], vocab, t2i, 10, True) == [(0, 1)]
-    assert safe_batch([(0, 0, 9), (2, 3, 5)], vocab, t2i, 10, True) == [(0, 0)]
+def test_settle_stops_at_the_last_candidate():
+    def run(last, size=20, vocab=("a", "b", "c", "d")):
+        vocab = list(vocab)
+        return settle([([0, 1, 0, 1], 5), ([2, 3], 7)], last, vocab, {t: i for i, t in enumerate(vocab)}, size)
+
+    # (a, b) 10 times, then (c, d) 7, then (ab, ab) 5, which only the fragments know
+    assert run((-5, 9, 9)) == [(0, 1, 4), (2, 3, 5), (4, 4, 6)]
+    assert run((-7, 2, 3)) == [(0, 1, 4), (2, 3, 5)]
+    assert run((-7, 2, 2)) == [(0, 1, 4)]          # (c, d) lies behind the last candidate
+    assert run((-5, 9, 9), 5) == [(0, 1, 4)]       # the vocabulary is full
+    # a string that is a token already keeps its id and ends the round
+    assert run((-1, 0, 0), 9, ("a", "b", "c", "d", "ab")) == [(0, 1, 4)]
+
+
+def _one_by_one(words, vocab_size, specials):
+    """Merge after merge, every pair counted anew."""
+    from millstone.functions.bytelevel import GLYPHS
+
+    vocab = specials + sorted({GLYPHS[b] for w in words for b in w.encode()})
+    segs = {w: [vocab.index(GLYPHS[b]) for b in w.encode()] for w in words}
+    merges = []
+    while len(vocab) < vocab_size:
+        c = Counter()
+        for w, s in segs.items():
+            for p in zip(s, s[1:]):
+                c[p] += words[w]
+        if not c:
+            break
+        a, b = min(c, key=lambda p: (-c[p], p))
+        t = vocab[a] + vocab[b]
+        if t not in vocab:
+            vocab.append(t)
+        merges.append((a, b, vocab.index(t)))
+        segs = {w: merge_word(s, {(a, b): (0, vocab.index(t))}) for w, s in segs.items()}
+    return vocab, merges
+
+
+@pytest.mark.parametrize("bounds", [{}, {"candidates": 5}, {"fragment_symbols": 12}])
+def test_rounds_equal_one_merge_after_another(spark, bounds):
+    """Few letters, many ties, runs of one letter, merges that meet an existing string."""
+    rnd = random.Random(len(bounds) + 4)
+    words = {"".join(rnd.choice("aab") for _ in range(rnd.randrange(1, 14))): rnd.randrange(1, 5) for _ in range(60)}
+    words |= {"a" * 40: 3, "ab" * 25: 2, "é漢": 1, "cab": 9, "bca": 9, "abc": 9}
+    df = spark.createDataFrame(list(words.items()), "word string, freq long")
+    m = train_bpe(df, 90, specials=["[UNK]", "ab"], **bounds)
+    vocab, merges = _one_by_one(words, 90, ["[UNK]", "ab"])
+    assert m.vocab == vocab and m.merges == merges
+
+
+def test_training_resumes(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(10)
+    words = word_counts(docs).cache()
+    whole = train_bpe(words, 1200, candidates=300)
+    state = str(tmp_path / "state")
+    part = train_bpe(words, 1200, candidates=300, state=state, max_rounds=2)
+    assert len(part.vocab) < 1200 and part.merges == whole.merges[:len(part.merges)]
+    rest = train_bpe(words, 1200, candidates=300, state=state)
+    assert rest.vocab == whole.vocab and rest.merges == whole.merges and rest.rounds == whole.rounds - 2
+    assert train_bpe(words.limit(0), 50, specials=["x"]).vocab == ["x"]
+
+
+def test_long_words_merge_like_short_ones():
+    rnd = random.Random(2)
+    ranks = {}
+    for r in range(60):
+        ranks.setdefault((rnd.randrange(4 + r), rnd.randrange(4 + r)), (r, 4 + r))
+    for n in (0, 1, 2, 5, 30):
+        for _ in range(50):
+            w = [rnd.randrange(4) for _ in range(n)]
+            assert _merge_long(w, ranks) == merge_word(w, ranks)
 
 
 def test_tokenizer_store_roundtrip(spark, tmp_path):
@@ -89,3 +150,26 @@ def test_tokenizer_store_roundtrip(spark, tmp_path):
     save_tokenizer(spark, m, str(tmp_path / "tok"))
     m2 = load_tokenizer(spark, str(tmp_path / "tok"))
     assert m2.vocab == m.vocab and m2.merges == m.merges and m2.specials == m.specials
+
+
+def test_tokenizer_file_of_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer as HT
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(10)
+    m = train_bpe(word_counts(docs), 900)
+    path = str(tmp_path / "new" / "tokenizer.json")
+    assert load_tokenizer_file(spark, path) is None
+    save_tokenizer_file(spark, m, path)
+    hf, back = HT.from_file(path), load_tokenizer_file(spark, path)
+    assert (back.vocab, back.merges, back.specials, back.unk) == (m.vocab, m.merges, m.specials, m.unk)
+    tok = Tokenizer(m)
+    for r in docs.select("text", tok.encode("text").alias("ids")).collect():
+        assert list(r.ids) == hf.encode(r.text).ids
+        assert hf.decode(list(r.ids)) == r.text
+    # files that the library writes are read
+    hf.save(path)
+    assert load_tokenizer_file(spark, path).merges == m.merges
+    glyphs = spark.createDataFrame([([20, 30],)], "i array<int>").select(tok.decode("i", raw=True)).first()[0]
+    assert HT.from_str(tokenizer_json(m, decoder=False)).decode([20, 30]) == glyphs
+    with pytest.raises(ValueError):
+        model_of_json('{"model": {"type": "WordPiece"}}')

@@ -195,3 +195,49 @@ def test_composite_order_key_with_hot_leading_value(spark):
     assert all(r.pos == want[(r.a, r.b)] for r in out)
     hot_buckets = {r[BUCKET] for r in out if r.a == 0}
     assert len(hot_buckets) >= 2
+
+
+@pytest.mark.parametrize("n,buffer", [(500, 16), (40, 64), (64, 64), (300, 1), (0, 8), (1, 8)])
+def test_buffer_shuffle_equals_a_loop(spark, n, buffer):
+    """A list of places, one draw a row, the rest by hash."""
+    import hashlib
+
+    from millstone.operators.shuffle import buffer_shuffle
+
+    md5 = lambda k: hashlib.md5(f"42:shuffle:{k}".encode()).hexdigest()
+    places, want = [], []
+    for slot in range(n):
+        if slot < buffer:
+            places.append(slot)
+        else:
+            i = int(md5(slot)[:8], 16) % buffer
+            want.append(places[i])
+            places[i] = slot
+    want += [places[i] for i in sorted(range(len(places)), key=lambda i: (md5(f"tail:{i}"), i))]
+    df = spark.range(n).select(F.col("id").alias("slot"), F.lit("x").alias("place")).repartition(5)
+    got = {r.position: r.slot for r in buffer_shuffle(df, "slot", buffer, 42).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_ten_thousand_buckets(spark):
+    """Bucket borders are one literal: plans stay small, and equal a search on the driver."""
+    import bisect
+    import time
+
+    from millstone.operators.order import boundary_array, bucket_of, range_bucket, running_sum
+    from pyspark.sql import types as T
+
+    splits = [k * 3 + 0.5 for k in range(10_000)]
+    df = spark.range(0, 40_000, 7).select("id", F.when(F.col("id") % 5 > 0, F.col("id")).alias("k"))
+    t = time.time()
+    out = df.withColumn("b", bucket_of(F.col("k").cast("double"), boundary_array(splits, T.DoubleType(), True), len(splits)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert time.time() - t < 1 and len(plan) < 100_000
+    for r in out.collect():
+        assert r.b == (bisect.bisect_right(splits, r.k) if r.k is not None else 0)
+    rows = [(i % 3, None if i % 11 == 0 else f"s{i % 17}", i) for i in range(2000)]
+    d = spark.createDataFrame(rows, "a int, s string, i long")
+    got = {r.i: r.n for r in running_sum(d, ["a", "s", "i"], "n", n_buckets=500).collect()}
+    key = lambda r: (r[0], r[1] is not None, r[1] or "", r[2])
+    assert got == {r[2]: n for n, r in enumerate(sorted(rows, key=key))}
+    assert d.select(range_bucket(d, ["a", "s", "i"], 500).alias("b")).distinct().count() > 300

@@ -91,7 +91,7 @@ def test_full_source_threshold_is_the_one_t2_applies(spark):
     from millstone.plans.catalog import queries
 
     sf = "/root/testdata/sf0.01"
-    got = queries()["e1_source_threshold_full"](spark, sf).collect()
+    got = queries()["e1_source_threshold"](spark, sf).collect()
     want = queries()["e2_mapped_thresholds"](spark, sf).where("source = 'culturax'").collect()
     assert [(r.source, r.n_sample, r.threshold) for r in got] == [(r.source, r.n_sample, r.threshold) for r in want]
     assert got[0].n_sample > 100

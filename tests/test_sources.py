@@ -77,10 +77,10 @@ def test_mixture_moves_text_once_and_keeps_repeated_rows(spark):
 
 
 def test_every_document_has_a_source(spark):
-    """The sources of t2_all_sources_mixture over documents hold each document once."""
+    """The sources of t2_sources_mixture over documents hold each document once."""
     from millstone.plans.q_mix import test_sources as sources_of
 
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    read = [docs.where(s.spec.where).select("doc_id") for s in sources_of("/root/testdata/sf0.001", 10) if s.spec.path.endswith("documents.parquet")]
+    read = [docs.where(s.spec.where).select("doc_id") for s in sources_of("/root/testdata/sf0.001") if s.spec.path.endswith("documents.parquet")]
     got = sorted(r.doc_id for d in read for r in d.collect())
     assert got == sorted(r.doc_id for r in docs.select("doc_id").collect())
