@@ -1,7 +1,7 @@
 """Operator 3: removal of repeated 400-byte strings by prefix-free parsing.
 
 Texts are parsed with a rolling hash over ``W`` bytes: where it hits a trigger, a phrase ends
-(one in ``PERIOD`` positions). Triggers depend on the bytes alone, so equal strings are parsed
+(one position in 2^``period_bits``, so that a string of the wanted length holds six or more on average). Triggers depend on the bytes alone, so equal strings are parsed
 alike. All 400-byte strings that start between two changes of the surrounding phrase ends form a
 *run*; a run has
 
@@ -43,7 +43,7 @@ from millstone.llm.common import (arrow_rows, chunk_label, flat, key_bucket, mat
                                   pack_sorted, pick, prepare_session, unpack_ints, unpack_sorted)
 
 LENGTH = 400
-W, PERIOD_BITS = 16, 6
+W = 16
 CHUNK_BYTES = 8 << 20
 SLAB = 2 << 20
 KEYS_PER_RANGE = 4_000_000
@@ -75,7 +75,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"]
 
 
-def phrase_ends(b: np.ndarray) -> np.ndarray:
+def period_bits(length: int) -> int:
+    """Triggers are one in 2^bits positions: 64 for strings of 400 bytes, 32 for 250."""
+    return max(1, (length // 6).bit_length() - 1)
+
+
+def phrase_ends(b: np.ndarray, bits: int) -> np.ndarray:
     """Positions of the last byte of every trigger."""
     if len(b) < W:
         return np.zeros(0, np.int64)
@@ -84,7 +89,7 @@ def phrase_ends(b: np.ndarray) -> np.ndarray:
         h = h[:-step] * np.uint32(base) + h[step:]
         step, base = step * 2, base * base % (1 << 32)
     h *= np.uint32(0x85EBCA6B)
-    return np.flatnonzero(h >> np.uint32(32 - PERIOD_BITS) == 0) + W - 1
+    return np.flatnonzero(h >> np.uint32(32 - bits) == 0) + W - 1
 
 
 class Slab:
@@ -96,7 +101,7 @@ class Slab:
         power, self.inverse = _powers(len(b))
         self.sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum(_T64[b] * power[:len(b)], out=self.sums[1:])
-        e, last = phrase_ends(b), hi - lo
+        e, last = phrase_ends(b, period_bits(length)), hi - lo
         cuts = np.concatenate([[0], e - W + 2, e - length + 1])
         self.start = s = np.unique(cuts[(cuts >= 0) & (cuts < last)])
         self.end = np.append(s[1:], last)
@@ -271,7 +276,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     d = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chunks = materialize(d.mapInArrow(_chunks, CHUNK), "pfp-chunks")
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    n = n_buckets(spark, total >> (PERIOD_BITS - 1), KEYS_PER_RANGE)  # about two runs a phrase
+    n = n_buckets(spark, total >> (period_bits(length) - 1), KEYS_PER_RANGE)  # about two runs a phrase
     first = chunks.mapInArrow(_first_round(n, length), BLOCK)
     first = materialize(first.groupBy("range").applyInArrow(_meet, BACK), "pfp-first")
     by = chunks.groupBy("chunk")

@@ -125,37 +125,64 @@ def test_toxicity_held_out_accuracy(spark):
 
 
 def test_toxicity_counts_every_word_of_the_sample(spark):
-    """The models against the formulas in plain Python, with words and pairs seen once."""
+    """The models against the formulas in plain Python, with words and pairs seen once; scores follow the evidence."""
     rnd = random.Random(6)
     rows = [(i, _words(rnd, 30, 150) + f" once{i}" + (" vile1" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(120)]
     d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
-    model, _ = toxicity.fit(d, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    counts, kept, _ = toxicity.counted(d, lab)
+    model = counts.model()
     sample = [(toxicity.tokens(t), y) for i, t, y in rows if not toxicity.held_out_of(i)]
-    pair, context, shared = [Counter(), Counter()], [Counter(), Counter()], Counter()
+    assert kept.count() == len(sample)
+    pair = [Counter(), Counter()]
     for t, y in sample:
         pair[y].update(zip(["\x02", *t], t))
-        context[y].update(["\x02", *t])
-    shared.update(w for _, w in {*pair[0], *pair[1]})
+    both = pair[0] + pair[1]
+    shared = Counter(w for _, w in both)
     cont = [Counter(w for _, w in p) for p in pair]
     assert len(model.words) == len(shared) + 1 and toxicity.word_keys([t for t in shared if t.startswith("once")])[0] in model.words
-    total = sum(shared.values()) + 0.5 * (len(shared) + 2)  # the start and the unknown word
 
-    def evidence(t, disc):
+    def cut(counts):
+        n = [0, *(sum(c == i for c in counts.values()) for i in (1, 2, 3, 4))]
+        y, disc = n[1] / max(n[1] + 2 * n[2], 1), [0]
+        for i in (1, 2, 3):
+            disc.append(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0), i) if n[i] else disc[-1])
+        return lambda c: max(c - disc[min(c, 3)], 0)
+
+    total, size = sum(shared.values()) + 0.5 * (len(shared) + 2), [sum(c.values()) for c in cont]  # the start and the unknown word
+    cuts, both_cut = [cut(c) for c in cont], cut(both)
+    own = [{w: max(cuts[y](cont[y][w]) - toxicity.EXCESS * size[y] * (cont[1 - y][w] + 0.5) / size[1 - y], 0) / size[y] for w in shared} for y in (0, 1)]
+    after = Counter()
+    for (v, _), c in both.items():
+        after[v] += c
+
+    def evidence(t):
         out = []
         for y in (0, 1):
-            cut = lambda c: max(c - disc, 0)
-            n = sum(cont[y].values())
-            low = lambda w: cut(cont[y][w]) / n + (1 - sum(map(cut, cont[y].values())) / n) * (shared[w] + 0.5) / total
-            held = Counter()
-            for (v, _), c in pair[y].items():
-                held[v] += cut(c) / context[y][v]
-            out.append(sum(math.log(cut(pair[y][v, w]) / max(context[y][v], 1) + (1 - min(held[v], 1 - 1e-6)) * low(w))
-                           for v, w in zip(["\x02", *t], t)) / len(t))
+            low = lambda w: own[y].get(w, 0) + (1 - sum(own[y].values())) * (shared[w] + 0.5) / total
+            p = []
+            for v, w in zip(["\x02", *t], t):
+                if (v, w) in both:
+                    rest = 1 - min(sum(both_cut(c) / after[v] for (a, _), c in both.items() if a == v), 1 - 1e-6)
+                    p.append(both_cut(both[v, w]) / after[v] + rest * low(w))
+                else:
+                    p.append(low(w))  # the weight after v is the same in both classes
+            out.append(sum(map(math.log, p)) / len(t))
         return out[1] - out[0]
 
     probes = [sample[0][0], sample[1][0][::-1], ["vile1", "nowhere"], sample[2][0][-2:]]
-    got = [model.features(" ".join(t))[0] for t in probes]
-    assert any(got == pytest.approx([evidence(t, disc) for t in probes]) for disc in toxicity.DISCOUNTS)
+    assert [model.evidence(" ".join(t)) for t in probes] == pytest.approx([evidence(t) for t in probes], abs=1e-6)
+    assert model.evidence("") == 0
+    # the order of scores is that of the evidence
+    name, curve = toxicity.fit(d, lab)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(d, lab).collect()}
+    e = {i: toxicity._mapped(name).evidence(t) for i, t, _ in rows}
+    assert [i for i in sorted(e, key=e.get)] == [i for i in sorted(got, key=lambda i: (got[i], e[i]))]
+    assert curve.slope > 0 and got == {i: pytest.approx(float(curve.score(np.array(x)))) for i, x in e.items()}
+    # bounds of the sample: rows of a class, and bytes
+    assert {tuple(r) for r in toxicity.counted(d, lab, per_class=7)[1].groupBy("toxic").count().collect()} == {(0, 7), (1, 7)}
+    small = toxicity.counted(d, lab, class_bytes=2000)[1].groupBy("toxic").agg(F.sum(F.length("text"))).collect()
+    assert len(small) == 2 and all(0 < n <= 2000 for _, n in small)
 
 
 def test_decontamination(spark):
