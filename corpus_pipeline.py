@@ -24,45 +24,59 @@ from millstone.session import scratch_path
 ORACLE_SQL = None
 
 
-KEY = "__key"
+#: A passage of more than 50 words counts as one when it repeats: bytes of 50 words of five bytes with their blanks.
+PASSAGE_BYTES = 250
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _free(docs: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(n for n in (f"{w}{'_' * k}" for k in range(len(taken) + 1)) if n.lower() not in taken) for w in wanted]
+
+
+def _own(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
     """Rows with a key of id and text: repeated rows share it, other rows with the same id do not."""
-    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+    return docs.withColumn(key, F.xxhash64("doc_id", "text"))
 
 
 def without_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: documents predicted toxic go. Filtered where they are read, with no shuffle."""
     prepare_session(spark)
     fitted = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return docs.where(toxicity.score_column(spark, fitted, "text") < 0.5)
+    return docs.where(toxicity.score_column(fitted, "text") < 0.5)
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: of each class of near-duplicates the document with the smallest id stays (one without an
     id only when the class has no other)."""
-    keyed = _keyed(docs)
-    classes = jaccard.similar_classes(keyed, doc_id=KEY).select(F.col("doc_id").alias("k"), "class_id").distinct()
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
-    kept = (keyed.select("doc_id", KEY).join(classes, F.col(KEY) == F.col("k"))
-            .groupBy("class_id").agg(F.min(first).alias("first")).select(F.col("first.k").alias("k")))
-    return keyed.join(kept, F.col(KEY) == F.col("k"), "left_semi").dropDuplicates([KEY]).select(docs.columns)
+    key, k = _free(docs, "key", "k")
+    keyed = _keyed(docs, key)
+    classes = jaccard.similar_classes(keyed, doc_id=key).select(F.col("doc_id").alias(k), "class_id").distinct()
+    rows = keyed.select(F.col("doc_id").alias("id"), F.col(key).alias("row"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    kept = (rows.join(classes, F.col("row") == F.col(k))
+            .groupBy("class_id").agg(F.min(first).alias("first")).select(F.col("first.row").alias(k)))
+    return keyed.join(kept, F.col(key) == F.col(k), "left_semi").dropDuplicates([key]).select(_own(docs))
 
 
 def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: repeated 400-byte strings are cut out of the texts."""
-    keyed = _keyed(docs)
-    spans = (suffix.repeated_spans(keyed, doc_id=KEY).where("n_removed > 0")
-             .select(F.col("doc_id").alias("k"), F.col("spans").alias("__spans")).dropDuplicates(["k"]))
+    """Operator 3: strings of ``PASSAGE_BYTES`` that occur more than once are cut out of the texts."""
+    key, k, cuts = _free(docs, "key", "k", "cuts")
+    keyed = _keyed(docs, key)
+    spans = (suffix.repeated_spans(keyed, doc_id=key, length=PASSAGE_BYTES).where("n_removed > 0")
+             .select(F.col("doc_id").alias(k), F.col("spans").alias(cuts)).dropDuplicates([k]))
     cut = F.udf(suffix.cut_spans, "string", useArrow=True)
-    joined = keyed.join(spans, F.col(KEY) == F.col("k"), "left")
-    changed = F.col("__spans").isNotNull()
-    joined = joined.withColumn("text", F.when(changed, cut("text", "__spans")).otherwise(F.col("text")))
+    joined = keyed.join(spans, F.col(key) == F.col(k), "left")
+    changed = F.col(cuts).isNotNull()
+    joined = joined.withColumn("text", F.when(changed, cut("text", cuts)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         n = F.length("text").cast(docs.schema["n_chars"].dataType)
         joined = joined.withColumn("n_chars", F.when(changed, n).otherwise(F.col("n_chars")))
-    return joined.select(docs.columns)
+    return joined.select(_own(docs))
 
 
 def without_benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
