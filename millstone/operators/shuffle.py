@@ -9,7 +9,9 @@ of a dense slot number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millstone import settings as S
@@ -69,6 +71,30 @@ def buffer_shuffle(df: DataFrame, slot_col: str = "slot", buffer: int = S.SHUFFL
             .drop("_place", "_next", "_p", "_tail"))
 
 
+def permuted(x: Column, n: int, seed: int = S.SEED, rounds: int = 4) -> Column:
+    """H1 without a sort: place of ordinal ``x`` (0..n-1) in a keyed permutation of 0..n-1.
+
+    A Feistel network on pairs (x % a, x div a) with a * b just over n: every round adds a hash of one half
+    to the other one, which can be undone, so it permutes 0..a*b-1; places of n and above are sent
+    through again (cycle walking), fewer than a of them in all. Any row finds its place alone."""
+    a = math.isqrt(max(n, 1) - 1) + 1
+    b = -(-max(n, 1) // a)
+    draw = lambda i, v: hash_prefix(F.concat(i.cast("string"), F.lit(":"), v.cast("string")), seed)
+
+    def half_turn(acc: Column, i: Column) -> Column:
+        left, right = acc["l"], acc["r"]
+        return F.struct(F.when(i % 2 == 0, (left + draw(i, right)) % a).otherwise(left).alias("l"),
+                        F.when(i % 2 == 1, (right + draw(i, left)) % b).otherwise(right).alias("r"))
+
+    def once(v: Column) -> Column:
+        start = F.struct((v % a).cast("bigint").alias("l"), ((v - v % a) / a).cast("bigint").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, half_turn, lambda acc: acc["r"] * a + acc["l"])
+
+    # a walk visits each place over n once; beyond 64 steps its chance is under 64^-64
+    walk = F.sequence(F.lit(1), F.lit(max(1, min(a * b - n, 64))))
+    return F.aggregate(walk, once(x.cast("bigint")), lambda acc, _: F.when(acc < n, acc).otherwise(once(acc)))
+
+
 def first_rows(df: DataFrame, n: int, position_col: str = "position") -> DataFrame:
     """H4: the first ``n`` rows of a dense positional order: a plain filter."""
     return df.where(F.col(position_col) < n)

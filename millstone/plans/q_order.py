@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from millstone import settings as S
@@ -10,6 +12,8 @@ from millstone.operators.grouping import group_until_delimiter
 from millstone.operators.packing import codepoint_tokens, pack
 from millstone.operators.quality import min_length
 from millstone.plans.registry import register
+from millstone.session import scratch_path
+from millstone.sources.sequence_store import read_store, write_store
 from millstone.sources.tables import SourceSpec, read_source, read_table
 
 # ------------------------------------------------------------------ G1
@@ -95,6 +99,16 @@ def _ids_str(c):
 register("g2_pack", f"WITH {_PACK_SQL} SELECT seq_id, array_to_string(ids, ' ') AS ids FROM packed")(
     lambda spark, sf: packed_codepoints(spark, sf).select("seq_id", _ids_str("ids").alias("ids")))
 
+
+
+def _a6(spark, sf):
+    """The packed sequences written to a store and read back."""
+    path = scratch_path(spark, f"millstone/sequences-{uuid.uuid4().hex[:12]}")
+    return read_store(spark, write_store(packed_codepoints(spark, sf), path)).select("seq_id", _ids_str("ids").alias("ids"))
+
+
+register("a6_write_sequences", f"WITH {_PACK_SQL} SELECT seq_id, array_to_string(ids, ' ') AS ids FROM packed")(_a6)
+
 register("m1_shift", f"""WITH {_PACK_SQL}
 SELECT seq_id, array_to_string(ids[1:{PACK_L - 1}], ' ') AS inputs, array_to_string(ids[2:{PACK_L}], ' ') AS targets FROM packed""")(
     lambda spark, sf: shift(packed_codepoints(spark, sf)).select("seq_id", _ids_str("inputs").alias("inputs"),

@@ -11,10 +11,11 @@ from millstone import settings as S
 from millstone.operators.packing import codepoint_tokens
 from millstone.operators.quality import collect_thresholds, min_length, source_thresholds
 from millstone.plans import q_order
-from millstone.plans.prepare import prepare
+from millstone.plans.prepare import clean_and_score, prepare
 from millstone.plans.registry import ORACLES, register
 from millstone.session import scratch_path
 from millstone.sources.tables import read_table
+from millstone.streaming.thresholds import sample_stream, stream_thresholds
 from millstone.streaming.stream import file_stream, group_stream, pack_stream, run_to_table, stream_filter
 
 END = "\u0000<end-of-input>"
@@ -75,3 +76,15 @@ t AS (SELECT shard, start, unnest(tok) AS id, unnest(generate_series(1, len(tok)
 p AS (SELECT shard, CAST((start + i - 1) // {_L} AS BIGINT) AS seq_id, start + i - 1 AS pos, id FROM t),
 packed AS (SELECT shard, seq_id, list(id ORDER BY pos) AS ids FROM p GROUP BY shard, seq_id HAVING count(*) = {_L})
 SELECT shard, seq_id, array_to_string(ids, ' ') AS ids FROM packed""")(_j3)
+
+
+def _e2_stream(spark, sf):
+    """Documents that arrive as files, cleaned and scored on the way; thresholds after the last batch."""
+    d = scratch_path(spark, f"millstone/e2-in-{uuid.uuid4().hex[:8]}")
+    read_table(spark, sf, "documents").select("doc_id", "source", "text").repartition(6, "doc_id").write.parquet(d)
+    stream = file_stream(spark, d, spark.read.parquet(d).schema, max_files_per_trigger=2)
+    state = scratch_path(spark, f"millstone/e2-{uuid.uuid4().hex[:8]}")
+    return stream_thresholds(spark, state, sample_stream(clean_and_score(stream, False, "latin"), state))
+
+
+register("e2_stream_thresholds", ORACLES["e2_all_thresholds"])(_e2_stream)

@@ -13,11 +13,13 @@ from millstone.operators.quality import (
     sample_per_source,
     source_thresholds,
 )
-from millstone.operators.shuffle import shuffle_rank
+from millstone.operators.order import row_ordinal
+from millstone.operators.shuffle import permuted, shuffle_rank
 from millstone.plans import sqlfrag as Q
 from millstone.plans.fixtures import mapped_source, mapped_source_sql
 from millstone.plans.prepare import clean_and_score, prepare
 from millstone.plans.registry import register
+from millstone.sources.blocklist import exclude_listed
 from millstone.sources.tables import SourceSpec, exclude_urls, read_source, read_table, union_sources
 
 SEED = S.SEED
@@ -76,6 +78,27 @@ WHERE NOT coalesce(contains(url, 'cheap-pills') OR contains(url, 'example.org'),
 """)(_c1)
 
 
+def _listed(spark, sf):
+    """A list from the table itself: hosts of five and more pages, and the fragments of URLs (short patterns)."""
+    pages = read_table(spark, sf, "pages").select("url")
+    host = pages.select(F.regexp_extract("url", "://([^/]+)", 1).alias("host")).groupBy("host").count().where("count >= 5 AND host <> ''")
+    part = pages.select(F.regexp_extract("url", "(#.+)$", 1).alias("pattern")).where("pattern <> ''")
+    return host.select(F.concat("host", F.lit("/")).alias("pattern")).union(part).distinct()
+
+
+def _c1_listed(spark, sf):
+    spec = SourceSpec("pages", f"{sf}/pages.parquet", columns={"doc_id": "page_id", "text": "html", "url": "url"})
+    return exclude_listed(read_source(spark, spec), _listed(spark, sf))
+
+
+register("c1_url_blocklist", """
+WITH h AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, count(*) AS n FROM pages WHERE url IS NOT NULL GROUP BY 1),
+p AS (SELECT host || '/' AS pattern FROM h WHERE n >= 5 AND host <> ''
+      UNION SELECT regexp_extract(url, '(#.+)$', 1) FROM pages WHERE regexp_extract(url, '(#.+)$', 1) <> '')
+SELECT page_id AS doc_id, 'pages' AS source, html AS text FROM pages
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE contains(url, pattern))""")(_c1_listed)
+
+
 def _clean_docs(spark, sf, prof="latin"):
     return clean_and_score(_docs(spark, sf).select("doc_id", "source", "text"), False, prof)
 
@@ -233,3 +256,26 @@ SELECT source, doc_id, sample_rank FROM (SELECT source, doc_id, row_number() OVE
 register("h1_shuffle_rank", f"""
 SELECT doc_id, row_number() OVER (ORDER BY {Q.hash_key('doc_id', SEED)}, doc_id) - 1 AS shuffle_rank FROM documents
 """)(lambda spark, sf: shuffle_rank(_docs(spark, sf).select("doc_id"), "doc_id", SEED))
+
+
+def _h1_permuted(spark, sf):
+    d = row_ordinal(_docs(spark, sf).select("doc_id"), ["doc_id"])
+    return d.select("doc_id", "ordinal", permuted(F.col("ordinal"), d.count()).alias("position"))
+
+
+def _h(i: int, v: str) -> str:
+    return f"CAST('0x' || substr(md5('{SEED}:{i}:' || CAST({v} AS VARCHAR)), 1, 8) AS BIGINT)"
+
+
+def _sql_turn(src: str) -> str:
+    """One pass of the network over ``y`` of ``src``."""
+    return f"""SELECT doc_id, ordinal, n, a, b, r4 * a + l3 AS y FROM (
+      SELECT *, (r2 + {_h(3, 'l3')}) % b AS r4 FROM (SELECT *, (l1 + {_h(2, 'r2')}) % a AS l3 FROM (
+      SELECT *, (r0 + {_h(1, 'l1')}) % b AS r2 FROM (SELECT *, (y % a + {_h(0, 'y // a')}) % a AS l1, y // a AS r0 FROM {src}))))"""
+
+
+register("h1_feistel_permutation", f"""
+WITH RECURSIVE o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, count(*) OVER () AS n FROM documents),
+e AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b, ordinal AS y FROM o),
+w AS ({_sql_turn('e')} UNION ALL (WITH more AS (SELECT * FROM w WHERE y >= n) {_sql_turn('more')}))
+SELECT doc_id, ordinal, CAST(y AS BIGINT) AS position FROM w WHERE y < n""")(_h1_permuted)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,3 +242,14 @@ def test_ten_thousand_buckets(spark):
     key = lambda r: (r[0], r[1] is not None, r[1] or "", r[2])
     assert got == {r[2]: n for n, r in enumerate(sorted(rows, key=key))}
     assert d.select(range_bucket(d, ["a", "s", "i"], 500).alias("b")).distinct().count() > 300
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 16, 17, 1000, 5003])
+def test_feistel_is_a_permutation(spark, n):
+    from millstone.operators.shuffle import permuted
+
+    x = spark.range(n).select("id", permuted(F.col("id"), n, 1).alias("p"), permuted(F.col("id"), n, 2).alias("q")).collect()
+    assert sorted(r.p for r in x) == sorted(r.q for r in x) == list(range(n))
+    if n > 100:
+        assert sum(r.p == r.q for r in x) < n / 20 and sum(r.p == r.id for r in x) < n / 20
+        assert abs(np.corrcoef([r.id for r in x], [r.p for r in x])[0, 1]) < 0.1

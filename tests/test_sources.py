@@ -84,3 +84,33 @@ def test_every_document_has_a_source(spark):
     read = [docs.where(s.spec.where).select("doc_id") for s in sources_of("/root/testdata/sf0.001") if s.spec.path.endswith("documents.parquet")]
     got = sorted(r.doc_id for d in read for r in d.collect())
     assert got == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def test_long_blocklist_equals_contains(spark):
+    """100,000 patterns against a string matcher; short, empty and null patterns, null URLs, clashing names."""
+    import random
+
+    import ahocorasick
+
+    from millstone.sources.blocklist import exclude_listed
+    from millstone.sources.tables import exclude_urls
+
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abcdehtw.-/") for _ in range(n))
+    urls = [f"https://{word(12)}/{word(rnd.randrange(1, 30))}" for _ in range(800)] + ["https://é漢/x", "", None, "a"]
+    patterns = [word(rnd.randrange(6, 14)) for _ in range(99_000)] + [u[9:20] for u in urls[:80]] + ["é漢", "wc-", "d.d.", None] + ["https:/x"] * 3
+    find = ahocorasick.Automaton()
+    for p in patterns:
+        if p:
+            find.add_word(p, p)
+    find.make_automaton()
+    want = {i for i, u in enumerate(urls) if u is None or not any(find.iter(u))}
+    df = spark.createDataFrame([(i, u, "k") for i, u in enumerate(urls)], "doc_id long, url string, pattern string")
+    table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    got = exclude_listed(df, table)
+    assert got.columns == ["doc_id", "pattern"] and {r.doc_id for r in got.collect()} == want and 80 <= len(urls) - len(want) < 700
+    few = ["c-", "https://a", "é漢", "."]
+    chain = {r.doc_id for r in exclude_urls(df, few).collect()}
+    assert {r.doc_id for r in exclude_listed(df, spark.createDataFrame([(p,) for p in few], "pattern string")).collect()} == chain
+    assert {r.doc_id for r in exclude_listed(df, spark.createDataFrame([("",)], "pattern string")).collect()} == {urls.index(None)}
+    assert exclude_listed(df, table.limit(0)).count() == len(urls)

@@ -55,3 +55,28 @@ def test_stream_filter_equals_batch(spark, tmp_path):
     assert sorted((r.doc_id, r.text, r.score) for r in out.collect()) == \
         sorted((r.doc_id, r.text, r.score) for r in want.collect())
     assert os.path.isdir(d)
+
+
+def test_thresholds_of_a_stream_equal_the_batch(spark, tmp_path):
+    """Samples merged over micro-batches, run again as files arrive, and a batch repeated."""
+    import random
+
+    from millstone.operators.quality import source_thresholds
+    from millstone.streaming.thresholds import merge_into, sample_stream, stream_thresholds
+
+    rnd = random.Random(3)
+    rows = [(f"s{rnd.choice([0, 0, 0, 1, 2])}", i, rnd.random() if i % 13 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, score double")
+    src, state = str(tmp_path / "in"), str(tmp_path / "state")
+    want = lambda d: sorted(map(tuple, source_thresholds(d, {"s1": 0.5}, 0.3, 40).collect()))
+    last = None
+    for lo, hi in ((0, 400), (400, 900)):
+        df.where(f"doc_id >= {lo} AND doc_id < {hi}").repartition(3).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        last = sample_stream(stream, state, 40)
+        got = sorted(map(tuple, stream_thresholds(spark, state, last, {"s1": 0.5}, 0.3, 40).collect()))
+        assert got == want(df.where(f"doc_id < {hi}"))
+    assert last == 5
+    again = spark.read.parquet(f"{state}/batch-{last:09d}").collect()
+    merge_into(state, 40)(df.where("doc_id < 0"), last + 1)
+    assert sorted(spark.read.parquet(f"{state}/batch-{last + 1:09d}").collect()) == sorted(again) and len(again) == 120
