@@ -247,7 +247,7 @@ class Curve:
         return 1 / (1 + np.exp(-np.clip(self.start + self.slope * np.arcsinh(evidence / self.unit), -30, 30)))
 
 
-def _evidence(names: list[str]):
+def _evidence(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Evidence of the sample, each fold by the model of the other one."""
         for b in batches:
@@ -256,7 +256,7 @@ def _evidence(names: list[str]):
             for f in (0, 1):
                 mine = [i for i, g in enumerate(fold) if g == f]
                 if mine:
-                    x[mine] = [_mapped(names[1 - f]).evidence(text[i] or "") for i in mine]
+                    x[mine] = [shared.value[1 - f].evidence(text[i] or "") for i in mine]
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y, pa.int32())], names=["x", "y"])
     return run
 
@@ -325,8 +325,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if got is None:
         return None
     counts, rows, many = got
-    names = [counts.model((f,)).publish(spark) for f in (0, 1)]
-    x = rows.mapInArrow(_evidence(names), "x double, y int").toPandas()
+    halves = spark.sparkContext.broadcast([counts.model((f,)) for f in (0, 1)])  # bounded as the sample is, and gone afterwards
+    x = rows.mapInArrow(_evidence(halves), "x double, y int").toPandas()
+    halves.destroy()
     y = x["y"].to_numpy(np.float64)
     # the sample is balanced by its bound, the labels are not
     odds = lambda a, b: np.log(max(a, 1) / max(b, 1))
