@@ -5,16 +5,15 @@ participant's view their own turns are the assistant's, every other speaker
 is a named user, and system turns stay system turns. The loss mask is the
 list of character ranges that hold the assistant's words.
 
-Shape of the job: turns are cut into *parts* of ``part_turns`` consecutive
-turn numbers and collected per (conversation, part), so a conversation of any
-length never lands in one task. The participants of a conversation are
-gathered on the tiny (conversation, part, speaker) table and joined back on
-(conversation, part); the texts are shuffled once. Concatenating the parts of
+Shape of the job: the turns of a conversation are numbered by (turn, speaker, text) with a bucketed prefix sum, whatever their turn
+numbers are, and cut into *parts* of ``part_turns`` turns, so a conversation of any length, or many rows with one turn
+number or without conversation, never land in one task. Equal rows are numbered as one with a count. A part is joined with the speakers of its
+conversation, one row each. Concatenating the parts of
 a view in ``part`` order gives the whole dialogue; mask offsets are relative
 to the part's text.
 
 Defined results: a null speaker is called ``unknown``; a null text is empty; a null
-turn sorts first, in a part of its own; rows with null conversation ids form
+turn sorts first; rows with null conversation ids form
 one conversation; turns with equal numbers are ordered by speaker and text,
 repeated rows are rendered as often as they occur; a conversation with system
 turns only gives no view; control strings inside a text or a name are broken
@@ -26,13 +25,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millstone.llm.common import pick
+from millstone.llm.common import materialize, pick
+from millstone.operators.order import range_bucket, running_sum
 
 # chat markup (parameters of rotate)
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 SYSTEM_ROLES = ("system",)
 PART_TURNS = 128
-NULL_TURN_PART = -(1 << 60)
+HEAD = 64  # characters of a text that take part in the bucket borders of the numbering
 
 
 def _plain(c: Column) -> Column:
@@ -47,16 +47,16 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
         "conv_id", F.col("turn").cast("bigint").alias("turn"),
         F.regexp_replace(_plain(F.coalesce("speaker", F.lit("unknown"))), r"[\r\n]+", " ").alias("speaker"),
         _plain(F.coalesce("text", F.lit(""))).alias("text"))
-    t = t.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(NULL_TURN_PART)))
-    parts = t.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
-
-    seen = t.groupBy("conv_id", "part").agg(F.collect_set("speaker").alias("speakers"))
-    everyone = seen.groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_set("speakers"))).alias("everyone"))
-    who = (seen.select(F.col("conv_id").alias("c"), F.col("part").alias("p"))
-           .join(everyone, F.col("c").eqNullSafe(F.col("conv_id")))
-           .select("c", "p", F.array_except("everyone", F.array(*[F.lit(r) for r in system_roles])).alias("views")))
-    views = (parts.join(who, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")))
-             .select("conv_id", "part", "turns", F.explode("views").alias("perspective")))
+    rows = materialize(t.groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("n")), "chat-turns")
+    rows = rows.withColumn("start", F.substring("text", 1, HEAD))
+    at = running_sum(rows, ["turn", "speaker", "start", "text"], "at", ["conv_id"], weight=F.col("n"),
+                     bucket=range_bucket(rows, ["turn", "speaker", "start"]))
+    at = at.select("conv_id", "turn", "speaker", "text", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at"))
+    parts = (at.groupBy("conv_id", F.floor(F.col("at") / part_turns).alias("part"))
+             .agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns")))
+
+    who = rows.select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct().where(~F.col("perspective").isin(*system_roles))
+    views = parts.join(who, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
 
     def head(m: Column) -> Column:
         role = (F.when(m["speaker"].isin(*system_roles), m["speaker"])

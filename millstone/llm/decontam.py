@@ -16,8 +16,10 @@ share of five-word shingles or, where that is too little, one less the word edit
 edited word costs itself and not the shingles over it. An item longer than a segment is cut into equal ones, and one of
 them is enough.
 
-Documents are read once, with no shuffle. The index is shipped in shards of at most ``SHARD``
-segments (a bound of some tens of MB); a larger benchmark takes a pass per shard.
+Statistics are those of the whole benchmark: segments, their mean length and the document frequency of every term come from Spark
+aggregates over all segments. The index is built in tasks, in shards of about ``SHARD`` segments that all use these statistics, so scores and
+results do not depend on how items fall into shards. A shard reaches the executors as a file; a worker holds one shard
+at a time (at most about 100 MB, if all of its words were different), whatever the size of the benchmark. Documents are read once, with no shuffle.
 
 Defined results: null or empty texts match nothing; items without words are never found; an item with a null id is
 found like any other and reported with a null id; an item of one
@@ -27,16 +29,21 @@ the same id are indexed each; repeated rows and null ids of documents are report
 
 from __future__ import annotations
 
+import os
+import pickle
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millstone.llm.common import flat, pick, prepare_session
+from millstone.llm.common import arrow_rows, chunk_label, flat, materialize, pick, prepare_session
 
 SEGMENT, STRIDE = 96, 32
 K1, B = 1.2, 0.75
@@ -44,7 +51,7 @@ THRESHOLD = 0.6
 BLOCK, BLOCKS = 16, 64   # least segments of a block, most blocks of a shard
 OVERLAP = 0.8
 SHINGLE = 5
-SHARD = 10_000
+SHARD = 4_000
 
 _words = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 _sentence = regex.compile(r"(?<=[.!?。！？])\s+|\n+").split
@@ -106,21 +113,29 @@ def _overlap(want: list[str], at: list[str], enough: float) -> float:
     return share if share >= enough else max(share, 1 - _edits(want, at) / len(want))
 
 
+def segments_of(text: str) -> list[tuple[list[str], list[str]]]:
+    """(question words, answer words) of the equal segments that an item is cut into."""
+    question, answer = question_answer(text)
+    w, q = question + answer, len(question)
+    many = -(-len(w) // SEGMENT)
+    cuts = [j * len(w) // many for j in range(many + 1)] if many else []
+    return [(w[a:min(b, q)], w[max(a, q):b]) for a, b in zip(cuts, cuts[1:])]
+
+
 class Index:
-    """Impact-ordered facts of the segments: postings, block maxima, term maxima."""
-
-    def __init__(self, items: list[tuple[int, str]], block: int = BLOCK):
-        self.items, segs = items, []
-        self.parts = []  # question words and answer words of each segment
-        for k, (_, t) in enumerate(items):
-            question, answer = question_answer(t)
-            w, q = question + answer, len(question)
-            many = -(-len(w) // SEGMENT)
-            for j in range(many):
-                a, b = j * len(w) // many, (j + 1) * len(w) // many
-                segs.append((k, w[a:b]))
-                self.parts.append((w[a:min(b, q)], w[max(a, q):b]))
-        self.item_of = np.array([k for k, _ in segs], np.int64)
+    """Impact-ordered facts of segments: postings, block maxima, term maxima.
+
+    ``segs`` are (item, item id, question words, answer words); ``stats`` are the number of segments, their mean length and the
+    document frequency by term of the whole benchmark."""
+
+    def __init__(self, segs: list[tuple], stats: tuple[int, float, dict[str, int]], block: int = BLOCK):
+        total, mean, frequency = stats
+        self.parts = [(q, a) for _, _, q, a in segs]
+        number: dict = {}
+        self.item_of = np.array([number.setdefault(item, len(number)) for item, _, _, _ in segs], np.int64)
+        ids = dict(zip(self.item_of.tolist(), (i for _, i, _, _ in segs)))
+        self.ids = [ids[k] for k in range(len(number))]
+        segs = [(k, q + a) for k, (q, a) in enumerate(self.parts)]
         self.terms: dict[str, int] = {}
         seg, term, tf = [], [], []
         for s, (_, w) in enumerate(segs):
@@ -133,9 +148,9 @@ class Index:
             tf += count.values()
         seg, term, tf = np.array(seg, np.int64), np.array(term, np.int64), np.array(tf, np.float64)
         size, n = np.array([len(w) for _, w in segs] or [1], np.float64), len(segs)
-        df = np.bincount(term, minlength=len(self.terms) + 1)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[seg] / size.mean())) if n else np.zeros(0)
+        df = np.array([total, *(frequency[x] for x in self.terms)], np.float64)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[seg] / mean)) if n else np.zeros(0)
         impact = impact / np.bincount(seg, impact, max(n, 1))[seg] if n else impact
         o = np.lexsort((seg, term))
         self.seg, self.impact = seg[o], impact[o]
@@ -195,60 +210,97 @@ class Index:
                 q, a = _overlap(question, near, overlap), _overlap(answer, near, overlap)
                 best = max(best, (min(q, a), q, a))
             if best[0] >= overlap:
-                out.append((self.items[k][0], len({start for start, _ in at}), max(at.values()), best[1], best[2]))
+                out.append((self.ids[k], len({start for start, _ in at}), max(at.values()), best[1], best[2]))
         return out
 
 
-def _match(shared, threshold: float, overlap: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        for b in batches:
-            rows = [(doc_id, *m) for doc_id, text in flat([b]) for m in index.matches(text, threshold, overlap)]
-            yield pa.RecordBatch.from_pylist([dict(zip(_SCHEMA.names, r)) for r in rows], schema=_SCHEMA)
+SEGS = "item string, place int, item_id bigint, question array<string>, answer array<string>"
+_SEGS = pa.schema([("item", pa.string()), ("place", pa.int32()), ("item_id", pa.int64()), ("question", pa.list_(pa.string())), ("answer", pa.list_(pa.string()))])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of a task's items; every row of the benchmark is an item of its own."""
+    label, k = chunk_label(), 0
+    for b in batches:
+        rows = []
+        for item_id, text in flat([b]):
+            rows += [(f"{label}-{k}", j, item_id, q, a) for j, (q, a) in enumerate(segments_of(text))]
+            k += 1
+        yield arrow_rows(_SEGS, rows)
+
+
+def _build(total: int, mean: float):
+    def run(segs: pa.Table, terms: pa.Table) -> pa.Table:
+        """One shard's index, pickled."""
+        frequency = dict(zip(terms.column("term").to_pylist(), terms.column("df").to_pylist()))
+        rows = sorted(zip(*(segs.column(c).to_pylist() for c in ("item", "place", "item_id", "question", "answer"))), key=lambda r: r[:2])
+        index = Index([(item, i, q, a) for item, _, i, q, a in rows], (total, mean, frequency))
+        return pa.table({"shard": segs.column("shard").slice(0, 1), "index": pa.array([pickle.dumps(index)], pa.binary())})
     return run
 
 
-def shards(items: DataFrame, item_id: str, text: str, shard: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in id order, in lists of bounded size: at most ``shard`` segments, or one item."""
-    it = pick(items, item_id=item_id, text=text).where("text IS NOT NULL")
-    held, size = [], 0
-    for r in it.orderBy("item_id", "text").toLocalIterator(prefetchPartitions=False):
-        n = -(-len(words(r["text"])) // SEGMENT)
-        if held and size + n > shard:
-            yield held
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += n
-    if held:
-        yield held
+def publish(spark, items: DataFrame, item_id: str = "item_id", text: str = "text", shard: int = SHARD) -> list[str]:
+    """Build the index of a benchmark and hand its shards to all executors, one file each; returns their names."""
+    prepare_session(spark)
+    it = pick(items, item_id=item_id, text=text).select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text IS NOT NULL")
+    segs = materialize(it.mapInArrow(_cut, SEGS), "benchmark-segments")
+    total, mean = segs.agg(F.count("*"), F.avg(F.size("question") + F.size("answer"))).first()
+    if not total:
+        return []
+    segs = segs.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(-(-total // shard))).cast("int"))
+    term = segs.select("shard", F.explode(F.array_distinct(F.concat("question", "answer"))).alias("term"))
+    df = term.groupBy("term").agg(F.count("*").alias("df"))
+    used = term.distinct().join(df, "term")
+    built = segs.groupBy("shard").cogroup(used.groupBy("shard")).applyInArrow(_build(total, mean), "shard int, index binary")
+    names, folder = [], tempfile.mkdtemp(prefix="millstone-index-")
+    for r in materialize(built, "benchmark-index").toLocalIterator():  # a shard at a time
+        names.append(f"index-{uuid.uuid4().hex[:12]}")
+        with open(os.path.join(folder, names[-1]), "wb") as f:
+            f.write(r["index"])
+        spark.sparkContext.addFile(os.path.join(folder, names[-1]))
+    return names
+
+
+_LOADED: dict[str, Index] = {}
+
+
+def _shard(name: str) -> Index:
+    """A published shard; the worker forgets the one before."""
+    if name not in _LOADED:
+        _LOADED.clear()
+        with open(SparkFiles.get(name), "rb") as f:
+            _LOADED[name] = pickle.load(f)
+    return _LOADED[name]
+
+
+def _match(names: list[str], threshold: float, overlap: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in names:
+                rows = [(doc_id, *m) for doc_id, text in flat([b]) for m in _shard(name).matches(text, threshold, overlap)]
+                yield arrow_rows(_SCHEMA, rows)
+    return run
 
 
 def contaminated_column(spark, items: DataFrame, text: str, item_id: str = "item_id", item_text: str = "text",
                         threshold: float = THRESHOLD, overlap: float = OVERLAP, shard: int = SHARD) -> Column:
     """True where a text column holds a verified match."""
-    out = F.lit(False)
-    for held in shards(items, item_id, item_text, shard):
-        out = out | _matcher(spark.sparkContext.broadcast(Index(held)), threshold, overlap)(F.col(text))
-    return out
-
+    names = publish(spark, items, item_id, item_text, shard)
 
-def _matcher(index, threshold: float, overlap: float):
     @F.pandas_udf("boolean")
     def match(t: pd.Series) -> pd.Series:
-        return pd.Series([bool(index.value.matches(x or "", threshold, overlap)) for x in t], dtype=bool)
+        out = np.zeros(len(t), bool)
+        for name in names:
+            for i in np.flatnonzero(~out):
+                out[i] = bool(_shard(name).matches(t.iloc[i] or "", threshold, overlap))
+        return pd.Series(out)
 
-    return match
+    return match(F.col(text))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                  item_text: str = "text", threshold: float = THRESHOLD, overlap: float = OVERLAP, shard: int = SHARD) -> DataFrame:
     """(doc_id, item_id, n_passages, score, question_overlap, answer_overlap): verified matches only."""
-    spark = docs.sparkSession
-    prepare_session(spark)
+    names = publish(docs.sparkSession, items, item_id, item_text, shard)
     d = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = None
-    for held in shards(items, item_id, item_text, shard):
-        index = spark.sparkContext.broadcast(Index(held))
-        got = d.mapInArrow(_match(index, threshold, overlap), _OUT)
-        found = got if found is None else found.unionAll(got)
-    return found if found is not None else spark.createDataFrame([], _OUT)
+    return d.mapInArrow(_match(names, threshold, overlap), _OUT)

@@ -13,10 +13,10 @@ distance and the stored parent distance already rule it out (triangle
 inequality), and the walk ends when the best remaining bound is below the k-th score.
 Scores are exact integers; bounds carry a margin for rounding.
 
-Queries are a stated set (ids divisible by 100) taken in blocks of bounded size:
-a block is shipped to all tasks and every task returns k rows per query, so one pass
-over the vectors serves a block and no vector is shuffled. A query's best k
-over the tasks is then a partial top-k.
+Shape of the job: the trees are built once and written to the shared folder, a row per tree: its vectors in page order and the pages
+of its nodes. Queries are a stated set (ids divisible by 100). They are dealt into blocks and trees into groups, both of bounded
+size; a cell (group, block) is one cogrouped task that returns k rows per query, and a query's best k over
+its cells is a partial top-k. The plan is the same for any number of queries and vectors, and only counts reach the driver.
 
 Defined results: vectors that are null or hold null or non-finite components
 take no part, as queries or candidates; empty vectors neither; a query only meets
@@ -32,83 +32,111 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millstone.llm.common import pick, prepare_session
+from millstone.llm.common import materialize, pick, prepare_session, shuffle_partitions
 
 SCALE = 1024
 K = 10
-QUERY_BLOCK = 4096
-TREE = 8192       # vectors of one tree, in memory of a task
-PAGE = 64         # vectors of a leaf page
-FAN = 16          # children of an inner node
-
+TREE = 8192          # vectors of one tree, in memory of a task
+PAGE = 64            # vectors of a leaf page
+FAN = 16             # children of an inner node
+CELL_TREES = 8       # trees of a cell
+QUERY_BLOCK = 2048   # queries of a cell, about
+
+# the written form: vectors in page order, then a page entry per node in the order of ``children`` runs
+VECTORS = {"ids": "<i8", "vecs": "<i8"}
+PAGES = {"route": "<i4", "radius": "<f8", "to_parent": "<f8", "begin": "<i4", "end": "<i4", "child": "<i4", "children": "<i4"}
+TREES = pa.schema([("tree", pa.string()), ("dim", pa.int32()), *[(c, pa.binary()) for c in (*VECTORS, *PAGES)]])
+_TREES = "tree string, dim int, " + ", ".join(f"{c} binary" for c in (*VECTORS, *PAGES))
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-class Node:
-    __slots__ = ("route", "radius", "to_parent", "children", "rows")
-
+def build(x: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Page order of the lifted points ``x``, and the nodes of an M-tree over them, split around FAN routing points per level."""
+    table: list[list] = []   # route, radius, to_parent, begin, end, child, children
+    order: list[np.ndarray] = []
 
-def build(x: np.ndarray) -> Node:
-    """M-tree over lifted points ``x`` (rows), split around FAN routing points per level."""
-    def node(rows: np.ndarray, parent: np.ndarray | None) -> Node:
-        n = Node()
+    def node(rows: np.ndarray, parent: np.ndarray | None) -> list:
         pts = x[rows]
-        n.route = pts[int(np.argmin(((pts - pts.mean(0)) ** 2).sum(1)))]
-        n.radius = float(np.sqrt(((pts - n.route) ** 2).sum(1).max()))
-        n.to_parent = float(np.sqrt(((n.route - parent) ** 2).sum())) if parent is not None else 0.0
-        n.children, n.rows = [], rows
+        route = int(rows[int(np.argmin(((pts - pts.mean(0)) ** 2).sum(1)))])
+        radius = float(np.sqrt(((pts - x[route]) ** 2).sum(1).max()))
+        return [route, radius, float(np.sqrt(((x[route] - parent) ** 2).sum())) if parent is not None else 0.0, 0, 0, 0, 0]
+
+    table.append(node(np.arange(len(x)), None))
+    work, size = [(0, np.arange(len(x)))], 0
+    while work:
+        k, rows = work.pop()
         if len(rows) <= PAGE:
-            return n
+            table[k][3:5] = size, size + len(rows)
+            order.append(rows)
+            size += len(rows)
+            continue
+        pts = x[rows]
         pivots = pts[np.linspace(0, len(rows) - 1, FAN).astype(int)]
-        d = (pivots ** 2).sum(1)[None] - 2 * pts @ pivots.T
-        near = d.argmin(1)
-        if n.radius == 0 or np.bincount(near).max() == len(rows):  # equal points: even pages
+        near = ((pivots ** 2).sum(1)[None] - 2 * pts @ pivots.T).argmin(1)
+        if table[k][1] == 0 or np.bincount(near).max() == len(rows):  # equal points: even pages
             near = np.arange(len(rows)) * FAN // len(rows)
-        n.rows = None
-        for k in range(FAN):
-            if (near == k).any():
-                n.children.append(node(rows[near == k], n.route))
-        return n
-
-    return node(np.arange(len(x)), None)
+        parts = [rows[near == p] for p in range(FAN) if (near == p).any()]
+        table[k][5:7] = len(table), len(parts)
+        for part in parts:
+            work.append((len(table), part))
+            table.append(node(part, x[table[k][0]]))
+    place = np.concatenate(order)
+    to = np.empty(len(place), np.int64)
+    to[place] = np.arange(len(place))
+    columns = list(zip(*table))
+    columns[0] = to[np.array(columns[0])]
+    return place, {c: np.array(v, t) for (c, t), v in zip(PAGES.items(), columns)}
 
 
 class Tree:
-    """One M-tree with its integer vectors and ids."""
+    """One M-tree with its integer vectors and ids, in page order."""
 
-    def __init__(self, ids: np.ndarray, vecs: np.ndarray):
-        self.ids, self.vecs = ids, vecs
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, pages: dict[str, np.ndarray] | None = None):
         norm = (vecs.astype(np.float64) ** 2).sum(1)
         self.lift = float(norm.max())
-        self.root = build(np.column_stack([vecs.astype(np.float64), np.sqrt(self.lift - norm)]))
+        lifted = np.column_stack([vecs.astype(np.float64), np.sqrt(self.lift - norm)])
+        if pages is None:
+            place, pages = build(lifted)
+            ids, vecs, lifted = ids[place], vecs[place], lifted[place]
+        self.ids, self.vecs, self.pages = ids, vecs, pages
+        self.routes = lifted[pages["route"]]
+        self.node = list(zip(*(pages[c].tolist() for c in PAGES)))
+
+    def packed(self, name: str) -> tuple:
+        return (name, self.vecs.shape[1], *[np.ascontiguousarray(a.astype(t)).tobytes() for a, t in zip((self.ids, self.vecs), VECTORS.values())],
+                *[self.pages[c].tobytes() for c in PAGES])
+
+    @staticmethod
+    def unpacked(row: dict) -> "Tree":
+        got = {c: np.frombuffer(row[c], t) for c, t in (VECTORS | PAGES).items()}
+        return Tree(got["ids"], got["vecs"].reshape(-1, row["dim"]), {c: got[c] for c in PAGES})
 
     def search(self, query_id: int, q: np.ndarray, best: list, k: int) -> None:
         """Offer the tree's rows to ``best``, a heap of (score, -vec_id) with at most k rows."""
         point = np.append(q.astype(np.float64), 0.0)
         full = float(point @ point) + self.lift
         slack = 1e-6 * (1.0 + np.sqrt(full))
+        node, routes = self.node, self.routes
 
         def highest(reach: float) -> float:
             """Largest score of a row at distance ``reach`` or more."""
             reach = max(0.0, reach - slack)
             return (full - reach * reach) / 2 + 0.5
 
-        def distance(n: Node) -> float:
-            return float(np.sqrt(((n.route - point) ** 2).sum()))
-
         floor = lambda: best[0][0] if len(best) >= k else -np.inf
-        d = distance(self.root)
-        heap, count = [(-highest(d - self.root.radius), 0, d, self.root)], 1
+        d = float(np.sqrt(((routes[0] - point) ** 2).sum()))
+        heap = [(-highest(d - node[0][1]), 0, d)]
         while heap:
-            bound, _, d, n = heapq.heappop(heap)
+            bound, n, d = heapq.heappop(heap)
             if -bound < floor():
                 break
-            if n.rows is not None:
-                s = self.vecs[n.rows] @ q
-                ids = self.ids[n.rows]
+            _, _, _, begin, end, child, children = node[n]
+            if not children:
+                s, ids = self.vecs[begin:end] @ q, self.ids[begin:end]
                 for i in np.flatnonzero((s >= floor()) & (ids != query_id)):
                     item = (int(s[i]), -int(ids[i]))
                     if len(best) < k:
@@ -116,45 +144,47 @@ class Tree:
                     elif item > best[0]:
                         heapq.heapreplace(best, item)
                 continue
-            for c in n.children:
-                if highest(abs(d - c.to_parent) - c.radius) < floor():
-                    continue  # ruled out by the stored parent distance alone
-                dc = distance(c)
-                b = highest(dc - c.radius)
+            # ruled out by the stored parent distance alone, or else by the distance itself
+            left = [c for c in range(child, child + children) if highest(abs(d - node[c][2]) - node[c][1]) >= floor()]
+            for c, dc in zip(left, np.sqrt(((routes[left] - point) ** 2).sum(1)).tolist() if left else ()):
+                b = highest(dc - node[c][1])
                 if b >= floor():
-                    heapq.heappush(heap, (-b, count, dc, c))
-                    count += 1
+                    heapq.heappush(heap, (-b, c, dc))
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[Tree]:
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trees over the rows of a task, per vector length, at most TREE rows each."""
     held: dict[int, list] = {}
+    task, made = TaskContext.get().partitionId(), 0
+
+    def out(group: list) -> pa.RecordBatch:
+        ids, vecs = zip(*group)
+        row = Tree(np.array(ids, np.int64), np.array(vecs, np.int64)).packed(f"{task}-{made}")
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, TREES)], schema=TREES)
+
     for b in batches:
-        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            group = held.setdefault(len(v), [])
-            group.append((i, v))
+        for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            group = held.setdefault(len(row[1]), [])
+            group.append(row)
             if len(group) == TREE:
-                yield _tree(held.pop(len(v)))
+                yield out(held.pop(len(row[1])))
+                made += 1
     for group in held.values():
-        yield _tree(group)
-
-
-def _tree(group: list) -> Tree:
-    return Tree(np.array([g[0] for g in group], np.int64), np.array([g[1] for g in group], np.int64))
+        yield out(group)
+        made += 1
 
 
-def _search(queries: list[tuple[int, list[int]]], k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qs = [(i, np.array(v, np.int64), []) for i, v in queries]
-        for tree in _trees(batches):
-            for i, q, best in qs:
+def _cell(k: int):
+    def run(trees: pa.Table, queries: pa.Table) -> pa.Table:
+        """Searches a block of queries in a group of trees."""
+        asked = [(i, np.array(v, np.int64), []) for i, v in zip(queries.column("vec_id").to_pylist(), queries.column("v").to_pylist())]
+        for t in range(trees.num_rows if asked else 0):
+            tree = Tree.unpacked(trees.slice(t, 1).to_pylist()[0])
+            for i, q, best in asked:
                 if len(q) == tree.vecs.shape[1]:
                     tree.search(i, q, best, k)
-        for i, _, best in qs:
-            if best:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([i] * len(best), pa.int64()), pa.array([-v for _, v in best], pa.int64()),
-                    pa.array([s for s, _ in best], pa.int64())], schema=_OUT)
+        rows = [(i, -minus, score) for i, _, best in asked for score, minus in best]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 3, _OUT)], schema=_OUT)
     return run
 
 
@@ -174,16 +204,16 @@ def top_k(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     prepare_session(spark)
     rows = integer_vectors(vectors, vec_id, embedding, scale)
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    found, after = None, None
-    while True:  # blocks of queries in id order; a block is all that the driver ever holds
-        block = queries.where(F.col("vec_id") > after) if after is not None else queries
-        block = [(r["vec_id"], list(r["v"])) for r in block.orderBy("vec_id").limit(query_block).collect()]
-        if block or found is None:
-            got = rows.mapInArrow(_search(block, k), "query_id bigint, vec_id bigint, score bigint")
-            found = got if found is None else found.unionAll(got)
-        if len(block) < query_block:
-            break
-        after = block[-1][0]
+    queries = materialize(queries, "mtree-queries")
+    trees = materialize(rows.mapInArrow(_trees, _TREES), "mtree-trees")
+    groups, n = max(1, -(-trees.count() // CELL_TREES)), queries.count()
+    # as many cells as the session has shuffle partitions, as far as there are queries
+    blocks = max(1, -(-n // query_block), min(n, -(-shuffle_partitions(spark) // groups)))
+    left = (trees.withColumn("g", F.pmod(F.xxhash64("tree"), F.lit(groups)).cast("int"))
+            .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    right = (queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+             .withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))))
+    found = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(_cell(k), "query_id bigint, vec_id bigint, score bigint")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

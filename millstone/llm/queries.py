@@ -84,7 +84,8 @@ ORACLES = {
     "op1_chat_format": """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text,
-         CAST(floor(turn / 128) AS BIGINT) AS part FROM conversations),
+         CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) // 128 AS BIGINT) AS part
+  FROM conversations),
 views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
 m AS (
   SELECT t.conv_id, perspective, part, turn, speaker, text,
@@ -137,11 +138,9 @@ SELECT page_id, payload_bytes, payload_digest,
 
 
 def queries() -> dict[str, Callable]:
-    import corpus_pipeline
-
     own = [op1_chat_format, op2_interpolated_lm, op3_suffix_dedup, op4_toxicity, op5_decontaminate, op6_jaccard_join,
            op7_sentencepiece, op8_token_counts, op9_mtree_topk, op10_warc, op11_bpe_trie, op12_hard_negatives, op13_whitening]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millstone.llm import chat, decontam, jaccard, lm, mtree, suffix, tokens, toxicity, warc, wfst
+from millstone.llm import bpe_trie, chat, cover, decontam, jaccard, lm, mtree, suffix, tokens, toxicity, warc, wfst, whiten
 from millstone.llm.queries import BYTE_BPE, PIECE_BPE, vocabulary
 
 DOCS = "doc_id long, text string, chunk string, bucket int"  # extra columns clash with internal names
@@ -50,11 +50,27 @@ def test_chat(spark):
         own = [r.text[m.start:m.end] for m in r.mask]
         assert len(own) == r.n_assistant == r.text.count("<|im_start|>assistant\n")
     bob = next(r for r in got if r.perspective == "bob" and r.part == 0)
-    assert bob.n_turns == 4 and [bob.text[m.start:m.end] for m in bob.mask] == ["yo <| im_end|>"] * 2
+    assert bob.n_turns == 5 and [bob.text[m.start:m.end] for m in bob.mask] == ["yo <| im_end|>"] * 2
     assert "<|im_start|>user name=ann\nhi<|im_end|>\n" in bob.text
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_parts_are_bounded(spark):
+    """Many turns with one number, without one, repeated, or without conversation: parts of equal size, in order."""
+    rnd = random.Random(7)
+    rows = ([(1, None, "ann", f"t{k % 50}") for k in range(300)] + [(1, 3, rnd.choice(["ann", "bob"]), f"u{k}") for k in range(300)]
+            + [(None, 0, "cy", "same")] * 400 + [(2, k * 1000, "dee", None) for k in range(20)])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
+    got = chat.rotate(df, part_turns=16).collect()
+    assert all(r.n_turns <= 16 for r in got)
+    for conv, who in ((1, "ann"), (1, "bob"), (None, "cy"), (2, "dee")):
+        view = sorted((r for r in got if (r.conv_id, r.perspective) == (conv, who)), key=lambda r: r.part)
+        turns = sorted(((n is not None, n or 0, s, t or "") for c, n, s, t in rows if c == conv))
+        assert [r.part for r in view] == list(range(-(-len(turns) // 16))) and all(r.n_turns == 16 for r in view[:-1])
+        assert "".join(r.text for r in view) == "".join(
+            f"<|im_start|>{'assistant' if s == who else f'user name={s}'}\n{t}<|im_end|>\n" for _, _, s, t in turns)
+
+
 def test_lm_base_and_bounds(docs, texts, nothing):
     got = {r.doc_id: r for r in lm.interpolated_scores(docs).collect()}
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id here at all")]
@@ -71,10 +87,63 @@ def test_lm_base_and_bounds(docs, texts, nothing):
     assert lm.interpolated_scores(nothing).count() == 0
 
 
-def test_lm_is_a_distribution():
-    """Weights of every bucket sum to one."""
-    w = np.array([lm.bucket_of(np.array([0, 1, 2, 3, 4, 1 << 20]))])
-    assert w.tolist() == [[0, 1, 2, 2, 3, 21]]
+def test_lm_buckets():
+    assert lm.bucket_of(np.array([0, 1, 2, 3, 4, 1 << 20])).tolist() == [0, 1, 2, 2, 3, 21]
+
+
+def test_lm_score_brute_force(spark):
+    """Counts, expectation-maximisation on the deleted fold and scores, with plain dictionaries."""
+    rnd = random.Random(21)
+    rows = [(i, " ".join(rnd.choice("abcdefghij")[:1] * rnd.randrange(1, 3) if rnd.random() < 0.8 else f"r{rnd.randrange(60)}"
+                         for _ in range(rnd.randrange(1, 60)))) for i in range(150)] + [(200, None), (201, "A  b\tnever-seen")]
+    got = {r.doc_id: r for r in lm.interpolated_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    role = lambda i: zlib.crc32(str(i).encode()) % 7
+    toks = {i: [*(t or "").lower().split(), "</s>"] for i, t in rows}
+
+    def counts(keep):
+        word, pair, docs = Counter(), Counter(), 0
+        for i, w in toks.items():
+            if keep(role(i)):
+                docs += 1
+                word.update(w)
+                pair.update(zip(["<s>", *w], w))
+        return word, pair, docs, sum(word.values()), len(word)
+
+    def parts(c, v, w):
+        """(context bucket, uniform, word and pair estimates)"""
+        word, pair, docs, n, types = c
+        context = docs if v == "<s>" else word[v]
+        return context.bit_length(), 1 / (types + 1), word[w] / n, pair[v, w] / context if context else 0.0
+
+    kept = counts(lambda r: r not in (2, 5))
+    events = [parts(kept, v, w) for i, t in toks.items() if role(i) == 5 for v, w in zip(["<s>", *t], t)]
+    weights = {b: (0.5, 0.5, 0) if b == 0 else (1 / 3, 1 / 3, 1 / 3) for b in range(41)}
+    last = None
+    for _ in range(lm.EM_ROUNDS):
+        shares, ll = {}, 0.0
+        for b, *f in events:
+            a = [x * y for x, y in zip(weights[b], f)]
+            ll += math.log(sum(a))
+            shares[b] = [x + y / sum(a) for x, y in zip(shares.get(b, [0, 0, 0]), a)]
+        for b, s in shares.items():
+            s = [x + 1e-3 if b or k < 2 else 0.0 for k, x in enumerate(s)]
+            weights[b] = [x / sum(s) for x in s]
+        ll /= len(events)
+        if last is not None and ll - last < lm.EM_STOP:
+            break
+        last = ll
+    seen = sorted(shares)
+    for b in range(1, 41):
+        if b not in seen:
+            weights[b] = weights[min((x for x in seen if x), key=lambda x: (abs(x - b), x))]
+    assert all(sum(w) == pytest.approx(1) for w in weights.values()) and len(seen) > 3
+    every = counts(lambda r: r != 2)
+    for i, t in toks.items():
+        want = 0.0
+        for v, w in zip(["<s>", *t], t):
+            b, *f = parts(every, v, w)
+            want += math.log10(sum(x * y for x, y in zip(weights[b], f)))
+        assert got[i].score == pytest.approx(want, rel=1e-9), i
 
 
 def _brute_spans(rows, length):
@@ -194,11 +263,16 @@ def test_decontamination(spark):
     d = spark.createDataFrame([*enumerate(clean), *[x[:2] for x in leak], *half, (300, None), (301, "")], "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
     want = {(i, k) for i, _, k in leak}
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, it).collect()} == want
-    assert {(r.doc_id, r.item_id) for r in decontam.contaminated(d, it, shard=10).collect()} == want
+    whole = sorted(tuple(r) for r in decontam.contaminated(d, it).collect())
+    assert {r[:2] for r in whole} == want
+    # every number is the same however the items fall into shards
+    assert sorted(tuple(r) for r in decontam.contaminated(d, it.repartition(3), shard=10).collect()) == whole
+    assert len(decontam.publish(spark, it, shard=10)) > 3
     assert decontam.contaminated(d, it.limit(0)).count() == 0 and decontam.contaminated(d.limit(0), it).count() == 0
     # the bounds lose nothing: every passage against every segment
-    ix = decontam.Index([x for x in items if x[1]])
+    segs = [(k, k, q, a) for k, t in items for q, a in decontam.segments_of(t or "")]
+    size = [len(q) + len(a) for _, _, q, a in segs]
+    ix = decontam.Index(segs, (len(segs), sum(size) / len(size), Counter(x for _, _, q, a in segs for x in {*q, *a})))
     w = decontam.words(leak[3][1])
     t = np.array([ix.terms.get(x, 0) for x in w])
     got = {(s, g) for s, terms, good in ix.passages(t, 0.3) for g, _ in ix.retrieve(terms, good, 0.3)}
@@ -285,7 +359,7 @@ def test_wfst_equals_library(docs, texts, nothing):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(PIECE_BPE))
-    t = wfst.Transducer(vocabulary(PIECE_BPE))
+    t = wfst.transducer(vocabulary(PIECE_BPE))
     rnd = random.Random(9)
     hostile = ["".join(rnd.choice("  \n\tabcdeé漢字😀▁<s>0\x00") for _ in range(rnd.randrange(40))) for _ in range(400)]
     for x in hostile + [x or "" for x in texts]:
@@ -295,6 +369,33 @@ def test_wfst_equals_library(docs, texts, nothing):
     assert wfst.encode_documents(nothing, vocabulary(PIECE_BPE)).count() == 0
 
 
+@pytest.mark.parametrize("fallback", [False, True])
+def test_wfst_unigram_equals_library(fallback):
+    """A unigram model written by hand, with ties and characters outside of it."""
+    import struct
+
+    import sentencepiece
+
+    def field(n, v):
+        key = lambda kind: bytes([n << 3 & 127 | 128, n >> 4]) if n > 15 else bytes([n << 3 | kind])
+        if isinstance(v, int):
+            return (bytes([n << 3 & 127 | 128, n >> 4]) if n > 15 else key(0)) + bytes([v])
+        if isinstance(v, float):
+            return key(5) + struct.pack("<f", v)
+        assert len(v) < 128
+        return key(2) + bytes([len(v)]) + v
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else [])
+    pieces += [(p, w, 1) for p, w in (("▁", -2.5), ("a", -3.0), ("b", -3.1), ("ab", -4.2), ("▁a", -4.0), ("ba", -4.7), ("aba", -6.1), ("bb", -6.2),
+                                      ("▁ab", -5.3), ("c", -5.0), ("abc", -7.25), ("cab", -7.2), ("é", -4.5), ("aa", -6.0), ("b▁a", -6.05))]
+    model = b"".join(field(1, field(1, p.encode()) + field(2, w) + field(3, k)) for p, w, k in pieces)
+    model += field(2, field(3, 1) + (field(35, 1) if fallback else b"")) + field(3, field(1, b"identity"))
+    sp, t, rnd = sentencepiece.SentencePieceProcessor(model_proto=model), wfst.Transducer(model), random.Random(3)
+    for _ in range(600):
+        x = "".join(rnd.choice("aaabbbc  é漢😀z") for _ in range(rnd.randrange(30)))
+        assert t.encode(x) == sp.encode(x) and t.decode(t.encode(x)) == sp.decode(sp.encode(x)), x
+
+
 def test_token_counts_equal_library(docs, texts, nothing):
     from tokenizers import Tokenizer
 
@@ -320,10 +421,157 @@ def test_topk_brute_force(spark):
         best = sorted((i for i in range(700) if i != q), key=lambda i: (-s[i], i))[:10]
         want |= {(q, k + 1, i, int(s[i])) for k, i in enumerate(best)}
     assert {tuple(r) for r in mtree.top_k(df).collect()} == want
-    assert {tuple(r) for r in mtree.top_k(df, query_block=2).collect()} == want
+    assert {tuple(r) for r in mtree.top_k(df.repartition(9), query_block=2).collect()} == want
     assert mtree.top_k(df.limit(0)).count() == 0
 
 
+def test_bpe_trie_equals_library(spark, docs, texts, nothing):
+    import json
+
+    from tokenizers import Tokenizer
+
+    file = vocabulary(BYTE_BPE)
+    t, rnd = Tokenizer.from_file(file), random.Random(12)
+    bpe = bpe_trie.load(file)
+    hostile = ["".join(rnd.choice("aabcdeth \n'sré漢0123-_=.\x1c\x85\u200b😀") for _ in range(rnd.randrange(300))) for _ in range(500)]
+    hostile += ["a" * 4000, "ab" * 2000, " " * 600 + "x", "<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", "\n\n  \t"]
+    enc = bpe_trie.Encoder(bpe)
+    words = [enc.words(x) for x in hostile]
+    enc.finish()
+    for x, w, e in zip(hostile, words, t.encode_batch(hostile, add_special_tokens=False)):
+        ids = enc.ids_of(w)
+        assert ids.tolist() == e.ids and bpe.decode(ids.astype(np.int64)) == t.decode(e.ids, skip_special_tokens=False), x[:40]
+    got = {r.doc_id: r for r in bpe_trie.encode_documents(docs, file).collect()}
+    for i, x in [*enumerate(texts), (None, "no id here at all")]:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        assert (got[i].n_tokens, np.frombuffer(got[i].ids, "<u4").tolist()) == (len(ids), ids), i
+        assert got[i].decoded == t.decode(ids, skip_special_tokens=False)
+    assert bpe_trie.encode_documents(nothing, file).count() == 0
+    spec = json.load(open(file, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"model": {**spec["model"], "ignore_merges": True}}, {"pre_tokenizer": None}):
+        with pytest.raises(ValueError):
+            bad = f"/tmp/{rnd.random()}.json"
+            with open(bad, "w", encoding="utf-8") as f:
+                json.dump(spec | change, f)
+            bpe_trie.Bpe(bad)
+
+
+def test_bpe_trie_shares_prefixes():
+    """Nodes are prefixes, each once, parents first."""
+    words = [b"low", b"lower", b"lowest", b"lot", b"", b"x", b"lower"]
+    depth, byte, home = bpe_trie.insert(words)
+    assert len(depth) == len({w[:k] for w in words for k in range(len(w) + 1)})
+    path = [b""]
+    for node in range(1, len(depth)):
+        path.append(path[max(n for n in range(node) if depth[n] == depth[node] - 1)] + bytes([byte[node]]))
+    assert [path[n] for n in home] == words
+
+
+def _negatives(rows, every=100, scale=256, low=80, high=100):
+    """(anchor, positive, rank, negative, scores) by the definition."""
+    ok = [(i, y, np.floor(scale * np.array(v, float)).astype(np.int64)) for i, y, v in rows
+          if i is not None and y is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for a in sorted({i for i, _, _ in ok if i % every == 0}):
+        label, q = min((y, v.tolist()) for i, y, v in ok if i == a)
+        s = sorted((-int(np.dot(q, v)), i, y) for i, y, v in ok if i != a and len(v) == len(q))
+        for p, i, _ in [x for x in s if x[2] == label][:5]:
+            fit = [x for x in s if x[2] != label and low * -p <= 100 * -x[0] <= high * -p][:5]
+            out += [(a, i, k + 1, j, -p, -n) for k, (n, j, _) in enumerate(fit)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("high", [100, 90])
+def test_hard_negatives_brute_force(spark, high):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.normal(size=(900, 6)) + 0.6, 1)  # many ties
+    v[200:500] = v[7]                                   # one vector in a third of the rows
+    y = rng.integers(0, 4, 900)
+    rows = [(i, int(c), [float(x) for x in r]) for i, (c, r) in enumerate(zip(y, v))] + [
+        (1000, 1, None), (1100, None, [1.0] * 6), (1200, 2, [1.0, None] + [0.0] * 4), (1300, 1, [float("inf")] * 6), (1400, 0, []),
+        (1500, 3, [1.0, 2.0]), (1501, 3, [1.5, 2.0]), (1502, 1, [1.0, 1.9]), (None, 1, [1.0] * 6), (300, 2, [9.0] * 6), (5, 0, [0.3] * 6)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, embedding array<double>, score string").repartition(5)
+    got = sorted(tuple(r) for r in cover.hard_negatives(df, high=high).collect())
+    assert got == _negatives(rows, high=high) and len(got) > 100
+    assert cover.hard_negatives(df.limit(0)).count() == 0
+
+
+def test_cover_tree_invariants():
+    """Children lie apart and cover their rows; bounds hold for every row."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-300, 300, (3000, 5))
+    x[500:900] = x[3]
+    tree = cover.CoverTree(np.arange(3000), np.zeros(3000, np.int64), x)
+    again = cover.CoverTree.unpacked(dict(zip(cover.TREE_SCHEMA.names, tree.packed("t"))))
+    assert sorted(tree.ids.tolist()) == list(range(3000)) and (again.vecs == tree.vecs).all()
+    n = tree.nodes
+    points = np.column_stack([tree.vecs, np.sqrt(tree.lift - (tree.vecs ** 2).sum(1))])
+    q = rng.integers(-300, 300, (4, 5)).astype(float)
+    high, low = tree.bounds(q)
+
+    def rows(k):
+        kids = range(n["child"][k], n["child"][k] + n["children"][k])
+        return [r for c in kids for r in rows(c)] if n["children"][k] else list(range(n["begin"][k], n["end"][k]))
+
+    for k in range(len(n["route"])):
+        mine = rows(k)
+        assert np.sqrt(((points[mine] - points[n["route"][k]]) ** 2).sum(1)).max() <= n["radius"][k] + 1e-6
+        s = q @ tree.vecs[mine].T
+        assert (s <= high[:, k][:, None]).all() and (s >= low[:, k][:, None]).all()
+        kids = np.arange(n["child"][k], n["child"][k] + n["children"][k])
+        if len(kids) > 1:
+            c = points[n["route"][kids]]
+            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))[np.triu_indices(len(c), 1)].min()
+            assert n["route"][k] == n["route"][kids[0]] and apart >= n["radius"][kids].max() - 1e-6
+
+
+def _whitened(x, k):
+    """Eigenvectors, eigenvalues and whitened rows by a dense solver."""
+    n, total = len(x), x.sum(0)
+    mean = total // n
+    c = (x - mean) - (total - mean * n) / n
+    e, u = np.linalg.eigh(c.T @ c / n)
+    e, u = e[::-1][:k], u[:, ::-1][:, :k]
+    return c, e, u, [sum((n * int(a) - int(b)) ** 2 for a, b in zip(r, total)) for r in x]
+
+
+@pytest.mark.parametrize("dim,rows", [(5, 40), (64, 600), (90, 300)])
+def test_whitening_equals_a_dense_solver(spark, dim, rows):
+    rng = np.random.default_rng(dim)
+    v = rng.normal(size=(rows, dim)) @ rng.normal(size=(dim, dim)) + 3
+    data = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [
+        (7000, None), (7001, [1.0] * (dim - 1) + [None]), (7002, [float("nan")] * dim), (7003, []), (7004, [1.0, 2.0]), (None, [float(x) for x in v[0]])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("component", F.lit(1)).repartition(4)
+    x = np.floor(64 * np.vstack([v, v[:1]])).astype(np.int64) + 1_000_000
+    c, e, u, deviation = _whitened(x, min(32, dim))
+    got = whiten.whiten(df).toPandas()
+    ids = [*range(rows), -1]
+    assert len(got) == len(ids) * min(32, dim) and set(got.n) == {rows + 1}
+    w = got.assign(vec_id=got.vec_id.fillna(-1)).pivot(index="vec_id", columns="component", values="whitened").loc[ids].to_numpy()
+    want = c @ u / np.sqrt(e)
+    sign = np.sign((w * want).sum(0))
+    assert np.abs(w * sign - want).max() < 1e-7
+    per = got.groupby("component").first()
+    assert np.allclose(per.explained, e / (c ** 2).sum() * len(x), rtol=1e-9) and got.identity_error.max() < 1e-9 and got.residual.max() < 1e-12
+    assert dict(zip(got.vec_id.fillna(-1), got.deviation)) == dict(zip(ids, deviation))
+
+
+def test_whitening_without_variance(spark):
+    flat = [(i, [1.0, float(i % 2), 2.0]) for i in range(6)]
+    df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = whiten.whiten(df(flat)).toPandas()
+    first = got[got.component == 1]
+    assert np.allclose(first.whitened.abs(), 1) and set(first.explained) == {1.0} and got[got.component > 1].whitened.isna().all()
+    assert got.identity_error.max() < 1e-9
+    one = whiten.whiten(df(flat[:1])).toPandas()
+    assert len(one) == 3 and one.whitened.isna().all() and set(one.explained) == {0.0} and set(one.deviation) == {0} and set(one.identity_error) == {0.0}
+    empty = whiten.whiten(df(flat).limit(0))
+    assert empty.count() == 0 and empty.columns == got.columns.tolist()
+    # exact past 64 bits: null, never wrong
+    x = np.array([[0], [1 << 40]])
+    assert whiten._deviations(x, 2, [1 << 40]) == [None, None] and whiten._deviations(x[:1], 3, [9])[0] == 81
+
+
 def test_warc(spark):
     big, other = "é" * 600, "z" * 5000
     rows = [(1, "http://a/ b", big), (2, None, big), (3, "u", big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", other),
