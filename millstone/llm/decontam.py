@@ -210,7 +210,7 @@ class Index:
                 q, a = _overlap(question, near, overlap), _overlap(answer, near, overlap)
                 best = max(best, (min(q, a), q, a))
             if best[0] >= overlap:
-                out.append((self.ids[k], len({start for start, _ in at}), max(at.values()), best[1], best[2]))
+                out.append((self.ids[k], len({start for start, _ in at}), round(max(at.values()), 9), best[1], best[2]))
         return out
 
 
@@ -250,8 +250,8 @@ def publish(spark, items: DataFrame, item_id: str = "item_id", text: str = "text
     segs = segs.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(-(-total // shard))).cast("int"))
     term = segs.select("shard", F.explode(F.array_distinct(F.concat("question", "answer"))).alias("term"))
     df = term.groupBy("term").agg(F.count("*").alias("df"))
-    used = term.distinct().join(df, "term")
-    built = segs.groupBy("shard").cogroup(used.groupBy("shard")).applyInArrow(_build(total, mean), "shard int, index binary")
+    used = term.distinct().join(df, "term").select(F.col("shard").alias("of"), "term", "df")
+    built = segs.groupBy("shard").cogroup(used.groupBy("of")).applyInArrow(_build(total, mean), "shard int, index binary")
     names, folder = [], tempfile.mkdtemp(prefix="millstone-index-")
     for r in materialize(built, "benchmark-index").toLocalIterator():  # a shard at a time
         names.append(f"index-{uuid.uuid4().hex[:12]}")

@@ -44,6 +44,8 @@ STEP = 20
 TOLERANCE = 1e-9
 BLOCK = 512
 SETS_PER_TASK = 1000
+HUBS, HUB_EDGES, SALTS = 10_000, 500, 32
+SEEN = 500_000  # sets a task remembers to have sent
 _RNG = np.random.default_rng(20240613)
 _MUL = (_RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -103,6 +105,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = shingle_hashes(text)
             key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
             new = key is not None and key not in seen
+            if len(seen) >= SEEN:
+                seen.clear()  # a set sent twice is dropped when sets are made distinct
             seen.add(key)
             ids.append(doc_id)
             sets.append(key)
@@ -115,15 +119,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, name: str, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): connected components, root the smallest node. Alternating
     large-star and small-star steps; each is a partial minimum and a join, and
-    is written out, so that no lineage builds up."""
+    is written out, so that no lineage builds up. The edges of a node with very many of them
+    are joined in ``SALTS`` parts."""
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), name)
     mark = _fingerprint(e)
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_lowest(both.where("v > u"), low, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = (_with_lowest(large, low, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                  .unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         e = materialize(small, name)
         before, mark = mark, _fingerprint(e)
@@ -132,6 +137,18 @@ def components(edges: DataFrame, name: str, a: str = "a", b: str = "b") -> DataF
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _with_lowest(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
+    """Edges (u, v) with the m of their u. A node of more than a ``HUBS``-th of all edges (and ``HUB_EDGES``) is a hub; there are at
+    most 2 * HUBS of these, so their list is broadcast, their edges are dealt into parts and their rows of ``low`` copied to each."""
+    least = max(HUB_EDGES, n_edges // HUBS)
+    hubs = low.where(F.col("n") > least).select(F.col("u").alias("hub"))
+    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = edges.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left").select("u", "v", part.alias("part"))
+    parts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = low.select(F.col("u").alias("w"), "m", F.explode(parts).alias("p"))
+    return dealt.join(copies, (F.col("u") == F.col("w")) & (F.col("part") == F.col("p"))).select("u", "v", "m")
+
+
 def _fingerprint(e: DataFrame) -> tuple:
     """Count and hash sum of an edge table: equal when nothing changed."""
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -350,6 +350,29 @@ def test_jaccard_brute_force(docs, texts, nothing, block):
     assert jaccard.similar_classes(nothing).count() == 0
 
 
+def test_components_with_hubs(spark):
+    """Chains, rings and stars of more edges than a part takes."""
+    rnd = random.Random(8)
+    edges = [(0, k) for k in range(1, 1500)] + [(5000, k) for k in range(5001, 7000)] + [(k, k + 1) for k in range(8000, 8060)] + [(6999, 9000)]
+    edges += [(rnd.randrange(10_000, 10_400), rnd.randrange(10_000, 10_400)) for _ in range(250)]
+    name = list(range(11_000))
+    rnd.shuffle(name)
+    edges = [(name[a], name[b]) for a, b in edges]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {i: find(i) for i in list(root)}
+
+
 def test_posterior_table():
     least = jaccard.least_agreement(0.8, 1e-9)
     assert (np.diff(least) > 0).all() and least[0] < 16
