@@ -3,7 +3,7 @@
 J1 is stateless: the same Column expressions as the batch job plus fixed
 thresholds (a map literal), so each micro-batch is a plain projection and
 filter. J2/J3 carry per-shard state across micro-batches with
-``applyInPandasWithState``: the open group's rows (J2) or the token
+``transformWithState`` in RocksDB: the open group's rows, appended as they come (J2), or the token
 remainder shorter than one sequence (J3).
 
 Order precondition: inside a micro-batch rows are sorted by the order key;
@@ -13,11 +13,11 @@ across micro-batches the order is file arrival order.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millstone import settings as S
 from millstone.operators.quality import quality_filter
@@ -25,6 +25,9 @@ from millstone.plans.prepare import clean_and_score
 from millstone.session import scratch_path, ship_package
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_filter(stream: DataFrame, thresholds: dict[str, float], prof: S.LangProfile | str = S.HANGUL,
                   synthetic_sources: list[str] | tuple = (), partitions: int | None = None) -> DataFrame:
     """Clean + score + keep score >= the source's (fixed) threshold.
@@ -54,90 +57,118 @@ def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataF
 # ------------------------------------------------------------------ J2
 
 _G_OUT = "shard long, group_id long, text string, n_rows long, first_ord long"
-_G_STATE = "texts array<string>, first_ord long, next_gid long"
-
-
-def _group_fn(delimiter: str, sep: str, end_marker: str):
-    def fn(key, pdfs, state):
-        if state.exists:
-            texts, first_ord, next_gid = state.get
-            texts = list(texts)
-        else:
-            texts, first_ord, next_gid = [], None, 0
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("ord", kind="stable")
-        out = []
-        for o, t, e in zip(batch["ord"], batch["text"], batch["_end"]):
-            if t == end_marker:          # end of input for this shard: flush
-                if texts:
-                    out.append((key[0], next_gid, sep.join(x for x in texts if x is not None), len(texts), first_ord))
-                    next_gid += 1
-                texts, first_ord = [], None
-                continue
-            if not texts:
-                first_ord = int(o)
-            texts.append(None if pd.isna(t) else t)  # a null text counts as a row and adds no words
-            if bool(e):
-                out.append((key[0], next_gid, sep.join(x for x in texts if x is not None), len(texts), first_ord))
-                next_gid += 1
-                texts, first_ord = [], None
-        state.update((texts, first_ord, next_gid))
-        if out:
-            yield pd.DataFrame(out, columns=["shard", "group_id", "text", "n_rows", "first_ord"])
-    return fn
+
+
+class GroupProcessor(StatefulProcessor):
+    """Open group of a shard: its rows as list state, appended row by row; counters as value state."""
+
+    def __init__(self, sep: str, end_marker: str, idle_ms: int | None):
+        self.sep, self.end_marker, self.idle_ms = sep, end_marker, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "text string")
+        self.counts = handle.getValueState("counts", "next_gid long, first_ord long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        next_gid, first, n = self.counts.get() if self.counts.exists() else (0, None, 0)
+        new: list = []  # rows of the open group that are not in the state yet
+        for r in sorted(rows, key=lambda r: r.ord):
+            marker = r.text == self.end_marker  # end of input for this shard: flush
+            if not marker:
+                first = r.ord if not n else first
+                new.append(r.text)
+                n += 1
+            if (marker and n) or (r.ends and not marker):
+                yield self._group(key, next_gid, first, n, new)
+                next_gid, first, n, new = next_gid + 1, None, 0, []
+        if new:
+            self.rows.appendList([(t,) for t in new])
+        self.counts.update((next_gid, first, n))
+        if self.idle_ms is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if n:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """The shard was idle: its open group is complete."""
+        next_gid, first, n = self.counts.get()
+        if n:
+            yield self._group(key, next_gid, first, n, [])
+            self.counts.update((next_gid + 1, None, 0))
+
+    def _group(self, key, gid: int, first, n: int, new: list) -> Row:
+        # a null text counts as a row and adds no words
+        texts = [r[0] for r in self.rows.get()] + new if n > len(new) else new
+        self.rows.clear()
+        return Row(shard=key[0], group_id=gid, text=self.sep.join(t for t in texts if t is not None), n_rows=n, first_ord=first)
+
+    def close(self) -> None:
+        pass
+
+
+def _with_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: str, mode: str) -> DataFrame:
+    """``transformWithState`` on RocksDB, whose state need not fit in memory."""
+    spark = rows.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy(*keys).transformWithState(processor, out, "append", mode)
 
 
 def group_stream(stream: DataFrame, shard: str, order: str, text_col: str = "text",
                  ends: Column | None = None, delimiter: str = S.EOS_TOKEN, sep: str = " ",
-                 end_marker: str = "\u0000<end-of-input>") -> DataFrame:
+                 end_marker: str = "\u0000<end-of-input>", idle_ms: int | None = None) -> DataFrame:
     """J2 = G1 per shard on a stream. A row whose text equals ``end_marker``
     flushes the shard's open group (the batch operator emits the open tail
-    at end of input; a stream needs to be told where input ends)."""
-    ship_package(stream.sparkSession)
+    at end of input; a stream needs to be told where input ends). With ``idle_ms`` a timer flushes it instead
+    when a shard has had no rows for that long (for queries that keep running: under ``availableNow`` a query
+    with processing-time timers does not end)."""
     flag = ends if ends is not None else F.col(text_col).contains(delimiter)
     x = stream.select(F.col(shard).cast("long").alias("shard"), F.col(order).cast("long").alias("ord"),
-                      F.col(text_col).alias("text"), F.coalesce(flag, F.lit(False)).alias("_end"))
-    return x.groupBy("shard").applyInPandasWithState(
-        _group_fn(delimiter, sep, end_marker), _G_OUT, _G_STATE, "append", GroupStateTimeout.NoTimeout)
+                      F.col(text_col).alias("text"), F.coalesce(flag, F.lit(False)).alias("ends"))
+    return _with_state(x, ["shard"], GroupProcessor(sep, end_marker, idle_ms), _G_OUT, "none" if idle_ms is None else "processingTime")
 
 
 # ------------------------------------------------------------------ J3
 
-_P_OUT = "shard long, seq_id long, ids array<int>"
-_P_STATE = "carry array<int>, next_seq long"
-
-
-def _pack_fn(L: int, eos_id: int):
-    def fn(key, pdfs, state):
-        if state.exists:
-            carry, next_seq = state.get
-            carry = list(carry)
-        else:
-            carry, next_seq = [], 0
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("ord", kind="stable")
-        out = []
-        for ids in batch["ids"]:
-            carry.extend(map(int, ids if ids is not None else ()))
-            carry.append(eos_id)
-            full = len(carry) - len(carry) % L
-            for i in range(0, full, L):
-                out.append((key[0], next_seq, carry[i:i + L]))
+_P_OUT = "shard long, sub_shard int, seq_id long, ids array<int>"
+
+
+class PackProcessor(StatefulProcessor):
+    """Tokens of a shard that do not fill a sequence yet."""
+
+    def __init__(self, context_len: int, eos_id: int):
+        self.context_len, self.eos_id = context_len, eos_id
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.carry = handle.getValueState("carry", "ids array<int>, next_seq long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        carry, next_seq = self.carry.get() if self.carry.exists() else ([], 0)
+        carry, length = list(carry), self.context_len
+        for r in sorted(rows, key=lambda r: r.ord):
+            carry += [*(r.ids or ()), self.eos_id]
+            full = len(carry) - len(carry) % length
+            for i in range(0, full, length):
+                yield Row(shard=key[0], sub_shard=key[1], seq_id=next_seq, ids=carry[i:i + length])
                 next_seq += 1
             del carry[:full]
-        state.update((carry, next_seq))
-        if out:
-            yield pd.DataFrame(out, columns=["shard", "seq_id", "ids"])
-    return fn
+        self.carry.update((carry, next_seq))
+
+    def close(self) -> None:
+        pass
 
 
 def pack_stream(stream: DataFrame, shard: str, order: str, ids_col: str,
-                context_len: int, eos_id: int) -> DataFrame:
+                context_len: int, eos_id: int, sub_shards: int = 1) -> DataFrame:
     """J3 = G2 per shard on a stream; the remainder (< context_len tokens)
-    waits in state for the shard's next documents."""
-    ship_package(stream.sparkSession)
-    x = stream.select(F.col(shard).cast("long").alias("shard"), F.col(order).cast("long").alias("ord"),
-                      F.col(ids_col).cast("array<int>").alias("ids"))
-    return x.groupBy("shard").applyInPandasWithState(
-        _pack_fn(int(context_len), int(eos_id)), _P_OUT, _P_STATE, "append", GroupStateTimeout.NoTimeout)
+    waits in state for the shard's next documents. With ``sub_shards`` the documents of a shard are dealt by the hash of
+    their order key to that many independent packers, so a source with much of the stream is not one task."""
+    x = stream.select(F.col(shard).cast("long").alias("shard"), F.pmod(F.xxhash64(order), F.lit(int(sub_shards))).cast("int").alias("sub_shard"),
+                      F.col(order).cast("long").alias("ord"), F.col(ids_col).cast("array<int>").alias("ids"))
+    out = _with_state(x, ["shard", "sub_shard"], PackProcessor(int(context_len), int(eos_id)), _P_OUT, "none")
+    return out.drop("sub_shard") if sub_shards == 1 else out
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",

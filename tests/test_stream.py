@@ -80,3 +80,35 @@ def test_thresholds_of_a_stream_equal_the_batch(spark, tmp_path):
     again = spark.read.parquet(f"{state}/batch-{last:09d}").collect()
     merge_into(state, 40)(df.where("doc_id < 0"), last + 1)
     assert sorted(spark.read.parquet(f"{state}/batch-{last + 1:09d}").collect()) == sorted(again) and len(again) == 120
+
+
+def test_idle_shards_are_flushed_by_a_timer(spark, tmp_path):
+    """Without a marker row: the open group comes out when its shard has been idle."""
+    d, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [(1, 0, "a <|endoftext|>"), (1, 1, "b"), (1, 2, None), (2, 0, "c")]
+    spark.createDataFrame(rows, "shard long, ord long, text string").coalesce(1).write.parquet(d)
+    st = file_stream(spark, d, "shard long, ord long, text string")
+    query = (group_stream(st, "shard", "ord", idle_ms=500).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(processingTime="300 milliseconds").start())
+    want = {(1, 0, "a <|endoftext|>", 1), (1, 1, "b", 2), (2, 0, "c", 1)}
+    got, until = set(), time.time() + 60
+    while got != want and time.time() < until:
+        time.sleep(0.5)
+        if os.path.isdir(f"{out}/_spark_metadata"):
+            got = {(r.shard, r.group_id, r.text, r.n_rows) for r in spark.read.schema("shard long, group_id long, text string, n_rows long").parquet(out).collect()}
+    query.stop()
+    assert got == want
+
+
+def test_sub_shards_pack_what_one_packer_packs(spark, tmp_path):
+    """Every document of a dealt shard is packed once, by the packer of its hash."""
+    rows = [(1, k, [k] * (k % 5 + 1)) for k in range(120)]
+    df = spark.createDataFrame(rows, "shard long, ord long, ids array<int>")
+    d = str(tmp_path / "in")
+    _write_parts(spark, df.orderBy("ord"), d, 2)
+    st = file_stream(spark, d, df.schema, max_files_per_trigger=1)
+    got = run_to_table(pack_stream(st, "shard", "ord", "ids", 6, 999, sub_shards=4), "t-sub").collect()
+    dealt = df.withColumn("sub_shard", F.pmod(F.xxhash64("ord"), F.lit(4)).cast("int"))
+    want = pack(dealt, "ids", ["ord"], 6, 999, partition_cols=["shard", "sub_shard"]).collect()
+    key = lambda r: (r.sub_shard, r.seq_id, list(r.ids))
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len({r.sub_shard for r in got}) == 4
