@@ -1,27 +1,31 @@
 """Operator 7: SentencePiece encoding and decoding by weighted transduction.
 
-A model file is compiled into three machines: the normaliser (white space to
-the piece marker, dummy prefix), the piece lexicon (a trie whose arcs carry the piece
-cost, with a byte-fallback path for characters outside it) and a context machine over
-pieces. An input is composed with them lazily and the path of least cost in the
-tropical semiring is taken.
-
-* Unigram models: the cost of a piece is minus its score, the unknown path costs the
-  library's penalty, and the context machine accepts everything.
-* BPE models: the context machine reads consecutive pieces and gives weight 0 when the
-  two, merged on their own, stay as they are, and infinity otherwise. A sequence of
-  pieces is the model's own segmentation exactly when every neighbouring pair passes,
-  and every prefix of an input has one such sequence; so at most one state per
-  position keeps a finite weight.
-
-No piece of the lexicon holds a marker after another character (checked when
-compiling), so arcs never cross from a word into the next one's marker: the
-composition is cut there, and the result of a segment is kept in a bounded memo.
-Segments may be of any length; the work is linear in it.
+A model file is compiled into machines whose states and arcs lie in arrays:
+
+* the normaliser: white space to the piece marker, runs of it to one, dummy prefix (two states, run by string functions);
+* the lexicon: the closure of the piece trie (any number of pieces in a row), made deterministic by failure arcs: a state stands for
+  all trie states that a prefix may be in, and knows the longest piece that ends there; ``shorter`` leads to
+  the next one. A final arc writes the piece's id and costs minus its score;
+* byte fallback: a character that is no piece of its own has an arc that writes its byte pieces (or the unknown piece) at the penalty;
+* for BPE models a context machine, which reads consecutive pieces and gives weight 0 when the two, merged on
+  their own, stay as they are, and infinity otherwise. A sequence of pieces is the model's own segmentation exactly when every neighbouring pair
+  passes, and every prefix of an input has one such sequence; so one state per prefix keeps a finite weight. Unigram models
+  have none: every sequence is allowed, weights are costs.
+
+Inputs are composed with the machines lazily. The distinct segments of a chunk of documents form one input automaton, a trie, so
+common beginnings are composed once; its nodes are taken depth first, which is a topological order of the composition, and
+each keeps the least weight in the tropical semiring (min, +) with a link to the node its last piece begins at. Of equal weights the longer piece
+wins, as in the library. The path of a segment is read off its links.
+
+No piece of the lexicon of a BPE model holds a marker after another character (checked when
+compiling), so arcs never cross from a word into the next one's marker, and texts are cut there into segments. Unigram models
+take a text as one segment. Segments may be of any length; the work is linear in it.
+
+Decoding writes the bytes of the pieces. Every distinct segment is decoded and compared once; a text comes back exactly when all its segments do.
 
 Defined results: null text is empty and has no ids; an empty table gives no rows;
 repeated rows and null ids are encoded row by row. ``round_trip`` compares the decoded
-text with the text as the normaliser leaves it.
+text with the text as the normaliser leaves it. Models with a precompiled character map, with white space as suffix or with user-defined pieces raise ValueError.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import os
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -42,10 +47,11 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
-MEMO = 400_000          # segments kept per worker
-MEMO_CHARS = 32
-PAIRS = 2_000_000       # context verdicts kept per worker
-BATCH_IDS = 1_000_000
+CHUNK_SEGMENTS = 500_000   # segments of a chunk of documents
+CHUNK_CHARS = 8_000_000    # and characters
+STORE_SEGMENTS = 300_000   # encodings kept between chunks
+PAIRS = 2_000_000          # context verdicts kept per worker
+CHAR_BITS = 21
 INF = float("inf")
 
 
@@ -78,11 +84,9 @@ def _fields(b: bytes) -> Iterator[tuple[int, object]]:
 
 
 class Transducer:
-    """Normaliser, lexicon and context machine of one model file."""
+    """The compiled machines of one model file."""
 
-    def __init__(self, file: str):
-        with open(file, "rb") as f:
-            model = f.read()
+    def __init__(self, model: bytes):
         pieces, trainer, normaliser = [], {}, {}
         for n, v in _fields(model):
             if n == 1:
@@ -100,24 +104,71 @@ class Transducer:
         self.dummy, self.squeeze, self.escape = normaliser.get(3, 1), normaliser.get(4, 1), normaliser.get(5, 1)
         self.unk = [k for _, _, k in pieces].index(UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(pieces) if k == BYTE}
-        self.raw = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE
-                    else p.encode() for p, _, k in pieces]
+        self.size = len(pieces)
+        raw = [b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else bytes([int(p[3:5], 16)]) if k == BYTE
+               else p.encode() for p, _, k in pieces]
+        self.raw_at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        # symbols of paths: pieces by id, then characters outside the lexicon as they are met
         self.ids = {p: i for i, (p, _, k) in enumerate(pieces) if k == NORMAL}
+        self.text = [p for p, _, _ in pieces]
+        self.length = [len(p) for p in self.text]
         self.cost = {p: -s for p, s, k in pieces if k == NORMAL}
-        self.penalty = max(self.cost.values(), default=0.0) + UNK_PENALTY
-        # arcs by their first two characters (lengths of pieces, longest first) and by their last one
-        starts: dict[str, set] = {}
-        ends: dict[str, set] = {}
-        for p in self.ids:
-            if len(p) > 1:
-                starts.setdefault(p[:2], {1}).add(len(p))
-            ends.setdefault(p[-1], {1}).add(len(p))
-        self.starts = {c: sorted(n, reverse=True) for c, n in starts.items()}
-        self.ends = {c: sorted(n) for c, n in ends.items()}
+        self.weight = [np.float32(-s) for _, s, _ in pieces]
+        self.penalty = np.float32(max(self.cost.values(), default=0.0) + UNK_PENALTY)
+        self.emits: list[tuple[int, ...]] = [(i,) for i in range(self.size)]
+        self.chars: dict[str, int] = {p: i for p, i in self.ids.items() if len(p) == 1}
+        self.verdicts: dict[int, bool] = {}
         words = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.cut = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall if words and self.kind == BPE else lambda t: [t] if t else []
-        self.memo: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self._lexicon()
+
+    def _lexicon(self) -> None:
+        """The piece trie with failure arcs: arcs by (state, character), and by state the longest piece that ends there."""
+        arc: dict[int, int] = {}
+        below: list[list[tuple[int, int]]] = [[]]
+        own: dict[int, int] = {}
+        for p, i in self.ids.items():
+            if self.kind == BPE and not self._whole(p):
+                continue  # the context machine gives it no finite weight anywhere
+            s = 0
+            for c in map(ord, p):
+                n = arc.get(s << CHAR_BITS | c)
+                if n is None:
+                    n = arc[s << CHAR_BITS | c] = len(below)
+                    below[s].append((c, n))
+                    below.append([])
+                s = n
+            own[s] = i
+        fail, ends, self.shorter = [0] * len(below), [-1] * len(below), [-1] * self.size
+        level = [0]
+        while level:
+            deeper = []
+            for s in level:
+                for c, n in below[s]:
+                    f = fail[s]
+                    while f and f << CHAR_BITS | c not in arc:
+                        f = fail[f]
+                    fail[n] = arc.get(f << CHAR_BITS | c, 0) if s else 0
+                    i = own.get(n)
+                    if i is None:
+                        ends[n] = ends[fail[n]]
+                    else:
+                        ends[n], self.shorter[i] = i, ends[fail[n]]
+                    deeper.append(n)
+            level = deeper
+        self.arc, self.fail, self.ends = arc, fail, ends
+
+    def _char(self, c: str) -> int:
+        """Symbol of a single character: its piece, or a byte-fallback arc."""
+        got = self.chars.get(c)
+        if got is None:
+            got = self.chars[c] = len(self.text)
+            self.text.append(c)
+            self.length.append(1)
+            self.weight.append(self.penalty)
+            self.emits.append(tuple(self.bytes[b] for b in c.encode("utf-8", "surrogatepass")) if self.bytes else (self.unk,))
+        return got
 
     # normaliser machine
     def normalise(self, text: str) -> str:
@@ -132,13 +183,14 @@ class Transducer:
         return text.replace(" ", MARK) if self.escape else text
 
     # context machine
-    def stays(self, a: str, b: str) -> bool:
-        """Weight 0 (True) when merging ``a + b`` on its own ends in exactly these two pieces."""
-        got = self.pairs.get((a, b))
+    def stays(self, a: int, b: int) -> bool:
+        """Weight 0 (True) when merging the two symbols' characters on their own ends in exactly these two."""
+        key = a << 32 | b
+        got = self.verdicts.get(key)
         if got is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self._merge(a, b)
+            if len(self.verdicts) >= PAIRS:
+                self.verdicts.clear()
+            got = self.verdicts[key] = self._merge(self.text[a], self.text[b])
         return got
 
     def _merge(self, a: str, b: str) -> bool:
@@ -160,123 +212,220 @@ class Transducer:
                 costs[k] = get(s[k] + s[k + 1], INF)
         return left == 1 and len(s) == 2
 
-    # composition and shortest path
-    def _bpe_path(self, s: str) -> list[str]:
-        """The one path of finite weight. Arcs are followed depth first, long pieces first; a position
-        found to have no finite way on is dead, since only one path leads to a position."""
-        cost, starts, stays = self.cost, self.starts, self.stays
-        out: list[str] = []
-        dead: set[int] = set()
-        pos, size, cap = 0, len(s), len(s)  # cap: longest piece still to be tried here
-        while pos < size:
-            last = out[-1] if out else None
-            for n in starts.get(s[pos:pos + 2], (1,)):
-                if n > cap or pos + n in dead or n > size - pos:
-                    continue
-                p = s[pos:pos + n]
-                if n > 1 and p not in cost:
-                    continue
-                if (n == 1 or self._whole(p)) if last is None else stays(last, p):
-                    out.append(p)
-                    pos += n
-                    cap = size
-                    break
-            else:
-                dead.add(pos)
-                cap = len(out.pop()) - 1
-                pos -= cap + 1
-        return out
-
     def _whole(self, p: str) -> bool:
         """A piece stands alone when merging its characters gives it back."""
-        got = self.pairs.get((p, ""))
-        if got is None:
-            s, get = list(p), self.cost.get
-            while len(s) > 1:
-                c, k = min((get(s[i] + s[i + 1], INF), i) for i in range(len(s) - 1))
-                if c == INF:
-                    break
-                s[k:k + 2] = [s[k] + s[k + 1]]
-            got = self.pairs[p, ""] = len(s) == 1
-        return got
+        s, get = list(p), self.cost.get
+        while len(s) > 1:
+            c, k = min((get(s[i] + s[i + 1], INF), i) for i in range(len(s) - 1))
+            if c == INF:
+                return False
+            s[k:k + 2] = [s[k] + s[k + 1]]
+        return True
 
-    def _unigram_path(self, s: str) -> list[str]:
-        best, back = [0.0] + [INF] * len(s), [0] * (len(s) + 1)
-        for i in range(1, len(s) + 1):
-            for n in self.ends.get(s[i - 1], (1,)):
-                if n > i:
+    # composition and shortest path
+    def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all segments one after another, and where each begins (one place more than segments)."""
+        depth, char, home = insert(segments)
+        last, back = (self._context_paths if self.kind == BPE else self._cheapest_paths)(depth, char)
+        steps = [0] * len(last)
+        for n in range(1, len(last)):
+            steps[n] = steps[back[n]] + 1
+        last, back = np.array(last), np.array(back)
+        starts = np.concatenate([[0], np.cumsum(np.array(steps)[home])]).astype(np.int64)
+        path, node, end = np.empty(starts[-1], np.int64), home, starts[1:].copy()
+        while len(node):
+            alive = node > 0
+            node, end = node[alive], end[alive] - 1
+            path[end] = last[node]
+            node = back[node]
+        # symbols to ids: characters may write several
+        used, at = np.unique(path, return_inverse=True)
+        lens = np.array([len(self.emits[u]) for u in used.tolist()], np.int64)
+        table = np.array([i for u in used.tolist() for i in self.emits[u]], np.int32)
+        n = lens[at]
+        ends = np.cumsum(n)
+        first = (np.cumsum(lens) - lens)[at]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = table[np.repeat(first - (ends - n), n) + np.arange(total)]
+        return ids, np.concatenate([[0], ends])[starts]
+
+    def _context_paths(self, depth: list[int], char: list[str]) -> tuple[list[int], list[int]]:
+        """BPE: the symbol that the one path of finite weight ends with at every node, and the node where it begins."""
+        arc, fail, ends, shorter, length, verdicts, stays, one = (
+            self.arc, self.fail, self.ends, self.shorter, self.length, self.verdicts, self.stays, self.chars)
+        top = max(depth) + 1
+        state, symbol, path = [0] * top, [-1] * top, [0] * top
+        last, back = [0] * len(depth), [0] * len(depth)
+        for node in range(1, len(depth)):
+            d, c = depth[node], char[node]
+            s, o = state[d - 1], ord(c)
+            while (n := arc.get(s << CHAR_BITS | o)) is None and s:
+                s = fail[s]
+            state[d] = s = n or 0
+            t = ends[s]
+            while t >= 0:
+                e = d - length[t]
+                before = symbol[e]
+                if before < 0:
                     break
-                c = self.cost.get(s[i - n:i], self.penalty if n == 1 else INF)
-                if best[i - n] + c < best[i]:
-                    best[i], back[i] = best[i - n] + c, n
-        out, i = [], len(s)
-        while i:
-            out.append(s[i - back[i]:i])
-            i -= back[i]
-        return out[::-1]
-
-    def _segment(self, s: str) -> list[int]:
-        out = []
-        for p in self._bpe_path(s) if self.kind == BPE else self._unigram_path(s):
-            i = self.ids.get(p)
-            if i is not None:
-                out.append(i)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
-            elif not out or out[-1] != self.unk:
-                out.append(self.unk)
-        if len(s) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[s] = out
-        return out
+                good = verdicts.get(before << 32 | t)
+                if good is None:
+                    good = stays(before, t)
+                if good:
+                    break
+                t = shorter[t]
+            if t < 0:  # no piece ends here: the fallback arc of the character
+                t, e = one.get(c), d - 1
+                if t is None:
+                    t = self._char(c)
+            symbol[d] = last[node] = t
+            path[d] = node
+            back[node] = path[e]
+        return last, back
+
+    def _cheapest_paths(self, depth: list[int], char: list[str]) -> tuple[list[int], list[int]]:
+        """Unigram: the last symbol of the cheapest path to every node, and the node where it begins. Weights are added in
+        single precision, as the library does."""
+        arc, fail, ends, shorter, length, weight = self.arc, self.fail, self.ends, self.shorter, self.length, self.weight
+        top = max(depth) + 1
+        state, best, path = [0] * top, [np.float32(0)] * top, [0] * top
+        last, back = [0] * len(depth), [0] * len(depth)
+        for node in range(1, len(depth)):
+            d, c = depth[node], char[node]
+            s, o = state[d - 1], ord(c)
+            while (n := arc.get(s << CHAR_BITS | o)) is None and s:
+                s = fail[s]
+            state[d] = s = n or 0
+            t, least, alone = ends[s], None, False
+            while t >= 0:
+                w = best[d - length[t]] + weight[t]
+                if least is None or w < least:
+                    least, last[node] = w, t
+                alone = alone or length[t] == 1
+                t = shorter[t]
+            if not alone:
+                u = self._char(c)
+                w = best[d - 1] + weight[u]
+                if least is None or w < least:
+                    least, last[node] = w, u
+            best[d] = least
+            path[d] = node
+            back[node] = path[d - length[last[node]]]
+        return last, back
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        get = self.memo.get
-        for s in self.cut(self.normalise(text)):
-            got = get(s)
-            out += got if got is not None else self._segment(s)
-        return out
+        e = Encoder(self)
+        n = e.segments(text)
+        e.finish()
+        return e.ids_of(n).tolist()
+
+    def raw_of(self, ids: np.ndarray) -> bytes:
+        """The bytes of pieces one after another."""
+        n = self.raw_at[ids + 1] - self.raw_at[ids]
+        ends = np.cumsum(n)
+        return self.raw[np.repeat(self.raw_at[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """Pieces back to text: bytes joined as UTF-8, marker to blank, dummy prefix removed."""
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+        text = self.raw_of(np.array(ids, np.int64)).decode("utf-8", "replace")
         if self.escape:
             text = text.replace(MARK, " ")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
+def insert(segments: list[str]) -> tuple[list[int], list[str], np.ndarray]:
+    """The input automaton: depth and character of the nodes of a trie in depth first order (node 0 is the start), and
+    the node of every segment."""
+    depth, char, home = [0], [""], np.zeros(len(segments), np.int64)
+    path, before = [0], ""
+    for i in sorted(range(len(segments)), key=segments.__getitem__):
+        w = segments[i]
+        k, most = 0, min(len(before), len(w))
+        while k < most and before[k] == w[k]:
+            k += 1
+        del path[k + 1:]
+        for d in range(k, len(w)):
+            path.append(len(depth))
+            depth.append(d + 1)
+            char.append(w[d])
+        home[i], before = path[-1], w
+    return depth, char, home
+
+
+class Encoder:
+    """Segment numbers of documents, chunk by chunk, and the store of encodings with their round trips."""
+
+    def __init__(self, t: Transducer):
+        self.t = t
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.starts, self.back = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def segments(self, text: str) -> np.ndarray:
+        number = self.number
+        cut = self.t.cut(self.t.normalise(text))
+        return np.fromiter((number.setdefault(s, len(number)) for s in cut), np.int32, len(cut))
+
+    def finish(self) -> None:
+        """Encode the segments that came since the last call, and decode them again."""
+        new = list(self.number)[len(self.back):]
+        if new:
+            ids, starts = self.t.encode_segments(new)
+            raw, at = self.t.raw_of(ids.astype(np.int64)), np.concatenate([[0], np.cumsum(self.t.raw_at[ids + 1] - self.t.raw_at[ids])])[starts].tolist()
+            # a piece of a text is exact when its bytes are
+            back = np.array([raw[i:j] == s.encode("utf-8", "surrogatepass") for s, i, j in zip(new, at, at[1:])])
+            self.ids = np.concatenate([self.ids, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + starts[1:]])
+            self.back = np.concatenate([self.back, back])
+
+    def ids_of(self, segments: np.ndarray) -> np.ndarray:
+        n = self.starts[segments + 1] - self.starts[segments]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.starts[segments] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        if self.t.bytes or not len(ids):
+            return ids
+        unknown = ids == self.t.unk  # a run of unknown characters is one unknown piece
+        return ids[~unknown | np.append(True, ~unknown[:-1])]
+
+
 _LOADED: dict[str, Transducer] = {}
 
 
 def transducer(file: str) -> Transducer:
     """The compiled model of this worker process."""
     if file not in _LOADED:
-        _LOADED[file] = Transducer(file)
+        _LOADED.clear()
+        with open(file, "rb") as f:
+            _LOADED[file] = Transducer(f.read())
     return _LOADED[file]
 
 
 def _code(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(SparkFiles.get(name))
-        rows, size = [], 0
+        enc, held, total, chars = Encoder(transducer(SparkFiles.get(name))), [], 0, 0
 
         def out():
-            return pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int32())),
-                pa.array([r[2] for r in rows], pa.bool_())], names=["doc_id", "ids", "round_trip"])
+            enc.finish()
+            ids = [enc.ids_of(s) for _, s in held]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            batch = pa.RecordBatch.from_arrays([
+                pa.array([i for i, _ in held], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))),
+                pa.array([bool(enc.back[s].all()) for _, s in held])], names=["doc_id", "ids", "round_trip"])
+            held.clear()
+            if len(enc.number) > STORE_SEGMENTS or chars >= CHUNK_CHARS:
+                enc.clear()
+            return batch
 
         for doc_id, text in flat(batches):
-            ids = t.encode(text)
-            back = t.normalise(text).replace(MARK, " ")
-            rows.append((doc_id, ids, t.decode(ids) == (back[1:] if t.dummy else back)))
-            size += len(ids)
-            if size >= BATCH_IDS:
+            held.append((doc_id, enc.segments(text)))
+            total += len(held[-1][1]) + 1
+            chars += len(text)
+            if total >= CHUNK_SEGMENTS or chars >= CHUNK_CHARS:
                 yield out()
-                rows, size = [], 0
-        if rows:
+                total = chars = 0
+        if held:
             yield out()
     return run
 
