@@ -105,6 +105,13 @@ def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
     return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
 
 
+def _bytes_seen(batches):
+    """Distinct byte values of a batch of words."""
+    for b in batches:
+        raw = "".join(b.column(0).to_pylist()).encode()
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(raw, np.uint8)).astype(np.int32))], names=["b"])
+
+
 def _start(byte_ids: np.ndarray):
     def run(batches):
         """Words as byte symbols; words of one byte only feed the alphabet."""
@@ -210,7 +217,7 @@ def settle(fragments: list[tuple[list[int], int]], last: tuple[int, int, int], v
 
 
 def train_bpe(words: DataFrame, vocab_size: int = S.VOCAB_SIZE, specials: list[str] | None = None, *, candidates: int = 8192,
-              fragment_symbols: int = 2_000_000, max_rounds: int | None = None, state: str | None = None,
+              fragment_symbols: int = 500_000, max_rounds: int | None = None, state: str | None = None,
               verbose: bool = False, rows_per_part: int = 250_000) -> BpeModel:
     """K4: train on ``words(word, freq)``; returns the model (bounded by ``vocab_size``).
 
@@ -229,7 +236,7 @@ def train_bpe(words: DataFrame, vocab_size: int = S.VOCAB_SIZE, specials: list[s
     t0 = time.time()
     if done is None:
         w = words.where(F.col("word").isNotNull() & (F.length("word") > 0)).select("word", "freq")
-        seen = sorted(r[0] for r in w.select(F.explode(utf8_bytes("word"))).distinct().collect())  # <= 256 values
+        seen = sorted(r["b"] for r in w.mapInArrow(_bytes_seen, "b int").distinct().collect())  # <= 256 values
         vocab = list(specials)
         for g in sorted(GLYPHS[b] for b in seen):
             if g not in vocab:
@@ -238,11 +245,12 @@ def train_bpe(words: DataFrame, vocab_size: int = S.VOCAB_SIZE, specials: list[s
         byte_ids[seen] = [vocab.index(GLYPHS[b]) for b in seen]
         parts = max(spark.sparkContext.defaultParallelism, -(-words.count() // rows_per_part))
         w.repartition(parts).mapInArrow(_start(byte_ids), _WORDS).write.parquet(log.words(0))
-        log.add(0, [(-1, -1, i) for i in range(len(vocab))], vocab)
+        if state:
+            log.add(0, [(-1, -1, i) for i in range(len(vocab))], vocab)
         done = vocab, [], 0
     vocab, merges, rounds = done
     tok2id = {t: i for i, t in reversed(list(enumerate(vocab)))}
-    first, take = rounds, min(candidates, 256)
+    first, take = rounds, min(candidates, 128)
     while len(vocab) < vocab_size and (max_rounds is None or rounds - first < max_rounds):
         cur = spark.read.schema(_WORDS).parquet(log.words(rounds))
         pairs = cur.mapInArrow(_count_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -253,7 +261,8 @@ def train_bpe(words: DataFrame, vocab_size: int = S.VOCAB_SIZE, specials: list[s
         batch, take = _learn(cur, top, take, fragment_symbols, vocab, tok2id, vocab_size)
         rounds += 1
         cur.mapInArrow(_apply(batch), _WORDS).write.parquet(log.words(rounds))
-        log.add(rounds, batch, vocab)
+        if state:
+            log.add(rounds, batch, vocab)
         merges += batch
         if rounds > 1 and state is None:
             drop_path(spark, log.words(rounds - 2))
@@ -274,7 +283,7 @@ def _learn(cur: DataFrame, top: list[tuple[int, int, int]], take: int, most: int
             size = found.agg(F.sum(F.length("fragment"))).first()[0] // 4
             if size <= most:
                 got = [(np.frombuffer(r["fragment"], np.int32).tolist(), r["n"]) for r in found.collect()]
-                return settle(got, some[-1], vocab, tok2id, vocab_size), min(take * 2, len(top)) if 3 * size < most else take
+                return settle(got, some[-1], vocab, tok2id, vocab_size), min(take * 4, max(len(top), 1)) if 3 * size < most else take
         finally:
             found.unpersist()
         if take == 1:  # runs of one symbol in very many lengths: the first pair is certain without them
