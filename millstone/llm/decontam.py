@@ -34,6 +34,7 @@ import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -161,13 +162,14 @@ class Index:
         self.block = max(block, -(-n // BLOCKS))
         self.block_top = np.zeros((len(self.terms) + 1, n // self.block + 1), np.float32)
         np.maximum.at(self.block_top, (term, seg // self.block), impact)
+        self.block_at = self.seg // self.block
         self.n = n
 
     def retrieve(self, terms: np.ndarray, good: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """(segment, score) of the segments in good blocks scoring at least ``threshold`` against distinct terms."""
         size = self.at[terms + 1] - self.at[terms]
         p = np.arange(int(size.sum())) + np.repeat(self.at[terms] - np.cumsum(size) + size, size)
-        p = p[good[self.seg[p] // self.block]]
+        p = p[good[self.block_at[p]]]
         s = np.bincount(self.seg[p], self.impact[p], self.n)
         return [(int(i), float(s[i])) for i in np.flatnonzero(s >= threshold - 1e-9)]
 
@@ -194,8 +196,7 @@ class Index:
         w = words(text)
         if not w or not self.n:
             return []
-        get = self.terms.get
-        t = np.fromiter((get(x, 0) for x in w), np.int64, len(w))
+        t = np.fromiter(map(self.terms.get, w, repeat(0)), np.int64, len(w))
         hits: dict[int, dict[tuple[int, int], float]] = {}
         for start, terms, good in self.passages(t, threshold):
             for seg, score in self.retrieve(terms, good, threshold):
