@@ -5,7 +5,7 @@ Two models, one of toxic and one of ordinary text, differ only where the sample
     shared words  P(w)      continuation counts of both classes (distinct words before w), plus one half
     class words   P_c(w)    = (n_c(w) - D - EXCESS * N_c (n_o(w) + 1/2) / N_o)+ / N_c + g_c P(w)
                               n_c(w), N_c: continuation counts of class c and their sum; o: the other class
-    class pairs   P_c(w|v)  = (c(vw) - D)+ / c(v) + g(v) P_c(w)        c: token counts of both classes
+    class pairs   P_c(w|v)  = (c(vw) - D)+ / c(v) + g(v) P_c(w)        c: token counts of both classes; D = 1 where c(vw) = 1
 
 g are the weights that make each a distribution. The discounts D of every order follow from its counts of counts (one each for counts of 1, 2, and 3 or
 more). Of its words a class keeps what goes beyond the discount and beyond a multiple of the other class's share; the rest falls
@@ -166,7 +166,8 @@ class Counts:
         context = np.bincount(v, both, n)
         shared = np.append(np.bincount(w[both > 0], minlength=n), 0) + 0.5
         shared = shared / shared.sum()
-        top = _left(both) / np.maximum(context, 1)[v]
+        # a pair seen once says nothing, or the documents of the sample would be told apart by their own pairs
+        top = np.where(both == 1, 0, _left(both)) / np.maximum(context, 1)[v]
         rest = 1 - np.minimum(np.bincount(v, top, n), 1 - 1e-6)
         word, pair = np.zeros(n + 1), np.zeros(len(v))
         for k, sign in ((0, -1), (1, 1)):

@@ -219,7 +219,8 @@ def test_toxicity_counts_every_word_of_the_sample(spark):
         return lambda c: max(c - disc[min(c, 3)], 0)
 
     total, size = sum(shared.values()) + 0.5 * (len(shared) + 2), [sum(c.values()) for c in cont]  # the start and the unknown word
-    cuts, both_cut = [cut(c) for c in cont], cut(both)
+    cuts, most = [cut(c) for c in cont], cut(both)
+    both_cut = lambda c: most(c) if c > 1 else 0
     own = [{w: max(cuts[y](cont[y][w]) - toxicity.EXCESS * size[y] * (cont[1 - y][w] + 0.5) / size[1 - y], 0) / size[y] for w in shared} for y in (0, 1)]
     after = Counter()
     for (v, _), c in both.items():
@@ -619,7 +620,11 @@ def test_pipeline_stages(spark, tmp_path):
     bad = [c + " vile1 and vile2 vile1" for c in (_words(rnd, 80, 10 ** 6) for _ in range(40))]
     rows = [*enumerate(clean), *[(100 + k, t) for k, t in enumerate(bad)], *[(200 + k, clean[k]) for k in range(10)],
             *[(300 + k, _words(rnd, 200, 10 ** 6) + " " + passage) for k in range(3)], (400, clean[0] + " " + item + " tail"), (500, None), (500, None)]
-    out = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    short = _words(rnd, 51, 900)  # a passage of 51 words, about 300 bytes, in two documents
+    rows += [(310 + k, " ".join([_words(rnd, 150, 10 ** 6), short, _words(rnd, 150, 10 ** 6)])) for k in range(2)]
+    # extra columns of any name are carried along
+    out = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x", 2.0) for i, t in rows],
+                                "doc_id long, text string, lang string, source string, n_chars long, k int, key string, cuts double")
     sf = str(tmp_path)
     out.write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(i, 1, int(100 <= i < 200)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
@@ -635,4 +640,6 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(range(1, 60)) <= set(rest) and not {i for i in rest if 100 <= i < 300 or i == 400}
     assert all(rest[i].text == clean[i] and rest[i].n_chars == len(clean[i]) for i in range(1, 60)) and docs.where("doc_id = 500").count() == 1
     assert all(passage[30:] not in rest[300 + k].text and rest[300 + k].n_chars == len(rest[300 + k].text) for k in range(3))
+    assert all(short[7:-7] not in rest[310 + k].text and len(rest[310 + k].text) > 2000 for k in range(2))
+    assert {(r.k, r.key, r.cuts) for r in rest.values()} == {(1, "x", 2.0)}
     assert {r.doc_id for r in p.run(spark, sf).collect()} == set(rest)
