@@ -45,7 +45,7 @@ from millstone.llm.common import (arrow_rows, chunk_label, flat, key_bucket, mat
 LENGTH = 400
 W = 16
 CHUNK_BYTES = 8 << 20
-SLAB = 2 << 20
+SLAB = 1 << 20
 KEYS_PER_RANGE = 4_000_000
 
 _RNG = np.random.default_rng(20240521)
@@ -97,10 +97,8 @@ class Slab:
 
     def __init__(self, doc: np.ndarray, lo: int, hi: int, length: int):
         self.length, self.off = length, lo
-        b = doc[lo:hi + length - 1]
-        power, self.inverse = _powers(len(b))
-        self.sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_T64[b] * power[:len(b)], out=self.sums[1:])
+        self.b = b = doc[lo:hi + length - 1]
+        sums = self._sums()  # eight bytes a byte: not kept, the slabs of a whole chunk are held at once
         e, last = phrase_ends(b, period_bits(length)), hi - lo
         cuts = np.concatenate([[0], e - W + 2, e - length + 1])
         self.start = s = np.unique(cuts[(cuts >= 0) & (cuts < last)])
@@ -110,19 +108,27 @@ class Slab:
         self.inner = first < final
         self.at = np.flatnonzero(self.inner)
         f, z = e[first[self.at]], e[final[self.at]]
-        self.inner_keys = self._hash(f - W + 1, z + 1, 1)
-        self.outer_keys = self._hash(s[self.at], self.end[self.at] - 1 + length, 2)
+        self.inner_keys = self._hash(sums, f - W + 1, z + 1, 1)
+        self.outer_keys = self._hash(sums, s[self.at], self.end[self.at] - 1 + length, 2)
 
-    def _hash(self, s: np.ndarray, e: np.ndarray, kind: int) -> np.ndarray:
-        h = (self.sums[e] - self.sums[s]) * self.inverse[s]
+    def _sums(self) -> np.ndarray:
+        """Prefix sums of the polynomial hash."""
+        sums = np.zeros(len(self.b) + 1, np.uint64)
+        np.cumsum(_T64[self.b] * _powers(len(self.b))[0][:len(self.b)], out=sums[1:])
+        return sums
+
+    def _hash(self, sums: np.ndarray, s: np.ndarray, e: np.ndarray, kind: int) -> np.ndarray:
+        h = (sums[e] - sums[s]) * _powers(len(self.b))[1][s]
         return mix64(mix64(h + np.uint64(kind)) ^ (e - s).astype(np.uint64))
 
     def strings(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts, keys) of every string of the marked runs."""
+        if not runs.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         size = (self.end - self.start)[runs]
         first = np.cumsum(size) - size
         at = np.arange(int(size.sum())) + np.repeat(self.start[runs] - first, size)
-        return at, self._hash(at, at + self.length, 3)
+        return at, self._hash(self._sums(), at, at + self.length, 3)
 
 
 def slabs(doc: np.ndarray, length: int) -> Iterator[Slab]:
