@@ -44,7 +44,7 @@ STEP = 20
 TOLERANCE = 1e-9
 BLOCK = 512
 SETS_PER_TASK = 1000
-HUBS, HUB_EDGES, SALTS = 10_000, 500, 32
+HUBS, HUB_EDGES, SALTS = 200, 1000, 32
 SEEN = 500_000  # sets a task remembers to have sent
 _RNG = np.random.default_rng(20240613)
 _MUL = (_RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -125,10 +125,10 @@ def components(edges: DataFrame, name: str, a: str = "a", b: str = "b") -> DataF
     mark = _fingerprint(e)
     while True:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_lowest(both.where("v > u"), low, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = (_with_lowest(large, low, mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = _with_lowest(both.where("v > u"), low, _hubs(e, mark[0])).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                  .unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         e = materialize(small, name)
         before, mark = mark, _fingerprint(e)
@@ -137,15 +137,19 @@ def components(edges: DataFrame, name: str, a: str = "a", b: str = "b") -> DataF
                 e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _with_lowest(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
-    """Edges (u, v) with the m of their u. A node of more than a ``HUBS``-th of all edges (and ``HUB_EDGES``) is a hub; there are at
-    most 2 * HUBS of these, so their list is broadcast, their edges are dealt into parts and their rows of ``low`` copied to each."""
-    least = max(HUB_EDGES, n_edges // HUBS)
-    hubs = low.where(F.col("n") > least).select(F.col("u").alias("hub"))
-    part = F.when(F.col("hub").isNotNull(), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int")
-    dealt = edges.join(F.broadcast(hubs), F.col("u") == F.col("hub"), "left").select("u", "v", part.alias("part"))
-    parts = F.when(F.col("n") > least, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    copies = low.select(F.col("u").alias("w"), "m", F.explode(parts).alias("p"))
+def _hubs(e: DataFrame, n_edges: int) -> list[int]:
+    """Nodes that are the smaller end of more than one in ``HUBS`` of all edges (and of ``HUB_EDGES``): at most HUBS of them."""
+    many = e.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > max(HUB_EDGES, n_edges // HUBS))
+    return sorted(r["v"] for r in many.select("v").collect())
+
+
+def _with_lowest(edges: DataFrame, low: DataFrame, hubs: list[int]) -> DataFrame:
+    """Edges (u, v) with the m of their u. Edges of hubs are dealt into parts, their rows of ``low`` copied to each."""
+    if not hubs:
+        return edges.join(low, "u")
+    dealt = edges.withColumn("part", F.when(F.col("u").isin(hubs), F.pmod(F.xxhash64("v"), F.lit(SALTS))).otherwise(0).cast("int"))
+    parts = F.when(F.col("w").isin(hubs), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = low.select(F.col("u").alias("w"), "m").select("w", "m", F.explode(parts).alias("p"))
     return dealt.join(copies, (F.col("u") == F.col("w")) & (F.col("part") == F.col("p"))).select("u", "v", "m")
 
 

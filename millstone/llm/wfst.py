@@ -49,8 +49,8 @@ UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
 CHUNK_SEGMENTS = 500_000   # segments of a chunk of documents
 CHUNK_CHARS = 8_000_000    # and characters
-STORE_SEGMENTS = 300_000   # encodings kept between chunks
-PAIRS = 2_000_000          # context verdicts kept per worker
+STORE_SEGMENTS = 200_000   # encodings kept between chunks
+PAIRS = 400_000            # context verdicts kept per worker
 CHAR_BITS = 21
 INF = float("inf")
 
