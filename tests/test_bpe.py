@@ -173,3 +173,62 @@ def test_tokenizer_file_of_the_library(spark, tmp_path):
     assert HT.from_str(tokenizer_json(m, decoder=False)).decode([20, 30]) == glyphs
     with pytest.raises(ValueError):
         model_of_json('{"model": {"type": "WordPiece"}}')
+
+
+def test_columns_of_a_codec_equal_its_words_and_rows(monkeypatch):
+    """Arrow columns in slices give what the plain helpers give, and a repeated word is merged once."""
+    import random
+
+    import pyarrow as pa
+
+    from millstone.functions import bpe_codec
+    from millstone.functions.bytelevel import GLYPHS
+
+    monkeypatch.setattr(bpe_codec, "SLICE", 7)
+    vocab = ["[UNK]", "<|e|>", *sorted(GLYPHS), "th"]
+    codec = bpe_codec.Codec(vocab, [(vocab.index("t"), vocab.index("h"), len(vocab) - 1)], ["[UNK]", "<|e|>"])
+    rnd = random.Random(1)
+    rows = [None if k % 11 == 0 else [rnd.choice(["the", "<|e|>", " é", "q", "", "thth"]) for _ in range(rnd.randrange(9))] for k in range(150)]
+    ids = codec.encode_column(pa.array(rows, pa.list_(pa.string())))
+    assert ids.to_pylist() == [None if r is None else codec.encode(r) for r in rows]
+    assert codec.decode_column(ids).to_pylist() == [None if r is None else "".join(r) for r in rows]
+    odd = ids.to_pylist() + [[rnd.randrange(-2, len(vocab) + 3) for _ in range(rnd.randrange(9))] for _ in range(150)]
+    col = pa.array(odd, pa.list_(pa.int32()))
+    for got, plain in ((codec.decode_column, codec.decode), (codec.tokens_column, codec.tokens),
+                       (codec.raw_column, lambda r: codec.decode(r, raw=True))):
+        assert got(col).to_pylist() == [None if r is None else plain(r) for r in odd]
+    seen = []
+    plain = codec.encode_word
+    monkeypatch.setattr(codec, "encode_word", lambda w: seen.append(w) or plain(w))
+    monkeypatch.setattr(bpe_codec, "SLICE", 1000)
+    codec.encode_column(pa.array([["the"] * 50] * 10, pa.list_(pa.string())))
+    assert seen == ["the"]
+
+
+def test_texts_are_encoded_once_in_a_roundtrip(spark):
+    """One evaluation of the encoder, whatever is made of the ids."""
+    m = train_bpe(word_counts(spark.createDataFrame([("the other then",)], "text string")), 30)
+    r = Tokenizer(m).roundtrip(spark.createDataFrame([(1, "the then"), (2, None)], "doc_id int, text string"))
+    assert r._jdf.queryExecution().optimizedPlan().toString().count("encode_udf(") == 1
+    assert {(x.doc_id, x.decoded, x.ok) for x in r.collect()} == {(1, "the then", True), (2, None, None)}
+
+
+def test_merging_many_words_equals_one_by_one():
+    import random
+
+    import numpy as np
+
+    from millstone.operators.bpe import PAIR_BITS, merge_words
+
+    rnd = random.Random(5)
+    merges = [(1, 1, 5), (1, 2, 6), (5, 5, 7), (6, 1, 8), (3, 3, 9), (9, 3, 10), (7, 1, 11), (2, 2, 1)]
+    ranks = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges)}
+    words = [[rnd.randrange(1, 5) for _ in range(rnd.randrange(1, 30))] for _ in range(300)] + [[1] * 31, [3] * 9]
+    pairs = np.array([a << PAIR_BITS | b for a, b, _ in merges], np.int64)
+    o = np.argsort(pairs)
+    got = [None] * len(words)
+    for which, flat, size in merge_words(np.array([s for w in words for s in w], np.int32), np.array([len(w) for w in words]),
+                                         pairs[o], o, np.array([c for *_, c in merges], np.int32)[o]):
+        for k, part in zip(which.tolist(), np.split(flat, np.cumsum(size)[:-1])):
+            got[k] = part.tolist()
+    assert got == [merge_word(w, ranks) for w in words]
