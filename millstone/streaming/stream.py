@@ -2,9 +2,9 @@
 
 J1 is stateless: the same Column expressions as the batch job plus fixed
 thresholds (a map literal), so each micro-batch is a plain projection and
-filter. J2/J3 carry per-shard state across micro-batches with
-``transformWithState`` in RocksDB: the open group's rows, appended as they come (J2), or the token
-remainder shorter than one sequence (J3).
+filter. J2 carries the open group's rows of a shard, appended as they come, across micro-batches with
+``transformWithState`` in RocksDB. J3 packs each micro-batch as a table and carries the token
+remainder shorter than one sequence in a small table per batch.
 
 Order precondition: inside a micro-batch rows are sorted by the order key;
 across micro-batches the order is file arrival order.
@@ -14,15 +14,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millstone import settings as S
+from millstone.operators.order import running_sum
+from millstone.operators.packing import cut, gather
 from millstone.operators.quality import quality_filter
 from millstone.plans.prepare import clean_and_score
-from millstone.session import scratch_path, ship_package
+from millstone.session import materialize, path_exists, scratch_path, ship_package
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -40,14 +43,16 @@ def stream_filter(stream: DataFrame, thresholds: dict[str, float], prof: S.LangP
     return quality_filter(clean_and_score(stream, syn, prof), thresholds)
 
 
-def run_to_table(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame over everything available
+def run_to_table(df: DataFrame | PackedStream, name: str, output_mode: str = "append") -> DataFrame:
+    """Run a stream over everything available
     (``trigger(availableNow=True)``) into Parquet under the shared checkpoint
     folder, with its own checkpoint location, and return the written table."""
-    spark = df.sparkSession
+    spark = (df.rows if isinstance(df, PackedStream) else df).sparkSession
     name = f"{name}-{uuid.uuid4().hex[:12]}"  # a second run must not add to the first one's table
     out = scratch_path(spark, f"millstone/stream-{name}")
     ckpt = scratch_path(spark, f"millstone/stream-{name}-ckpt")
+    if isinstance(df, PackedStream):
+        return df.run(out, f"{out}-state", ckpt)
     q = (df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
          .outputMode(output_mode).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -132,43 +137,65 @@ def group_stream(stream: DataFrame, shard: str, order: str, text_col: str = "tex
 
 # ------------------------------------------------------------------ J3
 
+_KEYS = ["shard", "sub_shard"]
+_P_STATE = "shard long, sub_shard int, next_seq long, carry array<int>"
 _P_OUT = "shard long, sub_shard int, seq_id long, ids array<int>"
 
 
-class PackProcessor(StatefulProcessor):
-    """Tokens of a shard that do not fill a sequence yet."""
-
-    def __init__(self, context_len: int, eos_id: int):
-        self.context_len, self.eos_id = context_len, eos_id
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.carry = handle.getValueState("carry", "ids array<int>, next_seq long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        carry, next_seq = self.carry.get() if self.carry.exists() else ([], 0)
-        carry, length = list(carry), self.context_len
-        for r in sorted(rows, key=lambda r: r.ord):
-            carry += [*(r.ids or ()), self.eos_id]
-            full = len(carry) - len(carry) % length
-            for i in range(0, full, length):
-                yield Row(shard=key[0], sub_shard=key[1], seq_id=next_seq, ids=carry[i:i + length])
-                next_seq += 1
-            del carry[:full]
-        self.carry.update((carry, next_seq))
-
-    def close(self) -> None:
-        pass
+@dataclass(frozen=True)
+class PackedStream:
+    """A stream of (shard, sub_shard, ord, ids) to be packed batch by batch.
+
+    A micro-batch is packed like a table: token offsets from a prefix sum within the shard, slices gathered per sequence, so neither a shard
+    nor its tokens meet in one task. Each batch writes its sequences and, per shard, the remainder and the next
+    number as tables of its own; a batch that is run again writes the same tables again."""
+
+    rows: DataFrame
+    context_len: int
+    eos_id: int
+    sub_shards: int
+
+    def run(self, out: str, state: str, checkpoint: str) -> DataFrame:
+        spark = self.rows.sparkSession
+        (self.rows.writeStream.foreachBatch(self.pack_into(out, state)).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start()).awaitTermination()
+        done = spark.read.schema(f"{_P_OUT}, batch long").parquet(out) if path_exists(spark, out) else spark.createDataFrame([], _P_OUT)
+        return done.drop("batch", *([] if self.sub_shards > 1 else ["sub_shard"]))
+
+    def pack_into(self, out: str, state: str):
+        """A ``foreachBatch`` function that packs a batch after the remainders of the batch before."""
+        L = self.context_len
+
+        def pack_batch(batch: DataFrame, n: int) -> None:
+            spark, before = batch.sparkSession, f"{state}/batch-{n - 1:09d}"
+            held = spark.read.schema(_P_STATE).parquet(before) if n and path_exists(spark, before) else spark.createDataFrame([], _P_STATE)
+            tok = F.array_append(F.coalesce("ids", F.array().cast("array<int>")), F.lit(self.eos_id).cast("int"))
+            x = materialize(batch.select(*_KEYS, "ord", tok.alias("_tok")).withColumn("_n", F.size("_tok").cast("bigint")), "pack")
+            x = running_sum(x, ["ord"], "_start", _KEYS, weight=F.col("_n"))
+            # a row's place counts from the shard's first sequence of this batch, the remainder's first token
+            at = held.select(F.col("shard").alias("_s"), F.col("sub_shard").alias("_d"), "next_seq", F.size("carry").alias("_c"))
+            same = F.col("shard").eqNullSafe(F.col("_s")) & F.col("sub_shard").eqNullSafe(F.col("_d"))
+            x = x.join(F.broadcast(at), same, "left").drop("_s", "_d")
+            x = x.withColumn("_start", F.col("_start") + F.coalesce("_c", F.lit(0)) + F.coalesce("next_seq", F.lit(0)) * L)
+            first = held.select(*_KEYS, F.col("next_seq").alias("seq_id"),
+                                F.struct(F.lit(-1).cast("bigint").alias("lo"), F.col("carry").alias("piece")).alias("_pc"))
+            packed = materialize(gather(cut(x, _KEYS, L).unionByName(first), _KEYS), "packed")
+            full = F.size("ids") == L
+            packed.where(full).write.mode("overwrite").parquet(f"{out}/batch={n}")
+            (packed.groupBy(*_KEYS).agg(F.max(F.col("seq_id") + full.cast("int")).alias("next_seq"),
+                                        F.flatten(F.collect_list(F.when(~full, F.col("ids")))).alias("carry"))
+             .write.mode("overwrite").parquet(f"{state}/batch-{n:09d}"))
+        return pack_batch
 
 
 def pack_stream(stream: DataFrame, shard: str, order: str, ids_col: str,
-                context_len: int, eos_id: int, sub_shards: int = 1) -> DataFrame:
+                context_len: int, eos_id: int, sub_shards: int = 1) -> PackedStream:
     """J3 = G2 per shard on a stream; the remainder (< context_len tokens)
     waits in state for the shard's next documents. With ``sub_shards`` the documents of a shard are dealt by the hash of
-    their order key to that many independent packers, so a source with much of the stream is not one task."""
+    their order key to that many independent packers. ``run_to_table`` runs it."""
     x = stream.select(F.col(shard).cast("long").alias("shard"), F.pmod(F.xxhash64(order), F.lit(int(sub_shards))).cast("int").alias("sub_shard"),
                       F.col(order).cast("long").alias("ord"), F.col(ids_col).cast("array<int>").alias("ids"))
-    out = _with_state(x, ["shard", "sub_shard"], PackProcessor(int(context_len), int(eos_id)), _P_OUT, "none")
-    return out.drop("sub_shard") if sub_shards == 1 else out
+    return PackedStream(x, int(context_len), int(eos_id), int(sub_shards))
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",

@@ -112,3 +112,19 @@ def test_sub_shards_pack_what_one_packer_packs(spark, tmp_path):
     want = pack(dealt, "ids", ["ord"], 6, 999, partition_cols=["shard", "sub_shard"]).collect()
     key = lambda r: (r.sub_shard, r.seq_id, list(r.ids))
     assert sorted(map(key, got)) == sorted(map(key, want)) and len({r.sub_shard for r in got}) == 4
+
+
+def test_packing_a_batch_needs_no_shard_in_one_task(spark, tmp_path):
+    """Remainders pass from batch to batch, shards without new rows and null shards included; null ids are an empty document."""
+    first = [(1, 0, [1, 2, 3]), (1, 1, None), (2, 0, [7]), (None, 5, [8, 8])]
+    second = [(1, 2, [4] * 9), (None, 6, [9])]
+    d, kind = str(tmp_path / "in"), "shard long, ord long, ids array<int>"
+    for rows in (first, second, [(2, 1, [6, 6])]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(d)
+        time.sleep(1.1)
+    st = file_stream(spark, d, kind, max_files_per_trigger=1)
+    packed = pack_stream(st, "shard", "ord", "ids", 4, 0)
+    assert not hasattr(packed, "collect")  # no stateful Python operator that takes a whole shard of a batch
+    got = run_to_table(packed, "t-batches").collect()
+    assert sorted(((r.shard or 0, r.seq_id, list(r.ids)) for r in got)) == [
+        (0, 0, [8, 8, 0, 9]), (1, 0, [1, 2, 3, 0]), (1, 1, [0, 4, 4, 4]), (1, 2, [4, 4, 4, 4]), (2, 0, [7, 0, 6, 6])]
