@@ -81,8 +81,9 @@ SELECT shard, seq_id, array_to_string(ids, ' ') AS ids FROM packed""")(_j3)
 def _e2_stream(spark, sf):
     """Documents that arrive as files, cleaned and scored on the way; thresholds after the last batch."""
     d = scratch_path(spark, f"millstone/e2-in-{uuid.uuid4().hex[:8]}")
-    read_table(spark, sf, "documents").select("doc_id", "source", "text").repartition(6, "doc_id").write.parquet(d)
-    stream = file_stream(spark, d, spark.read.parquet(d).schema, max_files_per_trigger=2)
+    cores = max(2, spark.sparkContext.defaultParallelism)  # three batches, a file for every core in each
+    read_table(spark, sf, "documents").select("doc_id", "source", "text").repartition(3 * cores, "doc_id").write.parquet(d)
+    stream = file_stream(spark, d, spark.read.parquet(d).schema, max_files_per_trigger=cores)
     state = scratch_path(spark, f"millstone/e2-{uuid.uuid4().hex[:8]}")
     return stream_thresholds(spark, state, sample_stream(clean_and_score(stream, False, "latin"), state))
 

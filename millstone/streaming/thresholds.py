@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millstone import settings as S
 from millstone.operators.quality import sample_per_source, source_thresholds
-from millstone.session import path_exists
+from millstone.session import materialize, path_exists
 
 COLUMNS = ["source", "doc_id", "score"]
 
@@ -25,7 +25,7 @@ def merge_into(state: str, sample_size: int = S.SAMPLE_SIZE, seed: int = S.SEED)
     """A ``foreachBatch`` function that keeps the samples of a scored stream (source, doc_id, score) under ``state``."""
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(COLUMNS).where("score IS NOT NULL")
+        rows = materialize(batch.select(COLUMNS).where("score IS NOT NULL"), "scores")  # cleaned and scored once
         if n and path_exists(spark, _batch(state, n - 1)):
             rows = rows.unionByName(spark.read.parquet(_batch(state, n - 1)))
         sample_per_source(rows, sample_size, seed).select(COLUMNS).write.mode("overwrite").parquet(_batch(state, n))
