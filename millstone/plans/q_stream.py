@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from millstone import settings as S
 from millstone.operators.packing import codepoint_tokens
-from millstone.operators.quality import collect_thresholds, min_length, source_thresholds
+from millstone.operators.quality import collect_thresholds, min_length, sample_per_source, source_thresholds
 from millstone.plans import q_order
 from millstone.plans.prepare import clean_and_score, prepare
 from millstone.plans.registry import ORACLES, register
-from millstone.session import scratch_path
+from millstone.session import materialize, scratch_path
 from millstone.sources.tables import read_table
 from millstone.streaming.thresholds import sample_stream, stream_thresholds
 from millstone.streaming.stream import file_stream, group_stream, pack_stream, run_to_table, stream_filter
@@ -22,8 +22,11 @@ END = "\u0000<end-of-input>"
 
 
 def _j1(spark, sf):
-    # thresholds need a full sample: a batch job, fixed before the stream runs
-    prepared = prepare(read_table(spark, sf, "documents").select("doc_id", "source", "text"), (), "latin")
+    # thresholds need a full sample: a batch job, fixed before the stream runs. A text has a score unless it is null, so the
+    # sample is drawn first and only its rows are cleaned and scored.
+    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text").where("text IS NOT NULL")
+    sample = sample_per_source(docs, S.SAMPLE_SIZE, S.SEED).drop("sample_rank")
+    prepared = prepare(materialize(sample, "sample"), (), "latin")
     th = collect_thresholds(source_thresholds(prepared, None, 0.3, S.SAMPLE_SIZE, S.SEED))
     src = f"{sf}/documents.parquet"
     schema = spark.read.parquet(src).schema
