@@ -24,8 +24,12 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
+
+from millstone.session import materialize
 
 BLOCK_ROWS = 512
+RANGE_IDS = 1 << 24  # 64 MB of ids for one task
 SCHEMA = "seq_id bigint, ids array<int>"
 _ARROW = pa.schema([("seq_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 MANIFEST = "manifest.json"
@@ -183,12 +187,19 @@ def register_store(spark: SparkSession) -> None:
     spark.dataSource.register(SequenceStore)
 
 
+def range_count(seqs: DataFrame) -> int:
+    """Ranges of at most about ``RANGE_IDS`` ids each, and one per core at least."""
+    ids = seqs.agg(F.sum(F.size("ids").cast("bigint"))).first()[0] or 0
+    return max(1, seqs.sparkSession.sparkContext.defaultParallelism, -(-ids // RANGE_IDS))
+
+
 def write_store(seqs: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> str:
-    """Write ``(seq_id, ids)`` as a store at ``path``: range-partitioned and sorted, one file per task."""
+    """Write ``(seq_id, ids)`` as a store at ``path``: range-partitioned and sorted, one file per task. Sequences are
+    made once, for the number and the bounds of the ranges and for the files."""
     spark = seqs.sparkSession
     register_store(spark)
-    n = partitions or max(1, spark.sparkContext.defaultParallelism)
-    (seqs.select("seq_id", "ids").repartitionByRange(n, "seq_id").sortWithinPartitions("seq_id")
+    seqs = materialize(seqs.select("seq_id", "ids"), "sequences")
+    (seqs.repartitionByRange(partitions or range_count(seqs), "seq_id").sortWithinPartitions("seq_id")
      .write.format("packed_sequences").mode(mode).save(path))
     return path
 

@@ -59,3 +59,17 @@ def test_failed_attempts_leave_no_rows(tmp_path):
     lost = w2.write(iter([batch(3000, 3010)]))
     w2.abort([lost, None])
     assert not os.path.exists(f"{path}/{lost.file}") and len(store.read_manifest(path)) == 2
+
+
+def test_ranges_of_a_store_grow_with_its_ids(spark, tmp_path, monkeypatch):
+    """A task writes a bounded number of ids, whatever the size of the store."""
+    from pyspark.sql import functions as F
+
+    from millstone.sources import sequence_store
+
+    monkeypatch.setattr(sequence_store, "RANGE_IDS", 100)
+    seqs = spark.range(500).select(F.col("id").alias("seq_id"), F.array_repeat(F.lit(7), 10).alias("ids"))
+    path = sequence_store.write_store(seqs, str(tmp_path / "store"))
+    files = sequence_store.read_manifest(path)
+    assert len(files) > 3 * spark.sparkContext.defaultParallelism and sum(f["rows"] for f in files) == 500
+    assert sequence_store.read_store(spark, path).count() == 500
