@@ -95,3 +95,23 @@ def test_full_source_threshold_is_the_one_t2_applies(spark):
     want = queries()["e2_mapped_thresholds"](spark, sf).where("source = 'culturax'").collect()
     assert [(r.source, r.n_sample, r.threshold) for r in got] == [(r.source, r.n_sample, r.threshold) for r in want]
     assert got[0].n_sample > 100
+
+
+def test_the_band_is_not_dealt_by_source(spark):
+    """Thresholds go to the rows: a source with much of the table is not one task of a shuffle join."""
+    from millstone.operators.inspect import near_threshold, threshold_report
+    from millstone.operators.quality import sample_per_source
+
+    docs = spark.createDataFrame([("a", k, k / 10, "t") for k in range(10)] + [("b", 1, 0.5, "u")],
+                                 "source string, doc_id long, score double, text string")
+    th = spark.createDataFrame([("a", 0.3, 0.5, 10)], "source string, cut_ratio double, threshold double, n_sample long")
+    on = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        band, report, sample = near_threshold(docs, th), threshold_report(docs, th), sample_per_source(docs, 3)
+        for df in (band, sample):
+            assert "SortMergeJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in report._jdf.queryExecution().sparkPlan().toString()
+        assert {(r.source, r.doc_id) for r in band.collect()} == {("a", 5)} and sample.count() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", on)
