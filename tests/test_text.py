@@ -1,9 +1,13 @@
 """Cleaning and score: literal fixtures (golden values computed from the formulas)."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from millstone.functions.text import clean_text, filter_lines, quality_score
+from millstone import settings as S
+from millstone.functions.text import _sentence_pattern, clean_text, filter_lines, normalize_whitespace, quality_score, score_parts
 
 # (text, score by hand)
 SCORES = [
@@ -65,3 +69,23 @@ def test_filter_lines_keeps_whole_good_lines(spark):
     text = "짧다.\n" + good[0] + "\n1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7\n  " + good[1] + " \n"
     got = spark.createDataFrame([(text,)], "t string").select(filter_lines("t").alias("f")).first().f
     assert got == "\n".join(good)
+
+
+@pytest.mark.parametrize("prof", ["latin", "hangul"])
+def test_counts_are_those_of_the_plain_patterns(spark, prof):
+    """Sentence ends, characters and whitespace runs at every mix of letters, blanks and full stops; no lookup per code point."""
+    rnd = random.Random(15)
+    some = S.WS_CHARS * 2 + "aZ\u00e9\u00d7\uac00\ud7a3.. ..  \n0 9,'\"?!(|\\^]&\u0130\U0001F600"
+    rows = [(i, "".join(rnd.choice(some) for _ in range(rnd.randint(0, 60)))) for i in range(3000)]
+    p = S.profile(prof)
+    sentence, lang = re.compile(f"[{re.escape(p.letter_chars)}][{S.WS_CHARS}]*\\."), set(p.letter_chars + S.LANG_PUNCT)
+    part = score_parts("t", prof)
+    df = spark.createDataFrame(rows, "i int, t string").select(
+        "i", part["sentences"].alias("s"), part["lang_chars"].alias("l"), part["num_chars"].alias("d"), normalize_whitespace("t").alias("w"),
+        F.regexp_count("t", F.lit(_sentence_pattern(p))).alias("plain"))
+    got = {r.i: r for r in df.collect()}
+    for i, t in rows:
+        want = (len(sentence.findall(t)), sum(c in lang for c in t), sum(c in "0123456789" for c in t), re.sub(f"[{S.WS_CHARS}]+", " ", t).strip(" "))
+        assert (got[i].s, got[i].l, got[i].d, got[i].w) == want and got[i].plain == got[i].s, repr(t)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan
