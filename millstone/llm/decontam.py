@@ -50,11 +50,13 @@ SEGMENT, STRIDE = 96, 32
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 BLOCK, BLOCKS = 16, 64   # least segments of a block, most blocks of a shard
+POSTINGS = 1 << 18       # postings scored at once, more only for a single passage
 OVERLAP = 0.8
 SHINGLE = 5
 SHARD = 4_000
 
 _words = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
+_BLANKED = bytes(i if _words(chr(i)) else 32 for i in range(256))  # Latin-1 without what is no part of a word
 _sentence = regex.compile(r"(?<=[.!?。！？])\s+|\n+").split
 _OUT = "doc_id bigint, item_id bigint, n_passages bigint, score double, question_overlap double, answer_overlap double"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_passages", pa.int64()), ("score", pa.float64()),
@@ -62,7 +64,11 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_passag
 
 
 def words(text: str) -> list[str]:
-    return _words(text.lower())
+    text = text.lower()
+    try:  # the same words by a table of bytes where the text has Latin-1 characters only
+        return text.encode("latin-1").translate(_BLANKED).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _words(text)
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
@@ -166,15 +172,35 @@ class Index:
         self.n = n
 
     def retrieve(self, terms: np.ndarray, good: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """(segment, score) of the segments in good blocks scoring at least ``threshold`` against distinct terms."""
+        """(segment, score) of one passage, as ``scored``."""
+        return [(seg, s) for _, seg, s in self.scored(terms[None], good[None], threshold)]
+
+    def scored(self, terms: np.ndarray, good: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+        """(passage, segment, score) of the segments in a passage's good blocks that score at least ``threshold`` against
+        its distinct terms; ``terms`` and ``good`` have a row per passage, term 0 counts for nothing."""
         size = self.at[terms + 1] - self.at[terms]
-        p = np.arange(int(size.sum())) + np.repeat(self.at[terms] - np.cumsum(size) + size, size)
-        p = p[good[self.block_at[p]]]
-        s = np.bincount(self.seg[p], self.impact[p], self.n)
-        return [(int(i), float(s[i])) for i in np.flatnonzero(s >= threshold - 1e-9)]
+        ends = np.cumsum(size.sum(1))
+        a, most = 0, max(1, POSTINGS // self.n)
+        while a < len(terms):
+            # the passages of at most POSTINGS postings and scores together, one at least
+            b = max(a + 1, min(a + most, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + POSTINGS, "right"))))
+            many = size[a:b].ravel()
+            p = np.arange(int(many.sum())) + np.repeat(self.at[terms[a:b]].ravel() - np.cumsum(many) + many, many)
+            row = np.repeat(np.arange(b - a), size[a:b].sum(1))
+            some = good[a:b][row, self.block_at[p]]
+            p, row = p[some], row[some]
+            s = np.bincount(row * self.n + self.seg[p], self.impact[p], (b - a) * self.n)
+            for i in np.flatnonzero(s >= threshold - 1e-9).tolist():
+                yield a + i // self.n, i % self.n, float(s[i])
+            a = b
 
     def passages(self, t: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(start, distinct terms, good blocks) of the passages that pass the WAND and the block-max bound."""
+        """(start, distinct terms, good blocks) of one passage after another, as ``candidates``."""
+        for starts, terms, good in self.candidates(t, threshold):
+            yield from ((int(s), x[x > 0], g) for s, x, g in zip(starts, terms, good))
+
+    def candidates(self, t: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(starts, distinct terms, good blocks), a row each per passage that passes the WAND and the block-max bound."""
         width = SEGMENT + STRIDE
         starts = np.arange(0, max(1, len(t) - SEGMENT + STRIDE - 1), STRIDE)
         c = np.concatenate([[0.0], np.cumsum(self.top[t])])
@@ -187,9 +213,8 @@ class Index:
             m[:, 1:][m[:, 1:] == m[:, :-1]] = 0
             some = np.flatnonzero(self.top[m].sum(1) >= threshold - 1e-9)
             good = self.block_top[m[some]].sum(1) >= threshold - 1e-4
-            for k in np.flatnonzero(good.any(1)):
-                terms = m[some[k]]
-                yield int(starts[i + some[k]]), terms[terms > 0], good[k]
+            k = np.flatnonzero(good.any(1))
+            yield starts[i + some[k]], m[some[k]], good[k]
 
     def matches(self, text: str, threshold: float, overlap: float) -> list[tuple]:
         """(item id, passages, best score, question overlap, answer overlap) verified in ``text``."""
@@ -198,9 +223,9 @@ class Index:
             return []
         t = np.fromiter(map(self.terms.get, w, repeat(0)), np.int64, len(w))
         hits: dict[int, dict[tuple[int, int], float]] = {}
-        for start, terms, good in self.passages(t, threshold):
-            for seg, score in self.retrieve(terms, good, threshold):
-                hits.setdefault(int(self.item_of[seg]), {})[start, seg] = score
+        for starts, terms, good in self.candidates(t, threshold):
+            for k, seg, score in self.scored(terms, good, threshold):
+                hits.setdefault(int(self.item_of[seg]), {})[int(starts[k]), seg] = score
         out = []
         for k, at in sorted(hits.items()):
             best = (-1.0, 0.0, 0.0)

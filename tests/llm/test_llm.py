@@ -315,6 +315,27 @@ def test_decontamination_edited_and_partial_items(spark):
         assert decontam._edits(a, b) == min(row), (a, b)
 
 
+def test_decontamination_scores_the_passages_of_a_text_together(monkeypatch):
+    rnd = random.Random(12)
+    items = [_words(rnd, 60, 400) for _ in range(50)]
+    segs = [(k, k, q, a) for k, t in enumerate(items) for q, a in decontam.segments_of(t)]
+    size = [len(q) + len(a) for _, _, q, a in segs]
+    ix = decontam.Index(segs, (len(segs), sum(size) / len(size), Counter(x for _, _, q, a in segs for x in {*q, *a})))
+    text = " ".join([_words(rnd, 900, 400), items[7], _words(rnd, 900, 400)])
+    t = np.array([ix.terms.get(x, 0) for x in decontam.words(text)])
+    one = [(s, *m) for s, terms, good in ix.passages(t, 0.2) for m in ix.retrieve(terms, good, 0.2)]
+    batches = list(ix.candidates(t, 0.2))
+    assert len(batches) == 1 and len(batches[0][0]) > 40 and len({s for s, *_ in one}) > 20  # one call for all passages
+    want = ix.matches(text, 0.2, 0.8)
+    for most in (1, 300, decontam.POSTINGS):  # the same numbers in pieces of any size
+        monkeypatch.setattr(decontam, "POSTINGS", most)
+        starts, terms, good = batches[0]
+        assert [(int(starts[k]), seg, s) for k, seg, s in ix.scored(terms, good, 0.2)] == one
+        assert ix.matches(text, 0.2, 0.8) == want and 7 in {m[0] for m in want}
+    for c in [*map(chr, range(0x500)), "\u2019", "\u4e2d", "\u0301", "\U0001F600"]:  # words by a table and by the pattern
+        assert decontam.words(f"A{c}b {c}{c}1") == decontam._words(f"A{c}b {c}{c}1".lower())
+
+
 def test_decontamination_item_without_id(spark):
     rnd = random.Random(9)
     item = _words(rnd, 30, 10 ** 6) + ". " + _words(rnd, 8, 10 ** 6) + "."
