@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from millstone.llm import decontam, jaccard, suffix, toxicity, wfst
 from millstone.llm.common import prepare_session, read
 from millstone.llm.queries import PIECE_BPE, vocabulary
-from millstone.session import scratch_path
+from millstone.session import materialize_last, scratch_path
 
 #: run()'s rows come from learned models, sequence sorts and a tokenizer: no SQL form; tests compare with brute force.
 ORACLE_SQL = None
@@ -55,11 +55,15 @@ def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     id only when the class has no other)."""
     key, k = _free(docs, "key", "k")
     keyed = _keyed(docs, key)
-    classes = jaccard.similar_classes(keyed, doc_id=key).select(F.col("doc_id").alias(k), "class_id").distinct()
-    rows = keyed.select(F.col("doc_id").alias("id"), F.col(key).alias("row"))
-    first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
-    kept = (rows.join(classes, F.col("row") == F.col(k))
-            .groupBy("class_id").agg(F.min(first).alias("first")).select(F.col("first.row").alias(k)))
+
+    def firsts():
+        classes = jaccard.similar_classes(keyed, doc_id=key).select(F.col("doc_id").alias(k), "class_id").distinct()
+        rows = keyed.select(F.col("doc_id").alias("id"), F.col(key).alias("row"))
+        first = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+        return (rows.join(classes, F.col("row") == F.col(k))
+                .groupBy("class_id").agg(F.min(first).alias("first")).select(F.col("first.row").alias(k)))
+
+    kept = materialize_last(firsts, "pipeline-kept")
     return keyed.join(kept, F.col(key) == F.col(k), "left_semi").dropDuplicates([key]).select(_own(docs))
 
 
@@ -67,8 +71,8 @@ def without_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: strings of ``PASSAGE_BYTES`` that occur more than once are cut out of the texts."""
     key, k, cuts = _free(docs, "key", "k", "cuts")
     keyed = _keyed(docs, key)
-    spans = (suffix.repeated_spans(keyed, doc_id=key, length=PASSAGE_BYTES).where("n_removed > 0")
-             .select(F.col("doc_id").alias(k), F.col("spans").alias(cuts)).dropDuplicates([k]))
+    spans = materialize_last(lambda: suffix.repeated_spans(keyed, doc_id=key, length=PASSAGE_BYTES).where("n_removed > 0")
+                             .select(F.col("doc_id").alias(k), F.col("spans").alias(cuts)).dropDuplicates([k]), "pipeline-spans")
     cut = F.udf(suffix.cut_spans, "string", useArrow=True)
     joined = keyed.join(spans, F.col(key) == F.col(k), "left")
     changed = F.col(cuts).isNotNull()

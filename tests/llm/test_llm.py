@@ -664,3 +664,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(short[7:-7] not in rest[310 + k].text and len(rest[310 + k].text) > 2000 for k in range(2))
     assert {(r.k, r.key, r.cuts) for r in rest.values()} == {(1, "x", 2.0)}
     assert {r.doc_id for r in p.run(spark, sf).collect()} == set(rest)
+
+
+def test_pipeline_stages_leave_no_tables(spark):
+    """Tables that a stage has written on the way to its last one are gone: they would count as disk of all later stages."""
+    import os
+
+    import corpus_pipeline as p
+    from millstone.session import scratch_path
+
+    rnd = random.Random(6)
+    passage = _words(rnd, 150, 10 ** 6)
+    rows = [(k, _words(rnd, 60, 10 ** 6) + (" " + passage if k < 3 else "")) for k in range(20)] + [(20, None), (21, None)]
+    rows += [(30 + k, rows[5][1]) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = scratch_path(spark, "millstone")
+    for stage, left in ((p.one_of_each_group, "pipeline-kept"), (p.without_repeats, "pipeline-spans")):
+        before = set(os.listdir(base)) if os.path.exists(base) else set()
+        out = stage(spark, docs, "")
+        assert out.count() and sorted(map(repr, out.collect())) == sorted(map(repr, out.collect()))
+        new = set(os.listdir(base)) - before
+        assert len(new) == 1 and new.pop().startswith(left)
