@@ -18,14 +18,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millstone import settings as S
-from millstone.operators.order import running_sum
-from millstone.operators.packing import cut, gather
+from millstone.functions.id_codec import unzipped
+from millstone.operators.packing import cut, gather, starts, unfinished
 from millstone.operators.quality import quality_filter
 from millstone.plans.prepare import clean_and_score
-from millstone.session import materialize, path_exists, scratch_path, ship_package
+from millstone.session import (materialize, materialize_last, path_exists, scratch_path, ship_package, shuffles_freed, single_file,
+                               tables_dropped)
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -146,9 +148,9 @@ _P_OUT = "shard long, sub_shard int, seq_id long, ids array<int>"
 class PackedStream:
     """A stream of (shard, sub_shard, ord, ids) to be packed batch by batch.
 
-    A micro-batch is packed like a table: token offsets from a prefix sum within the shard, slices gathered per sequence, so neither a shard
-    nor its tokens meet in one task. Each batch writes its sequences and, per shard, the remainder and the next
-    number as tables of its own; a batch that is run again writes the same tables again."""
+    A micro-batch is packed like a table: token offsets from a prefix sum within the shard, sequences cut in order ranges and their border
+    pieces gathered, so neither a shard nor its tokens meet in one task. Each batch writes its sequences and, per shard, the remainder and
+    the next number as tables of its own; a batch that is run again writes the same tables again. What it writes on the way is removed."""
 
     rows: DataFrame
     context_len: int
@@ -170,21 +172,28 @@ class PackedStream:
             spark, before = batch.sparkSession, f"{state}/batch-{n - 1:09d}"
             held = spark.read.schema(_P_STATE).parquet(before) if n and path_exists(spark, before) else spark.createDataFrame([], _P_STATE)
             tok = F.array_append(F.coalesce("ids", F.array().cast("array<int>")), F.lit(self.eos_id).cast("int"))
-            x = materialize(batch.select(*_KEYS, "ord", tok.alias("_tok")).withColumn("_n", F.size("_tok").cast("bigint")), "pack")
-            x = running_sum(x, ["ord"], "_start", _KEYS, weight=F.col("_n"))
+            docs = batch.select(*_KEYS, "ord", tok.alias("_tok"))
             # a row's place counts from the shard's first sequence of this batch, the remainder's first token
             at = held.select(F.col("shard").alias("_s"), F.col("sub_shard").alias("_d"), "next_seq", F.size("carry").alias("_c"))
             same = F.col("shard").eqNullSafe(F.col("_s")) & F.col("sub_shard").eqNullSafe(F.col("_d"))
-            x = x.join(F.broadcast(at), same, "left").drop("_s", "_d")
-            x = x.withColumn("_start", F.col("_start") + F.coalesce("_c", F.lit(0)) + F.coalesce("next_seq", F.lit(0)) * L)
+            placed = F.col("_start") + F.coalesce("_c", F.lit(0)) + F.coalesce("next_seq", F.lit(0)) * L
+
+            def pieces() -> DataFrame:
+                x = starts(docs, ["ord"], _KEYS).join(F.broadcast(at), same, "left").withColumn("_start", placed)
+                return cut(x, _KEYS, L, T.IntegerType())
+
             first = held.select(*_KEYS, F.col("next_seq").alias("seq_id"),
                                 F.struct(F.lit(-1).cast("bigint").alias("lo"), F.col("carry").alias("piece")).alias("_pc"))
-            packed = materialize(gather(cut(x, _KEYS, L).unionByName(first), _KEYS), "packed")
-            full = F.size("ids") == L
-            packed.where(full).write.mode("overwrite").parquet(f"{out}/batch={n}")
-            (packed.groupBy(*_KEYS).agg(F.max(F.col("seq_id") + full.cast("int")).alias("next_seq"),
-                                        F.flatten(F.collect_list(F.when(~full, F.col("ids")))).alias("carry"))
-             .write.mode("overwrite").parquet(f"{state}/batch-{n:09d}"))
+            with tables_dropped(), shuffles_freed(spark):
+                done = materialize_last(pieces, "pieces")
+                whole = done.where(F.col("_n") == L).select(*_KEYS, "seq_id", unzipped("_zip").alias("ids"))
+                rest = materialize(gather(unfinished(done, _KEYS, L, T.IntegerType()).unionByName(first), _KEYS), "packed")
+                full = F.size("ids") == L
+                whole.unionByName(rest.where(full)).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={n}")
+                last = done.where(F.col("_n") == L).select(*_KEYS, (F.col("seq_id") + 1).alias("next_seq"), F.lit(None).cast("array<int>").alias("carry"))
+                ends = rest.select(*_KEYS, (F.col("seq_id") + full.cast("int")).alias("next_seq"), F.when(~full, F.col("ids")).alias("carry"))
+                (last.unionByName(ends).groupBy(*_KEYS).agg(F.max("next_seq").alias("next_seq"), F.flatten(F.collect_list("carry")).alias("carry"))
+                 .write.mode("overwrite").parquet(f"{state}/batch-{n:09d}"))
         return pack_batch
 
 
@@ -201,13 +210,11 @@ def pack_stream(stream: DataFrame, shard: str, order: str, ids_col: str,
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
                 max_files_per_trigger: int | None = None) -> DataFrame:
     """A2 (lazy scan) for streams: files under ``path`` as they arrive."""
-    import os
-
     r = spark.readStream.schema(schema).format(fmt)
-    if os.path.isfile(path):
+    if (file := single_file(spark, path)) is not None:
         # a single file: stream its folder, restricted to that file name
-        r = r.option("pathGlobFilter", os.path.basename(path))
-        path = os.path.dirname(path)
+        path, name = file
+        r = r.option("pathGlobFilter", name)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return r.load(path)

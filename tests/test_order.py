@@ -253,3 +253,36 @@ def test_feistel_is_a_permutation(spark, n):
     if n > 100:
         assert sum(r.p == r.q for r in x) < n / 20 and sum(r.p == r.id for r in x) < n / 20
         assert abs(np.corrcoef([r.id for r in x], [r.p for r in x])[0, 1]) < 0.1
+
+
+def test_running_sum_moves_a_row_once(spark):
+    """The rows cross the exchange of the window and no other, with a group or without."""
+    from millstone.operators.order import running_sum
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(None if k % 3 == 0 else k % 3, k, k % 5) for k in range(300)]
+        df = spark.createDataFrame(rows, "g long, o long, w long").withColumn("wide", F.col("o"))
+        for keys in ([], ["g"]):
+            x = running_sum(df, ["o"], "at", keys, weight=F.col("w"))
+            plan = x._jdf.queryExecution().explainString(x._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            moved = [p for p in plan.split("\n\n") if ") Exchange" in p and "wide#" in p]
+            assert len(moved) == 1, plan
+            same = lambda a, b: not keys or a[0] == b[0]
+            assert sorted(r["at"] for r in x.collect()) == sorted(sum(b[2] for b in rows if same(a, b) and b[1] < a[1]) for a in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_pack_cuts_ranges_and_gathers_their_borders(spark):
+    """Sequences within a range and over many documents or ranges; null lists have no tokens, null ids stay."""
+    docs = [(g, k, None if k % 11 == 5 else [k, None, g or 9] * (k % 7 if k != 40 else 300)) for g in (None, 1, 2) for k in range(80)]
+    df = spark.createDataFrame(docs, "g long, k long, tok array<int>").repartition(5)
+    for L in (3, 50, 5000):
+        want = []
+        for g in (None, 1, 2):
+            flat = [x for d in docs if d[0] == g and d[2] is not None for x in (*d[2], 77)]
+            want += [(g or 0, s, flat[s * L:(s + 1) * L]) for s in range(len(flat) // L)]
+        got = pack(df, "tok", ["k"], L, 77, partition_cols=["g"])
+        assert sorted(((r.g or 0, r.seq_id, r.ids) for r in got.collect()), key=lambda r: r[:2]) == want

@@ -128,3 +128,35 @@ def test_packing_a_batch_needs_no_shard_in_one_task(spark, tmp_path):
     got = run_to_table(packed, "t-batches").collect()
     assert sorted(((r.shard or 0, r.seq_id, list(r.ids)) for r in got)) == [
         (0, 0, [8, 8, 0, 9]), (1, 0, [1, 2, 3, 0]), (1, 1, [0, 4, 4, 4]), (1, 2, [4, 4, 4, 4]), (2, 0, [7, 0, 6, 6])]
+
+
+def test_a_packed_stream_leaves_only_its_tables(spark, tmp_path):
+    """Tokens cross one exchange, as bytes; tables on the way and shuffle files are gone when the stream ends."""
+    import gc
+
+    from millstone.session import checkpoint_dir
+
+    rows = [(k % 3, k, [97 + (k * i) % 26 for i in range(2000)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "shard long, ord long, ids array<int>")
+    d = str(tmp_path / "in")
+    df.coalesce(1).write.parquet(d)
+    folder = f"{checkpoint_dir(spark).removeprefix('file:')}/millstone"
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    gc.collect()
+    tables, files = set(os.listdir(folder)) if os.path.isdir(folder) else set(), shuffled()
+    got = run_to_table(pack_stream(file_stream(spark, d, df.schema), "shard", "ord", "ids", 64, 0), "t-left")
+    assert {t.split("-")[0] for t in set(os.listdir(folder)) - tables} == {"stream"}
+    assert not shuffled() - files
+    want = pack(df, "ids", ["ord"], 64, 0, partition_cols=["shard"])
+    assert sorted(map(tuple, got.collect())) == sorted((r.shard, r.seq_id, r.ids) for r in want.collect())
+
+
+def test_a_single_file_is_found_by_sparks_file_system(spark, tmp_path):
+    """A path with a scheme, which os.path does not know, streams like a plain one; other files of the folder stay out."""
+    for k in range(2):
+        spark.range(k, k + 1).coalesce(1).write.parquet(str(tmp_path / f"d{k}"))
+        part = next(f for f in os.listdir(tmp_path / f"d{k}") if f.startswith("part"))
+        (tmp_path / f"one{k}.parquet").write_bytes((tmp_path / f"d{k}" / part).read_bytes())
+    for n, path in enumerate((str(tmp_path / "one1.parquet"), f"file:{tmp_path}/one1.parquet")):
+        assert [r.id for r in run_to_table(file_stream(spark, path, "id long"), f"t-file{n}").collect()] == [1]
