@@ -77,10 +77,10 @@ PACK_L = S.CONTEXT_LEN
 CP_EOS = 0  # code point 0 never occurs in text
 
 
-def packed_codepoints(spark, sf):
+def packed_codepoints(spark, sf, as_bytes=False):
     d = min_length(read_table(spark, sf, "documents").select("doc_id", "text"))
     d = d.select("doc_id", codepoint_tokens("text").alias("tok"))
-    return pack(d, "tok", ["doc_id"], PACK_L, CP_EOS)
+    return pack(d, "tok", ["doc_id"], PACK_L, CP_EOS, as_bytes=as_bytes)
 
 
 _PACK_SQL = f"""
@@ -104,7 +104,7 @@ register("g2_pack", f"WITH {_PACK_SQL} SELECT seq_id, array_to_string(ids, ' ')
 def _a6(spark, sf):
     """The packed sequences written to a store and read back."""
     path = scratch_path(spark, f"millstone/sequences-{uuid.uuid4().hex[:12]}")
-    return read_store(spark, write_store(packed_codepoints(spark, sf), path)).select("seq_id", _ids_str("ids").alias("ids"))
+    return read_store(spark, write_store(lambda: packed_codepoints(spark, sf, as_bytes=True), path)).select("seq_id", _ids_str("ids").alias("ids"))
 
 
 register("a6_write_sequences", f"WITH {_PACK_SQL} SELECT seq_id, array_to_string(ids, ' ') AS ids FROM packed")(_a6)

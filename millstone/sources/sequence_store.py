@@ -17,20 +17,23 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
-from millstone.session import materialize
+from millstone.functions.id_codec import unzip_lists, zipped
+from millstone.session import materialize_last, shuffles_freed, tables_dropped
 
 BLOCK_ROWS = 512
 RANGE_IDS = 1 << 24  # 64 MB of ids for one task
 SCHEMA = "seq_id bigint, ids array<int>"
+#: Blocks are compressed; what reads Arrow files reads them as they are.
+_OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 _ARROW = pa.schema([("seq_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 MANIFEST = "manifest.json"
 
@@ -81,7 +84,7 @@ class SequenceWriter(ds.DataSourceArrowWriter):
         fs, root = _open(self.path)
         fs.create_dir(f"{root}/data", recursive=True)
         name, blocks, rows = f"data/{uuid.uuid4().hex}.arrow", [], 0
-        with fs.open_output_stream(f"{root}/{name}") as f, pa.ipc.new_file(f, _ARROW) as out:
+        with fs.open_output_stream(f"{root}/{name}") as f, pa.ipc.new_file(f, _ARROW, options=_OPTIONS) as out:
             for b in _in_blocks(batches):
                 ids = b.column(0)
                 if ids.null_count:
@@ -108,16 +111,23 @@ def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     n = 0
     for b in batches:
-        b = b.select(["seq_id", "ids"]).cast(_ARROW)
         while n + b.num_rows >= BLOCK_ROWS:
             k = BLOCK_ROWS - n
-            yield pa.Table.from_batches([*held, b.slice(0, k)]).combine_chunks().to_batches()[0]
+            yield _block([*held, b.slice(0, k)])
             held, n, b = [], 0, b.slice(k)
         if b.num_rows:
             held.append(b)
             n += b.num_rows
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield _block(held)
+
+
+def _block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One block of sequences, whose ids come as lists or as bytes."""
+    block = pa.Table.from_batches(parts).combine_chunks()
+    if "_zip" in block.column_names:
+        block = pa.table([block["seq_id"], unzip_lists(block["_zip"], pa.int32())], ["seq_id", "ids"])
+    return block.select(["seq_id", "ids"]).cast(_ARROW).combine_chunks().to_batches()[0]
 
 
 @dataclass
@@ -187,20 +197,30 @@ def register_store(spark: SparkSession) -> None:
     spark.dataSource.register(SequenceStore)
 
 
-def range_count(seqs: DataFrame) -> int:
-    """Ranges of at most about ``RANGE_IDS`` ids each, and one per core at least."""
-    ids = seqs.agg(F.sum(F.size("ids").cast("bigint"))).first()[0] or 0
+def range_count(seqs: DataFrame, size: Column | None = None) -> int:
+    """Ranges of at most about ``RANGE_IDS`` ids each, and one per core at least. ``size`` is a row's number of ids."""
+    size = F.size("ids") if size is None else size
+    ids = seqs.agg(F.sum(size.cast("bigint"))).first()[0] or 0
     return max(1, seqs.sparkSession.sparkContext.defaultParallelism, -(-ids // RANGE_IDS))
 
 
-def write_store(seqs: DataFrame, path: str, mode: str = "overwrite", partitions: int | None = None) -> str:
-    """Write ``(seq_id, ids)`` as a store at ``path``: range-partitioned and sorted, one file per task. Sequences are
-    made once, for the number and the bounds of the ranges and for the files."""
-    spark = seqs.sparkSession
-    register_store(spark)
-    seqs = materialize(seqs.select("seq_id", "ids"), "sequences")
-    (seqs.repartitionByRange(partitions or range_count(seqs), "seq_id").sortWithinPartitions("seq_id")
-     .write.format("packed_sequences").mode(mode).save(path))
+def write_store(seqs: DataFrame | Callable[[], DataFrame], path: str, mode: str = "overwrite", partitions: int | None = None) -> str:
+    """Write ``(seq_id, ids)``, or ``(seq_id, _n, _zip)`` as ``pack`` gives with ``as_bytes``, as a store at ``path``:
+    range-partitioned and sorted, one file per task. Sequences are made once, for the number and the bounds of the ranges
+    and for the files, and are bytes until a file's blocks are made. Of a function that makes the sequences the tables on
+    the way are removed as soon as the sequences are written."""
+    def made() -> DataFrame:
+        rows = seqs() if callable(seqs) else seqs
+        register_store(rows.sparkSession)
+        if "_zip" in rows.columns:
+            return rows.select("seq_id", "_n", "_zip")
+        return zipped(rows.select("seq_id", F.col("ids").cast("array<int>").alias("ids")), "ids")
+
+    with tables_dropped():
+        rows = materialize_last(made, "sequences")
+        with shuffles_freed(rows.sparkSession):
+            (rows.repartitionByRange(partitions or range_count(rows, F.col("_n")), "seq_id").sortWithinPartitions("seq_id")
+             .select("seq_id", "_zip").write.format("packed_sequences").mode(mode).save(path))
     return path
 
 

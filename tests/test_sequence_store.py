@@ -73,3 +73,25 @@ def test_ranges_of_a_store_grow_with_its_ids(spark, tmp_path, monkeypatch):
     files = sequence_store.read_manifest(path)
     assert len(files) > 3 * spark.sparkContext.defaultParallelism and sum(f["rows"] for f in files) == 500
     assert sequence_store.read_store(spark, path).count() == 500
+
+
+def test_a_store_keeps_its_ids_in_few_bytes(spark, tmp_path):
+    """Ids of text take less than four bytes each; tables on the way to a store are removed, those of the caller's function too."""
+    from millstone.operators.packing import pack
+    from millstone.session import checkpoint_dir
+
+    docs = spark.range(60).select("id", F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.pmod(F.hash("id", i), F.lit(26)) + 97).alias("tok"))
+    folder = f"{checkpoint_dir(spark).removeprefix('file:')}/millstone"
+    tables = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = tables()
+    path = store.write_store(lambda: pack(docs, "tok", ["id"], 512, 0, as_bytes=True), str(tmp_path / "s"))
+    assert tables() == before
+    got, want = store.read_store(spark, path).collect(), pack(docs, "tok", ["id"], 512, 0).orderBy("seq_id").collect()
+    assert [(r.seq_id, r.ids) for r in got] == [(r.seq_id, r.ids) for r in want] and len(got) == 60 * 4001 // 512
+    assert sum(os.path.getsize(f"{path}/{f['file']}") for f in store.read_manifest(path)) < 2 * 60 * 4001
+
+
+def test_null_ids_pass_through_a_store(spark, tmp_path):
+    rows = [(0, [1, None]), (1, None), (2, []), (3, [4])]
+    path = store.write_store(spark.createDataFrame(rows, "seq_id long, ids array<int>"), str(tmp_path / "s"), partitions=2)
+    assert [(r.seq_id, r.ids) for r in store.read_store(spark, path).collect()] == rows
